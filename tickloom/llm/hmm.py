@@ -24,9 +24,9 @@ from tickloom.llm.common import materialize, words
 
 END = " "  # no word holds a blank
 SMOOTH = 0.1
-STATES, ROUNDS, SEED = 8, 5, 11
+STATES, ROUNDS, SEED = 8, 4, 11
 SINGLES, CLASSES = 8192, 1024
-DICTIONARY = 262_144  # frequent tokens whose counts are sent to all tasks; the others are joined
+DICTIONARY = 131_072  # frequent tokens whose counts are sent to all tasks; the others are joined
 SEGMENT = 256
 
 
@@ -46,7 +46,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 counts.update(words(text))
             counts[END.encode()] += len(pdf)
-            if len(counts) > 400_000:
+            if len(counts) > 150_000:
                 yield table(counts)
                 counts = Counter()
         if counts:
@@ -179,9 +179,9 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, roun
                 for s in pdf["symbols"]:
                     s = np.frombuffer(s, np.uint16)
                     waiting += [s[at : at + SEGMENT] for at in range(0, len(s), SEGMENT)]
-                while len(waiting) >= 1024:
-                    own.expected(waiting[:1024], total)
-                    del waiting[:1024]
+                for at in range(0, len(waiting) - 1023, 1024):
+                    own.expected(waiting[at : at + 1024], total)
+                waiting = waiting[len(waiting) // 1024 * 1024 :]
             if waiting:
                 own.expected(waiting, total)
             met = np.flatnonzero(total["emit"].sum(axis=0) > 0)
@@ -237,11 +237,13 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = alphabet.value
-        for pdf in batches:
-            rows = [own.encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": [len(r[0]) for r in rows],
-                                "symbols": [r[0].tobytes() for r in rows], "log_count": [r[1] for r in rows], "known": [r[2] for r in rows],
-                                "share": [r[3] for r in rows], "rare": [r[4] for r in rows]})
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                pdf = whole.iloc[at : at + 1000]
+                rows = [own.encode(t) for t in pdf["text"]]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "held_out": pdf["held_out"].array, "n_tokens": [len(r[0]) for r in rows],
+                                    "symbols": [r[0].tobytes() for r in rows], "log_count": [r[1] for r in rows], "known": [r[2] for r in rows],
+                                    "share": [r[3] for r in rows], "rare": [r[4] for r in rows]})
 
     schema = "doc_id long, held_out boolean, n_tokens long, symbols binary, log_count double, known long, share double, rare array<string>"
     encoded = materialize(docs.mapInPandas(encode, schema).withColumn("row", F.monotonically_increasing_id()))
