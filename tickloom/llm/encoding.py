@@ -2,18 +2,22 @@
 
 Both tokenizers cut a text before they merge: a piece never reaches across a space that follows a character other than
 white space. A text is cut at those spaces, each new chunk is encoded by the library, and the ids are joined. A text
-with white space before a space is encoded whole, so that the ids always equal those of the whole text.
+with white space before a space is encoded whole, so that the ids always equal those of the whole text. A new chunk that
+ends in marks after a Latin letter is put together from what is before the marks and the marks, which are never merged.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-CACHE_CHUNKS = 600_000  # chunks of a cache generation; a worker holds two, and chunks in use move to the newer
+CACHE_CHUNKS = 450_000  # chunks of a cache generation; a worker holds two, and chunks in use move to the newer
 _SPACED = re.compile(r"\s ")
+_LINES = re.compile(r"\s\n|\n\s")
+_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^`{}~"  # not <, | and >, of which special tokens are made
 _made: dict[str, "CachedEncoder"] = {}
 
 
@@ -25,37 +29,110 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.keep_space = keep_space
+        # ids that begin a word after a space (byte-level), or end a word
+        self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if keep_space else token.endswith("</w>")
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if keep_space else -1
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _pieces(self, chunk: str) -> list[str]:
+        """Parts of the chunk that are encoded apart: lines, line ends, and marks at the end of what ends in a letter."""
+        out = []
+        for k, line in enumerate(chunk.split("\n") if "\n" in chunk and not _LINES.search(chunk) else (chunk,)):
+            if k:
+                out.append("\n")
+            stem = line.rstrip(_MARKS)
+            if stem and stem[-1] < "\u0100" and stem[-1].isalpha() and "<" not in stem:
+                out.append(stem)
+                if len(stem) < len(line):
+                    out.append(line[len(stem) :])
+            elif line:
+                out.append(line)
+        return out
+
+    def _encode_all(self, spaced: list[str], plain: list[str], rest: list[str]) -> None:
+        """Letters-only pieces are encoded many at a time, as their ids show where each begins or ends; others singly."""
+        known, encode = self.known, self.tokenizer.encode_batch_fast
+        for joiner, pieces in (("", spaced), ("\n" if self.keep_space else " ", plain)):
+            if not pieces:
+                continue
+            ids = array("I", encode([joiner.join(pieces)], add_special_tokens=False)[0].ids)
+            flat, skip = np.frombuffer(ids, np.uint32), 0
+            if not joiner:
+                bounds = np.append(np.flatnonzero(self.edge[flat]), len(flat))
+            elif self.keep_space:
+                bounds, skip = np.concatenate([[-1], np.flatnonzero(flat == self.line_end), [len(flat)]]), 4
+            else:
+                bounds = np.append(0, np.flatnonzero(self.edge[flat]) + 1)
+            if len(bounds) != len(pieces) + 1:
+                rest += pieces  # not as expected: encode them one by one
+                continue
+            data, at = ids.tobytes(), (4 * bounds).tolist()
+            known.update(zip(pieces, [data[a + skip : b] for a, b in zip(at, at[1:])]))
+        if rest:
+            known.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(rest, encode(rest, add_special_tokens=False)))
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE_CHUNKS:
             self.older, self.known = self.known, {}
-        fresh = []
+        known, older, spaces = self.known, self.older, self.keep_space
+        spaced, plain, others, mixed = [], [], {}, []
         for chunk in chunks:
-            if (kept := self.older.get(chunk)) is None:
-                fresh.append(chunk)
+            if (kept := older.get(chunk)) is not None:
+                known[chunk] = kept
+            elif chunk.isalpha():
+                plain.append(chunk)
+            elif spaces and chunk[:1] == " " and chunk[1:].isalpha():
+                spaced.append(chunk)
             else:
-                self.known[chunk] = kept
-        for chunk, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, np.uint32).tobytes()
+                mixed.append((chunk, self._pieces(chunk)))
+        letters = set(plain + spaced)
+        for _, pieces in mixed:
+            for piece in pieces:
+                if piece in known or piece in letters or piece in others:
+                    continue
+                if (kept := older.get(piece)) is not None:
+                    known[piece] = kept
+                elif piece.isalpha():
+                    letters.add(piece)
+                    plain.append(piece)
+                elif spaces and piece[:1] == " " and piece[1:].isalpha():
+                    letters.add(piece)
+                    spaced.append(piece)
+                else:
+                    others[piece] = None
+        self._encode_all(spaced, plain, list(others))
+        known.update((chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in mixed)
+
+    def _chunks(self, text: str) -> list[str]:
+        if not self.keep_space:
+            return text.replace("\n", " ").split(" ")
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]]
+
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of some texts (null: empty) as unsigned 32-bit integers."""
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for at in range(0, len(texts), 32):
+            cut = {}
+            for i, text in enumerate(texts[at : at + 32], at):
+                if text and self.keep_space and _SPACED.search(text):
+                    out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                elif text:
+                    cut[i] = self._chunks(text)
+            wanted = set().union(*cut.values())
+            if len(self.known) <= CACHE_CHUNKS:
+                wanted = wanted.difference(self.known)  # looks each wanted one up
+            if wanted:
+                self._learn(wanted)
+            for i, chunks in cut.items():
+                out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32)
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text (null: empty) as unsigned 32-bit integers."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.keep_space:
-            if _SPACED.search(text):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + w for w in rest]]
-        else:
-            chunks = text.replace("\n", " ").split(" ")
-        if len(self.known) > CACHE_CHUNKS:
-            self._learn(set(chunks))
-        elif new := set(chunks).difference(self.known):
-            self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32)
+        return self.ids_of([text])[0]
 
 
 def encoder(path: str, keep_space: bool) -> CachedEncoder:

@@ -137,8 +137,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         encode = encoder(tokenizer, keep_space=True)
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                ids = np.append(encode.ids(text), np.uint32(end_id))
+            for doc, ids in zip(pdf["doc_id"].astype("Int64"), encode.ids_of(list(pdf["text"]))):
+                ids = np.append(ids, np.uint32(end_id))
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
                     out.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)) + ((piece.astype(np.int32),) if with_ids else ()))

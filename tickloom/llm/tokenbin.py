@@ -95,6 +95,11 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _encoded(encode, texts: pd.Series) -> Iterator[np.ndarray]:
+    for i in range(0, len(texts), 256):
+        yield from encode.ids_of(list(texts.iloc[i : i + 256]))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space: bool = False) -> DataFrame:
     """Write docs (doc_id, text) to files in `folder`; returns the manifest (file, n_docs, n_ids).
 
@@ -116,8 +121,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep
             return pd.DataFrame({"file": [name], "n_docs": [len(waiting)], "n_ids": [size]})
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                ids = np.append(encode.ids(text), np.uint32(end_id))
+            for doc, ids in zip(pdf["doc_id"].astype("Int64"), _encoded(encode, pdf["text"])):
+                ids = np.append(ids, np.uint32(end_id))
                 waiting.append((None if doc is pd.NA else int(doc), ids))
                 size += len(ids)
                 if size >= FILE_IDS:
