@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_CHUNKS = 450_000  # chunks of a cache generation; a worker holds two, and chunks in use move to the newer
+CACHE_CHUNKS = 700_000  # chunks of a cache generation; a worker holds two, and chunks in use move to the newer
 _SPACED = re.compile(r"\s ")
 _LINES = re.compile(r"\s\n|\n\s")
 _MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^`{}~"  # not <, | and >, of which special tokens are made

@@ -26,7 +26,7 @@ from tickloom.llm.common import materialize, scratch_dir
 from tickloom.llm.encoding import encoder
 
 MAGIC = b"TLPFOR01"
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILE = 0.95
 FILE_IDS = 4_000_000  # a file is closed once it has so many
 _HEAD, _FOOT = struct.Struct("<IBH"), struct.Struct("<QIIQI8s")
