@@ -152,16 +152,16 @@ _NONE: tuple[list[str], np.ndarray] = [], np.zeros((0, DIM), np.float16)
 
 class QualityModel:
     def __init__(self, context: tuple[list[str], np.ndarray], net: dict | None, prior: float):
-        self.context, self.net, self.prior, self._vectors = context, net, prior, None
+        self.context, self.net, self.prior = context, net, prior
 
-    def __getstate__(self):
-        return self.__dict__ | {"_vectors": None}
+    def vectors(self) -> Vectors:
+        return Vectors(self.context)
 
-    def score(self, texts) -> np.ndarray:
+    def score(self, texts, vectors: Vectors | None = None) -> np.ndarray:
         if self.net is None or not len(texts):
             return np.full(len(texts), self.prior)
-        self._vectors = self._vectors or Vectors(self.context)
-        x = np.stack([self._vectors.pooled(t) for t in texts]).astype(np.float64)
+        vectors = vectors or self.vectors()
+        x = np.stack([vectors.pooled(t) for t in texts]).astype(np.float64)
         return _sigmoid(_logit(self.net, x) / self.net["t"][0])
 
 
@@ -243,7 +243,9 @@ def scorer(spark, model: QualityModel):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(list(texts)), dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vectors = shared.value.vectors()  # the chunks met are kept for the task alone, as a broadcast stays in its worker
+        for texts in batches:
+            yield pd.Series(shared.value.score(list(texts), vectors), dtype="float64")
 
     return score
