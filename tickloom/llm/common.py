@@ -31,6 +31,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in the batches that Python workers get: whole texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))

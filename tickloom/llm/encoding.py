@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_CHUNKS = 450_000  # chunks of a cache generation; a worker holds two, and chunks in use move to the newer
+CACHE_CHUNKS = 450_000  # by default, chunks of a cache generation; a worker holds two, and chunks in use move to the newer
 _SPACED = re.compile(r"\s ")
 _LINES = re.compile(r"\s\n|\n\s")
 _MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^`{}~"  # not <, | and >, of which special tokens are made
@@ -28,7 +28,7 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.keep_space = keep_space
+        self.keep_space, self.limit = keep_space, CACHE_CHUNKS
         # ids that begin a word after a space (byte-level), or end a word
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
         for token, i in self.tokenizer.get_vocab().items():
@@ -75,7 +75,7 @@ class CachedEncoder:
             known.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(rest, encode(rest, add_special_tokens=False)))
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         known, older, spaces = self.known, self.older, self.keep_space
         spaced, plain, others, mixed = [], [], {}, []
@@ -123,7 +123,7 @@ class CachedEncoder:
                 elif text:
                     cut[i] = self._chunks(text)
             wanted = set().union(*cut.values())
-            if len(self.known) <= CACHE_CHUNKS:
+            if len(self.known) <= self.limit:
                 wanted = wanted.difference(self.known)  # looks each wanted one up
             if wanted:
                 self._learn(wanted)
@@ -135,8 +135,9 @@ class CachedEncoder:
         return self.ids_of([text])[0]
 
 
-def encoder(path: str, keep_space: bool) -> CachedEncoder:
+def encoder(path: str, keep_space: bool, limit: int = CACHE_CHUNKS) -> CachedEncoder:
     """The worker's encoder for a tokenizer file; keep_space: a space belongs to the word after it (byte-level BPE)."""
     if path not in _made:
         _made[path] = CachedEncoder(path, keep_space)
+    _made[path].limit = limit
     return _made[path]

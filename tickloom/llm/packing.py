@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.common import materialize
-from tickloom.llm.encoding import encoder
+from tickloom.llm.encoding import CACHE_CHUNKS, encoder
 
 CAPACITY = 2048
 GRAIN = 8  # lengths are counted in units of so many ids, rounded up
@@ -130,11 +130,11 @@ def slot_table(patterns: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["unit", "first", "many", "each", "sequence", "place"]).astype("int64")
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, cache: int = CACHE_CHUNKS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids]) of each document's ids and its end id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, keep_space=True)
+        encode = encoder(tokenizer, True, cache)
         for pdf in batches:
             out = []
             for doc, ids in zip(pdf["doc_id"].astype("Int64"), encode.ids_of(list(pdf["text"]))):

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import decontam, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
-from tickloom.llm.common import remainder
+from tickloom.llm.common import remainder, small_batches
 
 THRESHOLD = 0.3  # quality scores from here on count as label 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
