@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import decontam, langid, minhash, packing, quality
-from tickloom.llm.common import materialize, remainder, small_enough
+from tickloom.llm.common import materialize, remainder, small_batches, small_enough
 from tickloom.llm.queries import THRESHOLD, quality_rows, table, tokenizer_path
 
 MIN_LANGUAGE_SCORE = 0.2  # out-of-place similarity below which no language is accepted
+CACHED_CHUNKS = 120_000  # of the encoder, as its workers serve the other stages too
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be sent to all tasks
 
 
@@ -26,6 +27,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    small_batches(spark)
     profiles = langid.train_profiles(docs.where(remainder(F.col("doc_id"), 4) != 2))
     found = langid.predictor(profiles)("text")
     return docs.where((found["lang_pred"] != "und") & (found["score"] >= MIN_LANGUAGE_SCORE))
@@ -52,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 token ids and their places in sequences."""
-    return packing.pack(packing.cut(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1))
+    return packing.pack(packing.cut(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, cache=CACHED_CHUNKS))
 
 
 STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
