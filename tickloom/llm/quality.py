@@ -26,7 +26,8 @@ WINDOW = 2  # neighbours on either side
 TRAIN_ROWS = 12_000  # about how many labelled documents are learned from (a sample by document id)
 VOCABULARY = 50_000  # words with a context vector; others have their index vector alone
 HIDDEN, EPOCHS, SEED = 32, 60, 7
-CHUNKS = 400_000  # chunks whose sums a worker keeps
+CHUNKS = 250_000  # chunks whose sums a task keeps
+MADE = 8_192  # chunks whose sums are made at a time
 #: Letters in lower, upper or mixed case, digits and runs of other marks are words of their own.
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -67,39 +68,56 @@ class Vectors:
         names, vectors = context
         self.place = {w: i for i, w in enumerate(names)}
         self.context = np.concatenate([vectors.astype(np.float32), np.zeros((1, DIM), np.float32)])
-        self.rows, self.table = {}, np.zeros((1024, 2 * DIM + 2), np.float16)
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((CHUNKS, 2 * DIM + 2), np.float16)
 
-    def _make(self, chunks: list[str]) -> None:
-        at = len(self.rows)
-        while at + len(chunks) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+    def _make(self, chunks: list[str], at: int) -> None:
+        """Sums of the chunks, in the rows of the table from `at` on."""
         flat: list[str] = []
         sizes = []
         for chunk in chunks:
-            own = _words(chunk) or [chunk]
-            flat += own
-            sizes.append(len(own))
+            if chunk.isalpha() and chunk == chunk.lower():
+                flat.append(chunk)
+                sizes.append(1)
+            else:
+                own = _words(chunk) or [chunk]
+                flat += own
+                sizes.append(len(own))
         v = index_vectors(flat)
         v += self.context[np.fromiter((self.place.get(w, -1) for w in flat), np.int64, len(flat))]
         v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
-        marks = np.fromiter((not w[0].isalnum() for w in flat), np.float32, len(flat))
-        every = np.concatenate([v, v * v, np.ones((len(flat), 1)), marks[:, None]], axis=1)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.table[at : at + len(chunks)] = np.add.reduceat(every, starts, axis=0)
+        every = np.empty((len(flat), 2 * DIM + 2), np.float32)
+        every[:, :DIM] = v
+        np.multiply(v, v, out=every[:, DIM : 2 * DIM])
+        every[:, 2 * DIM] = 1
+        every[:, 2 * DIM + 1] = np.fromiter((not w[0].isalnum() for w in flat), np.float32, len(flat))
+        if len(flat) > len(chunks):
+            every = np.add.reduceat(every, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        self.table[at : at + len(chunks)] = every
         self.rows.update(zip(chunks, range(at, at + len(chunks))))
 
+    def _places(self, chunks: list[str]) -> None:
+        """Makes the sums of those chunks that the table lacks; it starts anew when full, and grows for a text beyond it."""
+        new = set(chunks).difference(self.rows)
+        if new and len(self.rows) + len(new) > len(self.table):
+            self.rows, new = {}, set(chunks)
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), 2 * DIM + 2), np.float16)
+        made = list(new)
+        for i in range(0, len(made), MADE):
+            self._make(made[i : i + MADE], len(self.rows))
+
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean and spread of the word vectors, then figures on length, marks and repetition."""
         chunks = text.split() if text else []
         if not chunks:
             return np.zeros(2 * DIM + 6, np.float32)
-        if len(self.rows) > CHUNKS:
-            self.rows, self.table = {}, np.zeros((1024, 2 * DIM + 2), np.float16)
-        if new := set(chunks).difference(self.rows):
-            self._make(list(new))
+        self._places(chunks)
         at = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
         rows, counts = np.unique(at, return_counts=True)
-        total = counts.astype(np.float32) @ self.table[rows].astype(np.float32)
+        total = np.zeros(2 * DIM + 2, np.float32)
+        for i in range(0, len(rows), MADE):
+            total += counts[i : i + MADE].astype(np.float32) @ self.table[rows[i : i + MADE]].astype(np.float32)
         n, p = max(float(total[2 * DIM]), 1.0), counts / len(chunks)
         mean = total[:DIM] / n
         spread = np.sqrt(np.maximum(total[DIM : 2 * DIM] / n - mean * mean, 0))
