@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PROFILE = 400  # n-grams in a profile
 TRAIN_CHARS = 20_000_000  # about how many characters of each language are learned from (a sample by document id)
+COUNTED_CHARS = 1_000_000  # about how many characters have their n-grams sorted at a time
 MAX_LANGUAGES = 1_000  # the profiles are sent to all tasks
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -62,8 +63,10 @@ def train_profiles(docs: DataFrame, chars: int = TRAIN_CHARS) -> dict[str, np.nd
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                grams, counts = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": counts.astype(np.int64)})
+                part = (np.cumsum(texts.str.len()) // COUNTED_CHARS).to_numpy()
+                for _, some in texts.groupby(part):
+                    grams, counts = np.unique(np.concatenate([_grams(t) for t in some]), return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": counts.astype(np.int64)})
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = (rows.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
