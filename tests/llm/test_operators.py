@@ -81,6 +81,31 @@ def test_near_duplicates_through_missed_leaders(spark):
     assert got == brute_components(rows, 2)
 
 
+def test_near_duplicates_links_two_parts_by_one_pair(spark):
+    """Two parts whose pairs mostly lie at 0.6 to 0.78; the last two texts alone reach 0.8 across them."""
+    rng, d, n = random.Random(0), 18, 300
+    first = [f"w{k}" for k in range(100)]
+    second = first[: 100 - d] + [f"v{k}" for k in range(d)]
+    rows = []
+    for i in range(n):
+        own, other, last = (*((first, second) if i % 2 else (second, first)), i >= n - 2)
+        t, s = list(own), 4 if last else rng.randint(0, 3)
+        at = 100 - d if i % 2 else 100 - s
+        t[at : at + s] = other[at : at + s]
+        for k in () if last else rng.sample(range(100 - d), rng.randint(0, 3)):
+            t[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(t), "en"))
+    want = brute_components(rows, 2)
+    assert set(want.values()) == {0} and set(brute_components(rows[:-1], 2).values()) == {0, 1}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 2, 0.8).collect()} == want
+
+
+def test_clusters_hold_whole_parts(spark):
+    parts = spark.createDataFrame([(1, 1), (2, 1), (11, 11), (12, 11), (21, 21), (22, 21)], "id long, component long")
+    got = minhash._whole_clusters(spark.createDataFrame([(2, 11), (12, 30)], "a long, b long"), parts).collect()
+    assert {(r.id, r.component, r.cluster) for r in got} == {(1, 1, 1), (2, 1, 1), (11, 11, 1), (12, 11, 1), (30, 30, 1)}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert minhash.near_duplicates(none).count() == 0

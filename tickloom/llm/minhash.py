@@ -7,9 +7,9 @@
 3. The most similar survivor of each class is decided on the full shingle sets; links make parts.
 4. Buckets that still hold several parts are compared in blocks of signatures inside the tasks, so that a pair that misses
    its bucket's smallest id is found too. A block gives a spanning forest of its survivors, not all of them: with the open
-   survivors of step 2 they make clusters, and every survivor lies inside one cluster.
-5. Clusters are decided on the full sets, block by block inside the tasks; a block gives a spanning forest of its links.
-   Nothing is capped, and no step emits the pairs of a group.
+   survivors of step 2 they join whole parts to clusters, so that every survivor lies inside one cluster.
+5. Clusters, with all members of their parts, are decided on the full sets, block by block inside the tasks; a block gives
+   a spanning forest of its links. Nothing is capped, and no step emits the pairs of a group.
 
 At similarity 0.8 two sets share no bucket with probability (1 - 0.8**ROWS)**BANDS, about 5e-6.
 """
@@ -218,6 +218,8 @@ def _set_forest(size: int, threshold: Fraction):
     num, den = threshold.numerator, threshold.denominator
 
     def compare(g: pd.DataFrame, second: np.ndarray | None) -> pd.DataFrame | None:
+        if (g["component"] == g["component"].iat[0]).all():
+            return None
         sets = [shingle_hashes(t, size) for t in g["text"]]
         n, ids, forest, out = np.array([len(x) for x in sets]), g["id"].to_numpy(), _Forest(g["component"].to_numpy()), []
         if not n.all():  # texts of a repeated id that have no shingles
@@ -237,6 +239,15 @@ def _set_forest(size: int, threshold: Fraction):
     return compare
 
 
+def _whole_clusters(candidates: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, component, cluster): the parts (id, component) that candidates (a, b) join, with all their members; an end without a part is one of its own."""
+    ends = parts.toDF("a", "pa"), parts.toDF("b", "pb")
+    joined = candidates.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    clusters = materialize(connected_components(joined).toDF("component", "cluster"))
+    alone = clusters.join(parts.select(F.col("id").alias("component")), "component", "left_anti")
+    return materialize(clusters.join(parts, "component").select("id", "component", "cluster").union(alone.select(F.col("component").alias("id"), "component", "cluster")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -291,10 +302,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     missed = _in_blocks(compared, "band", SIGNATURE_BLOCK, _signature_forest(threshold), "a long, b long")
     candidates = materialize(still_open.union(missed).distinct())
     if not small_enough(candidates, 0):
-        clusters = connected_components(candidates).withColumnRenamed("component", "cluster")
-        sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-        inside = (clusters.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).join(sizes, "cluster")
-                  .join(docs.toDF("id", "text").where("text IS NOT NULL"), "id"))
+        grouped = _whole_clusters(candidates, parts)
+        sizes = grouped.groupBy("cluster").agg(F.count("*").alias("size"))
+        inside = grouped.join(sizes, "cluster").join(docs.toDF("id", "text").where("text IS NOT NULL"), "id")
         new = _in_blocks(inside.select("cluster", "size", "id", "component", "text"), "cluster", SET_BLOCK, _set_forest(shingle, exact_threshold), "a long, b long")
         parts = connected_components(links.union(materialize(new)))
 
