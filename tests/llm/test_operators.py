@@ -187,6 +187,32 @@ def test_decontamination(spark, corpus):
     assert got == want and (1, 1) in got and (3, 1) not in got and (7, 1) not in got
 
 
+def test_decontamination_finds_cut_and_changed_passages(spark):
+    """Passages with changed ends; all windows are compared."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(i, prose(rng, rng.choice((3, 15, 38, 50, 59)), vocabulary)) for i in range(40)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for k in range(6, 14):
+            n = rng.randint(1, max(1, len(w) // 9))
+            new = [rng.choice(vocabulary) for _ in range(n)]
+            rows.append((len(rows), " ".join([*rng.choices(vocabulary, k=k), *(new + w[n:] if k % 2 else w[:-n] + new), *rng.choices(vocabulary, k=k)]), "en"))
+    want = {}
+    for d, t, _ in rows:
+        w = t.split()
+        for i, own in items:
+            own = own.split()
+            n = min(len(own), len(w))
+            best = max((decontam.similarity(decontam.shingle_counts(w[k : k + n]), decontam.shingle_counts(own)) for k in range(len(w) - n + 1)), default=0)
+            if best >= 0.8:
+                want[d, i] = best
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: s for k, (s, _) in got.items()} == want and len(want) > 100
+    assert all(n == min(len(rows[d][1].split()), len(items[i][1].split())) for (d, i), (_, n) in got.items())
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     index = decontam.build_index([(i, " ".join(f"w{rng.integers(0, 500)}" for _ in range(20))) for i in range(40)], 0.8)

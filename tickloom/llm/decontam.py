@@ -1,10 +1,12 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle check.
+"""Benchmark decontamination: item-sized windows that share enough shingles with an item, exact weighted-shingle check.
 
-A text's words are runs of word characters in lower case. For each length of a benchmark item, windows of so many words
-slide over the whole text. A window with fewer shingles made of benchmark word pairs alone than the threshold asks for is
-passed over, as it cannot reach it. The others get a 64-bit SimHash of their words and word pairs. Item fingerprints are indexed by BLOCKS blocks of bits together with all their variants of up
-to FLIPS bits; a fingerprint within RADIUS bits agrees with some block up to FLIPS bits, so none is missed. Pairs within
-the radius are decided by the weighted Jaccard similarity of their word shingles (weights: how often each occurs).
+A text's words are runs of word characters in lower case. For each benchmark item, a window of as many words slides over the
+whole text. An inverted index gives the places of a text whose shingle
+occurs in an item. A window that reaches the threshold has a least number of such places (an exact bound, so none is
+missed); those windows are decided by the weighted Jaccard similarity of their word shingles (weights: how often each occurs).
+
+64-bit SimHash fingerprints with a multi-index Hamming search within RADIUS bits are kept for approximate search
+(`within_radius`); they gate nothing here, as windows of similarity 0.8 can lie beyond the radius.
 
 Edge cases: null and empty texts and items match nothing; an item shorter than SHINGLE words is one shingle; repeated
 documents or items give the same pair once; a null doc_id or item_id stays null; empty tables give an empty table.
@@ -87,7 +89,7 @@ def within_radius(prints: np.ndarray, index: dict, wanted: np.ndarray) -> tuple[
 
 
 def build_index(items: list[tuple], threshold: float) -> dict:
-    """items: (item_id, text). Fingerprints, block tables, vocabulary and the least number of shingles of known word pairs by length."""
+    """items: (item_id, text). The exact index with fingerprints and their block tables."""
     own = [(i, w) for i, t in items if (w := _words(t))]
     prints = np.array([_fingerprints(_votes(w), np.zeros(1, np.int64), len(w))[0] for _, w in own], np.uint64)
     blocks = []
@@ -98,57 +100,61 @@ def build_index(items: list[tuple], threshold: float) -> dict:
         order = np.argsort(keys, kind="stable")
         start = np.searchsorted(keys[order], np.arange(2**_WIDTH + 1))
         blocks.append((start, np.repeat(np.arange(len(prints)), len(flips))[order]))
-    lengths = sorted({len(w) for _, w in own})
-    # a window of n words has n - SHINGLE + 1 shingles and must share `threshold` of them at least
-    least = {n: max(1, int(np.ceil(threshold * (n - SHINGLE + 1) - 1e-9))) if n >= SHINGLE else 0 for n in lengths}
-    return {"ids": [i for i, _ in own], "prints": prints, "blocks": blocks, "least": least, "size": np.array([len(w) for _, w in own]),
-            "shingles": [shingle_counts(w) for _, w in own], "words": frozenset(x for _, w in own for x in w), "pairs": frozenset(x for _, w in own for x in zip(w, w[1:]))}
+    return {**exact_index(items), "prints": prints, "blocks": blocks}
+
 
+def exact_index(items: list[tuple]) -> dict:
+    """items: (item_id, text). Shingles of each item and the items of each shingle; known words and word pairs."""
+    own = [(i, w) for i, t in items if (w := _words(t))]
+    shingles, having = [shingle_counts(w) for _, w in own], defaultdict(list)
+    for k, counts in enumerate(shingles):
+        for x in counts:
+            having[x].append(k)
+    size = np.array([len(w) for _, w in own])
+    return {"ids": [i for i, _ in own], "size": size, "shingles": shingles, "having": dict(having), "short": sorted({int(n) for n in size if n < SHINGLE}),
+            "words": frozenset(x for _, w in own if len(w) < SHINGLE for x in w), "pairs": frozenset(x for _, w in own for x in zip(w, w[1:]))}
 
-def find(text: str | None, index: dict, threshold: float) -> dict[int, tuple[float, int]]:
-    """Item position -> (similarity, first word) of its most similar window."""
+
+def find(text: str | None, index: dict, threshold: float) -> dict[int, tuple[float, int, int]]:
+    """Item position -> (similarity, first word, words) of its most similar window."""
     words = _words(text)
-    found: dict[int, tuple[float, int]] = {}
-    if not words or not index["least"] or len(words) < min(index["least"]):
+    found: dict[int, tuple[float, int, int]] = {}
+    for length in index["short"]:  # such an item is one shingle
+        known = np.fromiter(map(index["words"].__contains__, words), np.bool_, len(words))
+        run = np.concatenate([[0], np.cumsum(known)])
+        for start in np.flatnonzero(run[length:] - run[:-length] == length).tolist():
+            for item in index["having"].get(tuple(words[start : start + length]), ()):
+                found.setdefault(item, (1.0, start, length))
+    places = len(words) - SHINGLE + 1
+    if places < 1:
         return found
     pairs = np.fromiter(map(index["pairs"].__contains__, zip(words, words[1:])), np.bool_, len(words) - 1)
-    full = np.zeros(max(len(words) - SHINGLE + 1, 0) + 1, np.int32)  # running count of shingles of known pairs alone
-    if len(full) > 1:
-        np.cumsum(np.all(np.lib.stride_tricks.sliding_window_view(pairs, SHINGLE - 1), axis=1), out=full[1:])
-    least_length = min(index["least"])
-    if least_length >= SHINGLE:
-        # Any window that qualifies has a stretch of m shingles, m those of the shortest item, with this share of known ones:
-        # cut into stretches and a rest of r < m, at least threshold * q * m - (1 - threshold) * r lie in the q stretches.
-        m = least_length - SHINGLE + 1
-        if not (full[m:] - full[:-m] >= (2 * threshold - 1) * m - 1e-9).any():
-            return found
-    votes = None
-    for length, least in index["least"].items():
+    hits: dict[int, list[int]] = defaultdict(list)
+    for at in np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(pairs, SHINGLE - 1), axis=1)).tolist():
+        for item in index["having"].get(tuple(words[at : at + SHINGLE]), ()):
+            hits[item].append(at)
+    for item, own in hits.items():
+        length = int(index["size"][item])
         if length > len(words):
-            break
-        if length < SHINGLE:
-            known = np.fromiter(map(index["words"].__contains__, words), np.bool_, len(words))
-            run = np.concatenate([[0], np.cumsum(known)])
-            starts = np.flatnonzero(run[length:] - run[:-length] == length)
-        else:
-            m = length - SHINGLE + 1
-            starts = np.flatnonzero(full[m:] - full[:-m] >= least)
-        if not len(starts):
             continue
-        votes = _votes(words) if votes is None else votes
-        for at in range(0, len(starts), 65536):
-            some = starts[at : at + 65536]
-            rows, items = within_radius(index["prints"], index, _fingerprints(votes, some, length))
-            fits = index["size"][items] == length
-            for start, item in zip(some[rows[fits]].tolist(), items[fits].tolist()):
-                s = similarity(shingle_counts(words[start : start + length]), index["shingles"][item])
-                if s >= threshold and (-s, start) < (-found.get(item, (0.0, 0))[0], found.get(item, (0.0, 0))[1]):
-                    found[item] = (s, start)
+        m, other = length - SHINGLE + 1, int(index["size"][item]) - SHINGLE + 1
+        least = max(1, int(np.ceil(threshold * (m + other) / (1 + threshold) - 1e-9)))  # shared / (m + other - shared) >= threshold
+        if len(own) < least:
+            continue
+        shared = np.zeros(places + 1, np.int32)
+        shared[np.array(own) + 1] = 1
+        np.cumsum(shared, out=shared)
+        for start in np.flatnonzero(shared[m:] - shared[:-m] >= least).tolist():
+            s = similarity(shingle_counts(words[start : start + length]), index["shingles"][item])
+            if s >= threshold and (item not in found or s > found[item][0]):
+                found[item] = (s, start, length)
+                if s == 1:
+                    break
     return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words): for each document and item, the most similar window.
+    """(doc_id, item_id, similarity, start_word, n_words): for each document and item, the most similar window (of n_words words).
 
     The benchmark is taken in blocks of about BLOCK_CHARS characters, each of which passes over all documents.
     """
@@ -159,12 +165,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     result = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()], threshold))
+        shared = spark.sparkContext.broadcast(exact_index([tuple(r) for r in block.collect()]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
             for pdf in batches:
-                out = [(doc, index["ids"][i], s, at, int(index["size"][i])) for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for i, (s, at) in find(text, index, threshold).items()]
+                out = [(doc, index["ids"][i], s, at, n) for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for i, (s, at, n) in find(text, index, threshold).items()]
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "start_word", "n_words"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
