@@ -1,7 +1,7 @@
 """Benchmark decontamination: item-sized windows that share enough shingles with an item, exact weighted-shingle check.
 
 A text's words are runs of word characters in lower case. For each benchmark item, a window of as many words slides over the
-whole text. An inverted index gives the places of a text whose shingle
+whole text; a text shorter than the item is one window itself. An inverted index gives the places of a text whose shingle
 occurs in an item. A window that reaches the threshold has a least number of such places (an exact bound, so none is
 missed); those windows are decided by the weighted Jaccard similarity of their word shingles (weights: how often each occurs).
 
@@ -134,9 +134,7 @@ def find(text: str | None, index: dict, threshold: float) -> dict[int, tuple[flo
         for item in index["having"].get(tuple(words[at : at + SHINGLE]), ()):
             hits[item].append(at)
     for item, own in hits.items():
-        length = int(index["size"][item])
-        if length > len(words):
-            continue
+        length = min(int(index["size"][item]), len(words))
         m, other = length - SHINGLE + 1, int(index["size"][item]) - SHINGLE + 1
         least = max(1, int(np.ceil(threshold * (m + other) / (1 + threshold) - 1e-9)))  # shared / (m + other - shared) >= threshold
         if len(own) < least:
