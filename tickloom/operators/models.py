@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -65,6 +65,18 @@ def predict(trained: TrainedModel, df: DataFrame) -> DataFrame:
     return rows.select(*own, vector_to_array("probability")[1].alias("model_probability"), F.lit(trained.config.target).alias("model_target"), F.lit(trained.c).alias("model_c"), F.col(trained.config.target).alias("actual_target"))
 
 
+def predict_folds(trained: Mapping[int, TrainedModel], df: DataFrame) -> DataFrame:
+    """Like `predict`, for rows with a fold, each by the model of its fold; all models have the same features and target."""
+    one = next(iter(trained.values()))
+    rows = [(f, list(t.means), list(t.scales), [float(w) for w in t.model.coefficients], float(t.model.intercept), t.c) for f, t in trained.items()]
+    table = df.sparkSession.createDataFrame(rows, "fold int, _m array<double>, _s array<double>, _w array<double>, _b double, model_c double")
+    margin = F.col("_b")
+    for i, f in enumerate(one.features):
+        margin = margin + F.col("_w")[i] * (F.col(f).cast("double") - F.col("_m")[i]) / F.col("_s")[i]
+    own = [c for c in ("observation_id", "observation_time_utc", "session_code", "session_date") if c in df.columns]
+    return df.join(F.broadcast(table), "fold").select("fold", *own, (1 / (1 + F.exp(-margin))).alias("model_probability"), F.lit(one.config.target).alias("model_target"), "model_c", F.col(one.config.target).alias("actual_target"))
+
+
 def coefficient_table(spark, trained: TrainedModel) -> DataFrame:
     rows = [(f, float(c), abs(float(c))) for f, c in zip(trained.features, trained.model.coefficients)]
     return spark.createDataFrame(rows, "feature string, coefficient double, magnitude double").orderBy(F.desc("magnitude"), "feature")
