@@ -6,10 +6,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontam, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
+from tickloom.llm import decontam, encoding, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
 from tickloom.llm.common import scratch_dir
 from tickloom.llm.components import connected_components
-from tickloom.llm.encoding import CachedEncoder
+from tickloom.llm.encoding import ColumnEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int"
 
@@ -226,14 +226,17 @@ def test_multi_index_finds_all_within_radius():
     assert set(zip(rows.tolist(), items.tolist())) == brute and all((i, i) in brute for i in range(40))
 
 
-def test_encoder_equals_whole_texts():
+def test_encoder_equals_whole_texts(monkeypatch):
     rng = random.Random(6)
     bits = [" ", "  ", "\n", " \n", "a", "Bc", "é", "12", "'s", ".", "!!", "\t", "\r\n", "\xa0", "<|endoftext|>", "中", "Σ", "İ", "́", "😀", "_", "|", ", "]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 16))) for _ in range(3000)]
     for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        e = CachedEncoder(public_tokenizers.path(name), spaces)
-        got = e.ids_of([*texts, None])
-        assert [g.tolist() for g in got[:-1]] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)] and len(got[-1]) == 0
+        e = ColumnEncoder(public_tokenizers.path(name), spaces)
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
+        for span, limit in ((4_000_000, 500_000), (61, 40)):  # few bytes at a time, a cache that is full at once
+            monkeypatch.setattr(encoding, "SPAN", span)
+            e.limit = limit
+            assert [g.tolist() for g in e.ids_of([*texts, None])] == want
 
 
 def test_packing(spark, corpus):
@@ -244,12 +247,12 @@ def test_packing(spark, corpus):
     for _, g in rows.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 2048
-    e = CachedEncoder(path, True)
+    e = ColumnEncoder(path, True).tokenizer
     for i, t, _ in corpus:
         if i is not None and i != 203:
             g = rows[rows.doc_id == i].sort_values("start")
             ids = np.concatenate(g.ids.to_list())
-            assert ids.tolist() == [*e.ids(t), 1] and (g.doc_tokens == len(ids)).all()
+            assert ids.tolist() == [*e.encode(t or "", add_special_tokens=False).ids, 1] and (g.doc_tokens == len(ids)).all()
             assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in g.ids] == g.ids_crc32.tolist()
     assert len(rows[rows.doc_id == 203]) == 2 and rows.doc_id.isna().sum() == 1
 
@@ -303,12 +306,12 @@ def test_token_files(spark, corpus):
     path, frame = public_tokenizers.path("word_bpe_49k.json"), docs(spark, corpus)
     folder = scratch_dir(spark) + "-test"
     rows = tokenbin.read_tokens(tokenbin.write_tokens(frame, folder, path, 2), folder, with_ids=True).toPandas().sort_values("start")
-    e = CachedEncoder(path, False)
+    e = ColumnEncoder(path, False).tokenizer
     want = sorted(((i, t) for i, t, _ in corpus), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [None if v != v else int(v) for v in rows.doc_id.astype(object).where(rows.doc_id.notna(), float("nan"))] == [i for i, _ in want]
     at = 0
     for (_, t), r in zip(want, rows.itertuples()):
-        ids = [*e.ids(t), 2]
+        ids = [*e.encode(t or "", add_special_tokens=False).ids, 2]
         assert list(r.ids) == ids and r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
 
@@ -363,3 +366,14 @@ def test_tool_calls(spark):
     assert "cycle" in got[2, "p"].errors and "several results" in got[2, "p"].errors
     assert got[3, "d"].errors == "duplicate id; no schema; no call gone; no result" and "no id" in got[None, None].errors
     assert [r.call_id for r in toolcalls.orphan_results(calls, results).collect()] == ["zz"]
+
+
+def test_token_files_of_a_hot_id(spark):
+    """A doc_id that fills most ranges is dealt out over them; order and starts hold."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, f"the words of copy {k}", "en") for k in range(300)] + [(i, f"a text {i}", "en") for i in range(100)]
+    frame, folder = docs(spark, rows), scratch_dir(spark) + "-hot"
+    made = tokenbin.write_tokens(frame, folder, path, 2)
+    assert made.count() > 5 and made.agg(F.max("n_docs")).first()[0] < 200
+    got = tokenbin.read_tokens(made, folder).toPandas().sort_values("start")
+    assert got.doc_id.tolist() == sorted(i for i, _, _ in rows) and (got.start == got.n_tokens.cumsum() - got.n_tokens).all()

@@ -1,27 +1,66 @@
-"""Token ids of the `tokenizers` library, with chunks that recur encoded once per Python worker.
+"""Token ids of the `tokenizers` library for columns of texts, with chunks that recur encoded once per Python worker.
 
-Both tokenizers cut a text before they merge: a piece never reaches across a space that follows a character other than
-white space. A text is cut at those spaces, each new chunk is encoded by the library, and the ids are joined. A text
-with white space before a space is encoded whole, so that the ids always equal those of the whole text. A new chunk that
-ends in marks after a Latin letter is put together from what is before the marks and the marks, which are never merged.
+Both tokenizers cut a text before they merge, so a text may be cut wherever such a cut is certain: before a space or a line
+end that follows a printable character, between an ASCII or Latin-1 letter or digit and an ASCII mark, after a mark other
+than the apostrophe, and after a single line end. The bytes of a whole column are cut at once, equal chunks are found
+by Arrow's dictionary, new chunks are encoded by the library, and the ids of the texts are gathered from those of the
+chunks. Anything else stays in one chunk, so that the ids always equal those of whole texts.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
-
-CACHE_CHUNKS = 450_000  # by default, chunks of a cache generation; a worker holds two, and chunks in use move to the newer
-_SPACED = re.compile(r"\s ")
-_LINES = re.compile(r"\s\n|\n\s")
-_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^`{}~"  # not <, | and >, of which special tokens are made
-_made: dict[str, "CachedEncoder"] = {}
-
-
-class CachedEncoder:
+import pyarrow as pa
+
+CACHE_CHUNKS = 500_000  # by default, about how many chunks a worker keeps; it starts anew once most chunks of a span are new to a full one
+SPAN = 4_000_000  # bytes of text whose chunks are looked up at a time
+_OTHER, _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _LINE, _LEAD = range(8)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[0x21:0x7F] = _MARK
+    for c in range(0x21, 0x7F):
+        if chr(c).isalnum():
+            out[c] = _LETTER if chr(c).isalpha() else _DIGIT
+    out[ord("'")], out[ord(" ")], out[ord("\n")], out[0xC3] = _QUOTE, _SPACE, _LINE, _LEAD
+    return out
+
+
+def _cuts() -> np.ndarray:
+    """Whether a chunk ends between two kinds of bytes (left * 8 + right)."""
+    out = np.zeros((8, 8), np.bool_)
+    out[_LETTER : _QUOTE + 1, [_SPACE, _LINE]] = True
+    out[[_LETTER, _DIGIT], _MARK] = out[[_LETTER, _DIGIT], _QUOTE] = True
+    out[_LETTER, _DIGIT] = out[_DIGIT, _LETTER] = out[_DIGIT, _LEAD] = True
+    out[_MARK, [_LETTER, _DIGIT, _LEAD]] = True
+    return out.ravel()
+
+
+_KINDS, _CUTS = _kinds(), _cuts()
+_made: dict[str, "ColumnEncoder"] = {}
+
+
+def chunk_ends(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text is the last of a chunk."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(kind[:-1] == _LEAD)
+    second = data[lead + 1]
+    plain = (second != 0x97) & (second != 0xB7)  # multiplication and division sign
+    kind[lead[plain] + 1] = _LETTER
+    kind[lead[~plain]] = kind[lead[~plain] + 1] = _OTHER
+    cut = np.ones(len(data), np.bool_)
+    cut[:-1] = _CUTS[kind[:-1] * np.uint8(8) + kind[1:]]
+    line = np.flatnonzero(kind[1:-1] == _LINE) + 1  # of single line ends between printable characters
+    before, after = kind[line - 1], kind[line + 1]
+    cut[line] = (before != _OTHER) & (before <= _QUOTE) & (after != _OTHER) & ((after <= _QUOTE) | (after == _LEAD))
+    return cut
+
+
+class ColumnEncoder:
     def __init__(self, path: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -29,115 +68,113 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.keep_space, self.limit = keep_space, CACHE_CHUNKS
-        # ids that begin a word after a space (byte-level), or end a word
-        self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("\u0120") if keep_space else token.endswith("</w>")
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if keep_space else -1
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _pieces(self, chunk: str) -> list[str]:
-        """Parts of the chunk that are encoded apart: lines, line ends, and marks at the end of what ends in a letter."""
-        out = []
-        for k, line in enumerate(chunk.split("\n") if "\n" in chunk and not _LINES.search(chunk) else (chunk,)):
-            if k:
-                out.append("\n")
-            stem = line.rstrip(_MARKS)
-            if stem and stem[-1] < "\u0100" and stem[-1].isalpha() and "<" not in stem:
-                out.append(stem)
-                if len(stem) < len(line):
-                    out.append(line[len(stem) :])
-            elif line:
-                out.append(line)
-        return out
-
-    def _encode_all(self, spaced: list[str], plain: list[str], rest: list[str]) -> None:
-        """Letters-only pieces are encoded many at a time, as their ids show where each begins or ends; others singly."""
-        known, encode = self.known, self.tokenizer.encode_batch_fast
-        for joiner, pieces in (("", spaced), ("\n" if self.keep_space else " ", plain)):
-            if not pieces:
-                continue
-            ids = array("I", encode([joiner.join(pieces)], add_special_tokens=False)[0].ids)
-            flat, skip = np.frombuffer(ids, np.uint32), 0
-            if not joiner:
-                bounds = np.append(np.flatnonzero(self.edge[flat]), len(flat))
-            elif self.keep_space:
-                bounds, skip = np.concatenate([[-1], np.flatnonzero(flat == self.line_end), [len(flat)]]), 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token, or whether it ends a word
+        for token, i in vocabulary.items():
+            self.width[i] = len(token) if keep_space else token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {}
+
+    def _together(self, chunks: list[bytes], joiner: bytes) -> list[bytes] | None:
+        """The ids of chunks that are encoded as one text, cut by the widths of the tokens; None if they don't add up."""
+        text = joiner.join(chunks).decode("utf-8", "replace")
+        ids = array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        ends = np.cumsum(self.width[np.frombuffer(ids, np.uint32)])
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) if self.keep_space else np.ones(len(chunks), np.int64)
+        gap = len(joiner) if self.keep_space else 0
+        stops = np.cumsum(sizes + gap) - gap
+        at = np.searchsorted(ends, stops)  # for words: the first token by which so many have ended
+        if not len(ends) or ends[-1] != stops[-1] or (ends[at] != stops).any():
+            return None
+        upto = (4 * (at + 1)).tolist()
+        skip = 4 * bool(gap)  # the line end before a chunk
+        data = ids.tobytes()
+        return [data[: upto[0]], *[data[a + skip : b] for a, b in zip(upto, upto[1:])]]
+
+    def _encode(self, new: list[bytes]) -> list[bytes]:
+        """Chunks of letters are encoded many at a time, others singly."""
+        spaced, plain, rest, out = [], [], [], [b""] * len(new)
+        for i, chunk in enumerate(new):
+            word = chunk[1:] if chunk[:1] == b" " else chunk
+            if word.isalpha() or (len(word) > 1 and word.decode("utf-8", "replace").isalpha()):
+                (plain if word is chunk else spaced).append(i)
             else:
-                bounds = np.append(0, np.flatnonzero(self.edge[flat]) + 1)
-            if len(bounds) != len(pieces) + 1:
-                rest += pieces  # not as expected: encode them one by one
-                continue
-            data, at = ids.tobytes(), (4 * bounds).tolist()
-            known.update(zip(pieces, [data[a + skip : b] for a, b in zip(at, at[1:])]))
-        if rest:
-            known.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(rest, encode(rest, add_special_tokens=False)))
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.older, self.known = self.known, {}
-        known, older, spaces = self.known, self.older, self.keep_space
-        spaced, plain, others, mixed = [], [], {}, []
-        for chunk in chunks:
-            if (kept := older.get(chunk)) is not None:
-                known[chunk] = kept
-            elif chunk.isalpha():
-                plain.append(chunk)
-            elif spaces and chunk[:1] == " " and chunk[1:].isalpha():
-                spaced.append(chunk)
+                rest.append(i)
+        for joiner, places in ((b"", spaced), (b"\n", plain)):
+            if places and (ids := self._together([new[i] for i in places], joiner)) is not None:
+                for i, x in zip(places, ids):
+                    out[i] = x
             else:
-                mixed.append((chunk, self._pieces(chunk)))
-        letters = set(plain + spaced)
-        for _, pieces in mixed:
-            for piece in pieces:
-                if piece in known or piece in letters or piece in others:
+                rest += places
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            ids = self.tokenizer.encode_batch_fast([new[i].decode("utf-8", "replace") for i in some], add_special_tokens=False)
+            for i, x in zip(some, ids):
+                out[i] = array("I", x.ids).tobytes()
+        return out
+
+    def _ids_of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        ids = list(map(self.known.get, chunks))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            words = [chunks[i] for i in new]
+            made = self._encode(words)
+            for i, x in zip(new, made):
+                ids[i] = x
+            if len(self.known) >= self.limit and 2 * len(new) > len(chunks):  # other texts than those it was filled from
+                self.known = {}
+            if len(self.known) < self.limit:
+                self.known.update(zip(words, made))
+        return ids
+
+    def _span(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many before each chunk and in all) of data cut at `starts`, which begin with 0."""
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids_of_chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        codes = chunks.indices.to_numpy()
+        own = size[codes]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        return flat[np.repeat(first[codes] - upto[:-1], own) + np.arange(upto[-1])], upto
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; n + 1 bounds) of an Arrow column; a null text counts as empty."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+        bounds = bounds - bounds[0]
+        parts, counts, made, at, reach = [], np.zeros(len(bounds), np.int64), 0, 0, SPAN
+        while at < len(data):
+            end = min(at + reach, len(data))
+            first, last = np.searchsorted(bounds, at, "right"), np.searchsorted(bounds, end, "right")
+            cut = chunk_ends(data[at : end + 2])
+            cut[bounds[first:last] - at - 1] = True  # texts end
+            starts = np.flatnonzero(cut[: end - at - (end == len(data))]) + 1
+            if end < len(data):  # the last chunk may go on
+                if not len(starts):
+                    reach *= 2
                     continue
-                if (kept := older.get(piece)) is not None:
-                    known[piece] = kept
-                elif piece.isalpha():
-                    letters.add(piece)
-                    plain.append(piece)
-                elif spaces and piece[:1] == " " and piece[1:].isalpha():
-                    letters.add(piece)
-                    spaced.append(piece)
-                else:
-                    others[piece] = None
-        self._encode_all(spaced, plain, list(others))
-        known.update((chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in mixed)
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.keep_space:
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+                end = at + int(starts[-1])
+                starts = starts[:-1]
+            ids, upto = self._span(data[at:end], np.concatenate([[0], starts]))
+            inside = slice(np.searchsorted(bounds, at), np.searchsorted(bounds, end))
+            counts[inside] = made + upto[np.searchsorted(np.concatenate([[0], starts]), bounds[inside] - at)]
+            parts.append(ids)
+            made += len(ids)
+            at, reach = end, SPAN
+        counts[np.searchsorted(bounds, len(data)) :] = made
+        return np.concatenate(parts) if parts else np.empty(0, np.uint32), counts
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of some texts (null: empty) as unsigned 32-bit integers."""
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        for at in range(0, len(texts), 32):
-            cut = {}
-            for i, text in enumerate(texts[at : at + 32], at):
-                if text and self.keep_space and _SPACED.search(text):
-                    out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                elif text:
-                    cut[i] = self._chunks(text)
-            wanted = set().union(*cut.values())
-            if len(self.known) <= self.limit:
-                wanted = wanted.difference(self.known)  # looks each wanted one up
-            if wanted:
-                self._learn(wanted)
-            for i, chunks in cut.items():
-                out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32)
-        return out
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.ids_of([text])[0]
+        ids, bounds = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def encoder(path: str, keep_space: bool, limit: int = CACHE_CHUNKS) -> CachedEncoder:
+def encoder(path: str, keep_space: bool, limit: int = CACHE_CHUNKS) -> ColumnEncoder:
     """The worker's encoder for a tokenizer file; keep_space: a space belongs to the word after it (byte-level BPE)."""
     if path not in _made:
-        _made[path] = CachedEncoder(path, keep_space)
+        _made[path] = ColumnEncoder(path, keep_space)
     _made[path].limit = limit
     return _made[path]

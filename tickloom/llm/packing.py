@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.common import materialize
@@ -133,20 +134,27 @@ def slot_table(patterns: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, cache: int = CACHE_CHUNKS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids]) of each document's ids and its end id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, True, cache)
-        for pdf in batches:
-            out = []
-            for doc, ids in zip(pdf["doc_id"].astype("Int64"), encode.ids_of(list(pdf["text"]))):
-                ids = np.append(ids, np.uint32(end_id))
-                for at in range(0, len(ids), capacity):
-                    piece = ids[at : at + capacity]
-                    out.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)) + ((piece.astype(np.int32),) if with_ids else ()))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer, True, cache)
+        for batch in batches:
+            every, upto = own.column(batch.column("text"))
+            rows, ids = [], []
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist()):
+                whole = np.append(every[a:b], np.uint32(end_id))
+                for at in range(0, len(whole), capacity):
+                    piece = whole[at : at + capacity]
+                    rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(whole)))
+                    ids.append(piece)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            if with_ids:
+                columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            if rows:
+                yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
+
+    schema = ", ".join(f"{c} long" for c in names) + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,7 +6,7 @@ block's exception list. File layout (little-endian): magic; blocks; index of blo
 u8 whether the id is null, u32 ids each); footer (u64 ids, u32 blocks, u32 documents, u64 place of the index, crc32 of
 index and documents, magic). Block: u32 minimum, u8 width, u16 exceptions, packed bits, u16 positions, u32 values.
 
-Files are written under a temporary name and renamed, so a task that runs again leaves one whole file.
+Files are named by doc_id range, written under a temporary name and renamed, so a task that runs again leaves one whole file.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.common import materialize, scratch_dir
@@ -29,6 +29,8 @@ MAGIC = b"TLPFOR01"
 BLOCK = 4096
 PERCENTILE = 0.95
 FILE_IDS = 4_000_000  # a file is closed once it has so many
+RANGES = 4  # of doc_id for each task that writes
+NULL_ID = -(2**63)
 _HEAD, _FOOT = struct.Struct("<IBH"), struct.Struct("<QIIQI8s")
 
 
@@ -39,7 +41,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     width = int(np.partition(d, k := min(len(d) - 1, int(len(d) * PERCENTILE)))[k]).bit_length()
     odd = np.flatnonzero(d >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     kept = d & np.uint32((1 << width) - 1) if width < 32 else d
-    bits = (kept.astype("<u4").view(np.uint8).reshape(-1, 4))
+    unit = 2 if width <= 16 else 4
+    bits = kept.astype(f"<u{unit}").view(np.uint8).reshape(-1, unit)
     packed = np.packbits(np.unpackbits(bits, axis=1, bitorder="little")[:, :width], bitorder="little")
     return _HEAD.pack(low, width, len(odd)) + packed.tobytes() + odd.astype("<u2").tobytes() + d[odd].astype("<u4").tobytes()
 
@@ -49,9 +52,10 @@ def decode_block(data: memoryview, at: int, n: int) -> np.ndarray:
     at += _HEAD.size
     size = -(-n * width // 8)
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
+    unit = 2 if width <= 16 else 4
+    full = np.zeros((n, 8 * unit), np.uint8)
     full[:, :width] = bits
-    d = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().copy()
+    d = np.packbits(full, axis=1, bitorder="little").view(f"<u{unit}").ravel().astype(np.uint32)
     at += size
     d[np.frombuffer(data, "<u2", odd, at)] = np.frombuffer(data, "<u4", odd, at + 2 * odd)
     return d + np.uint32(low)
@@ -95,46 +99,72 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _encoded(encode, texts: pd.Series) -> Iterator[np.ndarray]:
-    for i in range(0, len(texts), 256):
-        yield from encode.ids_of(list(texts.iloc[i : i + 256]))
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids for the shuffle: a byte with their width (2 or 4), then the ids."""
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint32)
+
+
+def _ranges(docs: DataFrame, parts: int) -> np.ndarray:
+    """At most parts - 1 upper bounds of doc_id ranges with about as many rows each; a null counts as the smallest id."""
+    at = F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), [k / parts for k in range(1, parts)], F.lit(max(10_000, 4 * parts)))
+    return np.array(docs.agg(at).first()[0] or [], np.int64) if parts > 1 else np.empty(0, np.int64)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space: bool = False) -> DataFrame:
     """Write docs (doc_id, text) to files in `folder`; returns the manifest (file, n_docs, n_ids).
 
     folder: a URI that all executors reach (file, hdfs, s3, gs). Files sort by name as their documents sort by doc_id; a
-    null doc_id comes first, rows with the same doc_id are ordered by their text. A null or empty text has the end id alone.
+    null doc_id comes first, rows with the same doc_id are in an order that follows from their ids. A null or empty text
+    has the end id alone. Texts are encoded where they are read; their ids are dealt out by ranges of doc_id, and a doc_id
+    that fills several ranges is dealt out over them.
     """
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounds = _ranges(docs, tasks * RANGES)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer, keep_space)
+        for batch in batches:
+            every, upto = own.column(batch.column("text"))
+            doc_id = batch.column("doc_id")
+            at = doc_id.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, at), np.searchsorted(bounds, at, "right")
+            ids = [_packed(np.append(every[a:b], np.uint32(end_id))) for a, b in zip(upto[:-1], upto[1:])]
+            part = [int(k) if n < 2 else int(k) + zlib.crc32(x) % int(n) for k, n, x in zip(low, high - low, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _fs(folder)
+        open_part, made, size, waiting = -1, 0, 0, []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, (store, base) = encoder(tokenizer, keep_space), _fs(folder)
-        part, made, size, waiting = TaskContext.get().partitionId(), 0, 0, []
-
-        def close() -> pd.DataFrame:
-            name = f"part-{part:06d}-{made:06d}.pfor"
+        def close() -> pa.RecordBatch:
+            name = f"part-{open_part:06d}-{made:06d}.pfor"
             store.create_dir(base, recursive=True)
             own = f"{base}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(own) as out:
                 out.write(encode_file(waiting))
             store.move(own, f"{base}/{name}")
-            return pd.DataFrame({"file": [name], "n_docs": [len(waiting)], "n_ids": [size]})
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(waiting)], pa.int64()), pa.array([size], pa.int64())], ["file", "n_docs", "n_ids"])
 
-        for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"].astype("Int64"), _encoded(encode, pdf["text"])):
-                ids = np.append(ids, np.uint32(end_id))
-                waiting.append((None if doc is pd.NA else int(doc), ids))
-                size += len(ids)
-                if size >= FILE_IDS:
+        for batch in batches:
+            for part, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if waiting and (part != open_part or size >= FILE_IDS):
                     yield close()
-                    made, size, waiting = made + 1, 0, []
+                    made, size, waiting = made + 1 if part == open_part else 0, 0, []
+                open_part = part
+                ids = _unpacked(packed)
+                waiting.append((doc, ids))
+                size += len(ids)
         if waiting:
             yield close()
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInPandas(run, "file string, n_docs long, n_ids long"))
+    encoded = docs.mapInArrow(encode, "part int, doc_id long, ids binary").repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "ids")
+    return materialize(encoded.mapInArrow(write, "file string, n_docs long, n_ids long"))
 
 
 def read_tokens(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
