@@ -215,13 +215,16 @@ def test_decontamination_finds_cut_and_changed_passages(spark):
     assert all(n == min(len(rows[d][1].split()), len(items[i][1].split())) for (d, i), (_, n) in got.items())
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("probe", [False, True])
+def test_multi_index_finds_all_within_radius(probe):
     rng = np.random.default_rng(4)
-    index = decontam.build_index([(i, " ".join(f"w{rng.integers(0, 500)}" for _ in range(20))) for i in range(40)], 0.8)
+    index = decontam.build_index([(i, " ".join(f"w{rng.integers(0, 500)}" for _ in range(20))) for i in range(40)])
     prints = index["prints"]
+    if probe:  # as with more values than variants
+        index["blocks"] = [(np.arange(2**16), *rest) for _, *rest in index["blocks"]]
     near = [int(p) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, decontam.RADIUS + 1), replace=False)) for p in prints]
     wanted = np.array(near + rng.integers(0, 2**63, 100).tolist(), np.uint64)
-    rows, items = decontam.within_radius(prints, index, wanted)
+    rows, items = decontam.within_radius(prints, index["blocks"], wanted)
     brute = {(i, j) for i in range(len(wanted)) for j in range(len(prints)) if int(wanted[i] ^ prints[j]).bit_count() <= decontam.RADIUS}
     assert set(zip(rows.tolist(), items.tolist())) == brute and all((i, i) in brute for i in range(40))
 
@@ -377,3 +380,25 @@ def test_token_files_of_a_hot_id(spark):
     assert made.count() > 5 and made.agg(F.max("n_docs")).first()[0] < 200
     got = tokenbin.read_tokens(made, folder).toPandas().sort_values("start")
     assert got.doc_id.tolist() == sorted(i for i, _, _ in rows) and (got.start == got.n_tokens.cumsum() - got.n_tokens).all()
+
+
+def test_radius_holds_windows_at_the_threshold():
+    """Changed ends, cut ends and scattered changes that just leave a similarity of 0.8: their fingerprints lie within RADIUS."""
+    rng = random.Random(31)
+    vocabulary = [f"w{int(300 * rng.random() ** 3)}" for _ in range(5000)]
+    far, n = 0, 0
+    for _ in range(1500):
+        own = rng.choices(vocabulary, k=rng.randint(15, 80))
+        counts, changed = decontam.shingle_counts(own), list(own)
+        kind = rng.randrange(3)
+        for k in range(len(own)):
+            at = (k, len(own) - 1 - k, rng.randrange(len(own)))[kind]
+            other = list(changed)
+            other[at] = rng.choice(vocabulary)
+            if decontam.similarity(decontam.shingle_counts(other), counts) < 0.8:
+                break
+            changed = other
+        prints = [int(decontam._fingerprints(decontam._votes(w), np.zeros(1, np.int64), len(w))[0]) for w in (own, changed)]
+        far += (prints[0] ^ prints[1]).bit_count() > decontam.RADIUS
+        n += 1
+    assert far <= 0.001 * n

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: item-sized windows that share enough shingles with an item, exact weighted-shingle check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle check.
 
-A text's words are runs of word characters in lower case. For each benchmark item, a window of as many words slides over the
-whole text; a text shorter than the item is one window itself. An inverted index gives the places of a text whose shingle
-occurs in an item. A window that reaches the threshold has a least number of such places (an exact bound, so none is
-missed); those windows are decided by the weighted Jaccard similarity of their word shingles (weights: how often each occurs).
-
-64-bit SimHash fingerprints with a multi-index Hamming search within RADIUS bits are kept for approximate search
-(`within_radius`); they gate nothing here, as windows of similarity 0.8 can lie beyond the radius.
+A text's words are runs of word characters in lower case. For each length of a benchmark item, windows of so many words slide
+over the whole text; a text shorter than an item is one window itself. A window with fewer shingles of the benchmark than
+the threshold asks for cannot reach it (an exact bound) and is passed over. All others get a 64-bit SimHash of their words
+and word pairs. The fingerprints of the items are indexed by BLOCKS blocks of bits; a block is looked up with all its
+variants of up to FLIPS bits, and as a fingerprint within RADIUS bits agrees with some block up to FLIPS bits, every item
+within the radius is found. These candidates are decided by the weighted Jaccard similarity of word shingles (weights: how
+often each occurs). RADIUS is far beyond what similarity 0.8 implies: see the recall test.
 
 Edge cases: null and empty texts and items match nothing; an item shorter than SHINGLE words is one shingle; repeated
 documents or items give the same pair once; a null doc_id or item_id stays null; empty tables give an empty table.
@@ -15,7 +15,7 @@ documents or items give the same pair once; a null doc_id or item_id stays null;
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 SHINGLE = 5
-BLOCKS, FLIPS = 4, 2
+BLOCKS, FLIPS = 4, 4
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 BLOCK_CHARS = 4_000_000  # characters of benchmark text that one pass over the documents takes
+NEARBY = 4096  # words
 _WIDTH = 64 // BLOCKS
+_MASKS = np.array([sum(1 << i for i in c) for k in range(FLIPS + 1) for c in combinations(range(_WIDTH), k)])
 _WORD = re.compile(r"\w+")
 
 
@@ -67,87 +69,108 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def within_radius(prints: np.ndarray, index: dict, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (position in prints, item) within RADIUS bits."""
-    wanted, which = np.unique(wanted, return_inverse=True)  # repeated passages have equal fingerprints
-    found = []
-    for b, (start, ids) in enumerate(index["blocks"]):
-        v = (wanted >> np.uint64(b * _WIDTH) & np.uint64(2**_WIDTH - 1)).astype(np.int64)
-        n = start[v + 1] - start[v]
-        at = np.repeat(np.arange(len(v)), n)
-        items = ids[np.repeat(start[v] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        near = np.bitwise_count(wanted[at] ^ prints[items]) <= RADIUS
-        found.append(at[near] * len(prints) + items[near])
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return (prints >> np.uint64(b * _WIDTH) & np.uint64(2**_WIDTH - 1)).astype(np.int64)
+
+
+def block_tables(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of bits: the values that occur, where the items of each value start, the items by value."""
+    out = []
+    for b in range(BLOCKS):
+        v = _block(prints, b)
+        order = np.argsort(v, kind="stable")
+        start = np.searchsorted(v[order], np.arange(2**_WIDTH + 1))
+        out.append((np.unique(v), start, order))
+    return out
+
+
+def within_radius(prints: np.ndarray, tables: list, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (position in wanted, position in prints) of fingerprints that differ in RADIUS bits at most."""
+    every, which = np.unique(wanted, return_inverse=True)  # repeated passages have equal fingerprints
+    found = [np.empty(0, np.int64)]
+    for at in range(0, len(every), 256):
+        some = every[at : at + 256]
+        for b, (values, start, items) in enumerate(tables):
+            own = _block(some, b)[:, None]
+            if len(values) <= len(_MASKS):  # fewer values than variants: compare with the values
+                rows, near = np.nonzero(np.bitwise_count(own ^ values) <= FLIPS)
+                v = values[near]
+            else:
+                rows, masks = np.nonzero(start[(own ^ _MASKS) + 1] > start[own ^ _MASKS])
+                v = own[rows, 0] ^ _MASKS[masks]
+            n = start[v + 1] - start[v]
+            item = items[np.repeat(start[v] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            row = np.repeat(rows, n)
+            close = np.bitwise_count(some[row] ^ prints[item]) <= RADIUS
+            found.append((at + row[close]) * len(prints) + item[close])
     pairs = np.unique(np.concatenate(found))
-    if not len(pairs):
-        return pairs, pairs
     by_print = np.argsort(which, kind="stable")
-    first = np.searchsorted(which[by_print], np.arange(len(wanted) + 1))
-    at, items = pairs // len(prints), pairs % len(prints)
+    first = np.searchsorted(which[by_print], np.arange(len(every) + 1))
+    at, items = pairs // max(len(prints), 1), pairs % max(len(prints), 1)
     n = first[at + 1] - first[at]
     return by_print[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], np.repeat(items, n)
 
 
-def build_index(items: list[tuple], threshold: float) -> dict:
-    """items: (item_id, text). The exact index with fingerprints and their block tables."""
+def build_index(items: list[tuple]) -> dict:
+    """items: (item_id, text). Fingerprints, their block tables, shingles, and the word pairs that shingles are made of."""
     own = [(i, w) for i, t in items if (w := _words(t))]
     prints = np.array([_fingerprints(_votes(w), np.zeros(1, np.int64), len(w))[0] for _, w in own], np.uint64)
-    blocks = []
-    flips = [sum(1 << i for i in c) for k in range(FLIPS + 1) for c in combinations(range(_WIDTH), k)]
-    for b in range(BLOCKS):
-        v = (prints >> np.uint64(b * _WIDTH) & np.uint64(2**_WIDTH - 1)).astype(np.int64)
-        keys = (v[:, None] ^ np.array(flips)[None, :]).ravel()
-        order = np.argsort(keys, kind="stable")
-        start = np.searchsorted(keys[order], np.arange(2**_WIDTH + 1))
-        blocks.append((start, np.repeat(np.arange(len(prints)), len(flips))[order]))
-    return {**exact_index(items), "prints": prints, "blocks": blocks}
+    shingles = [shingle_counts(w) for _, w in own]
+    size = np.array([len(w) for _, w in own], np.int64)
+    return {"ids": [i for i, _ in own], "size": size, "sizes": sorted({int(n) for n in size}), "prints": prints, "blocks": block_tables(prints), "shingles": shingles,
+            "known": frozenset(x for counts in shingles for x in counts), "words": frozenset(x for _, w in own if len(w) < SHINGLE for x in w), "pairs": frozenset(x for _, w in own for x in zip(w, w[1:]))}
 
 
-def exact_index(items: list[tuple]) -> dict:
-    """items: (item_id, text). Shingles of each item and the items of each shingle; known words and word pairs."""
-    own = [(i, w) for i, t in items if (w := _words(t))]
-    shingles, having = [shingle_counts(w) for _, w in own], defaultdict(list)
-    for k, counts in enumerate(shingles):
-        for x in counts:
-            having[x].append(k)
-    size = np.array([len(w) for _, w in own])
-    return {"ids": [i for i, _ in own], "size": size, "shingles": shingles, "having": dict(having), "short": sorted({int(n) for n in size if n < SHINGLE}),
-            "words": frozenset(x for _, w in own if len(w) < SHINGLE for x in w), "pairs": frozenset(x for _, w in own for x in zip(w, w[1:]))}
-
-
-def find(text: str | None, index: dict, threshold: float) -> dict[int, tuple[float, int, int]]:
-    """Item position -> (similarity, first word, words) of its most similar window."""
-    words = _words(text)
-    found: dict[int, tuple[float, int, int]] = {}
-    for length in index["short"]:  # such an item is one shingle
+def windows(words: list[str], index: dict, threshold: float) -> dict[int, np.ndarray]:
+    """Length -> first words of the windows that can reach the threshold with some item of that window length."""
+    out: dict[int, np.ndarray] = {}
+    for length in (n for n in index["sizes"] if n < SHINGLE):  # such an item is one shingle
         known = np.fromiter(map(index["words"].__contains__, words), np.bool_, len(words))
         run = np.concatenate([[0], np.cumsum(known)])
-        for start in np.flatnonzero(run[length:] - run[:-length] == length).tolist():
-            for item in index["having"].get(tuple(words[start : start + length]), ()):
-                found.setdefault(item, (1.0, start, length))
+        starts = np.flatnonzero(run[length:] - run[:-length] == length)
+        if len(starts):
+            out[length] = starts
     places = len(words) - SHINGLE + 1
     if places < 1:
-        return found
+        return out
     pairs = np.fromiter(map(index["pairs"].__contains__, zip(words, words[1:])), np.bool_, len(words) - 1)
-    hits: dict[int, list[int]] = defaultdict(list)
-    for at in np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(pairs, SHINGLE - 1), axis=1)).tolist():
-        for item in index["having"].get(tuple(words[at : at + SHINGLE]), ()):
-            hits[item].append(at)
-    for item, own in hits.items():
-        length = min(int(index["size"][item]), len(words))
-        m, other = length - SHINGLE + 1, int(index["size"][item]) - SHINGLE + 1
+    maybe = np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(pairs, SHINGLE - 1), axis=1))
+    hits = [at for at in maybe.tolist() if tuple(words[at : at + SHINGLE]) in index["known"]]
+    if not hits:
+        return out
+    shared = np.zeros(places + 1, np.int32)
+    shared[np.array(hits) + 1] = 1
+    np.cumsum(shared, out=shared)
+    for size in index["sizes"]:
+        length = min(size, len(words))
+        m, other = length - SHINGLE + 1, size - SHINGLE + 1
         least = max(1, int(np.ceil(threshold * (m + other) / (1 + threshold) - 1e-9)))  # shared / (m + other - shared) >= threshold
-        if len(own) < least:
-            continue
-        shared = np.zeros(places + 1, np.int32)
-        shared[np.array(own) + 1] = 1
-        np.cumsum(shared, out=shared)
-        for start in np.flatnonzero(shared[m:] - shared[:-m] >= least).tolist():
-            s = similarity(shingle_counts(words[start : start + length]), index["shingles"][item])
-            if s >= threshold and (item not in found or s > found[item][0]):
-                found[item] = (s, start, length)
-                if s == 1:
-                    break
+        if size >= SHINGLE and len(hits) >= least and length not in out:
+            starts = np.flatnonzero(shared[m:] - shared[:-m] >= least)
+            if len(starts):
+                out[length] = starts
+    return out
+
+
+def find(text: str | None, index: dict, threshold: float) -> dict[int, tuple[float, int, int]]:
+    """Item position -> (similarity, first word, words) of its most similar window."""
+    words = _words(text)
+    found: dict[int, tuple[float, int, int]] = {}
+    for length, starts in windows(words, index, threshold).items():
+        apart = np.flatnonzero(np.diff(starts // NEARBY)) + 1  # windows that lie together share their running sums
+        for some in np.split(starts, apart):
+            first = int(some[0])
+            votes = _votes(words[first : int(some[-1]) + length])
+            rows, items = within_radius(index["prints"], index["blocks"], _fingerprints(votes, some - first, length))
+            fits = np.minimum(index["size"][items], len(words)) == length
+            rows, items = rows[fits], items[fits]
+            order = np.lexsort((rows, items))
+            for start, item in zip(some[rows[order]].tolist(), items[order].tolist()):
+                if item in found and found[item][0] == 1:
+                    continue
+                s = similarity(shingle_counts(words[start : start + length]), index["shingles"][item])
+                if s >= threshold and (item not in found or s > found[item][0]):
+                    found[item] = (s, start, length)
     return found
 
 
@@ -163,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     result = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(exact_index([tuple(r) for r in block.collect()]))
+        shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
