@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontam, encoding, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
+from tickloom.llm import chunks, decontam, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
 from tickloom.llm.common import scratch_dir
 from tickloom.llm.components import connected_components
 from tickloom.llm.encoding import ColumnEncoder
@@ -237,7 +237,7 @@ def test_encoder_equals_whole_texts(monkeypatch):
         e = ColumnEncoder(public_tokenizers.path(name), spaces)
         want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
         for span, limit in ((4_000_000, 500_000), (61, 40)):  # few bytes at a time, a cache that is full at once
-            monkeypatch.setattr(encoding, "SPAN", span)
+            monkeypatch.setattr(chunks, "SPAN", span)
             e.limit = limit
             assert [g.tolist() for g in e.ids_of([*texts, None])] == want
 
@@ -402,3 +402,68 @@ def test_radius_holds_windows_at_the_threshold():
         far += (prints[0] ^ prints[1]).bit_count() > decontam.RADIUS
         n += 1
     assert far <= 0.001 * n
+
+
+def brute_rank(text):
+    import unicodedata
+    from collections import Counter
+
+    clean, kept = [], False
+    for ch in (text or "").lower():
+        kept = unicodedata.category(ch)[0] == "L" or (kept and unicodedata.category(ch)[0] == "M")
+        clean.append(ch if kept else " ")
+    counts = Counter()
+    for w in "".join(clean).split():
+        w = f" {w} "
+        for n in (1, 2, 3):
+            counts.update(x for k in range(len(w) - n + 1) if (x := w[k : k + n]) != " ")
+    code = lambda g: sum(ord(ch) << 21 * (len(g) - 1 - k) for k, ch in enumerate(g))
+    return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.PROFILE]]
+
+
+@pytest.mark.parametrize("sorted_at_a_time", [langid.COUNTED_CHARS, 50])
+def test_out_of_place_distance(spark, corpus, monkeypatch, sorted_at_a_time):
+    """Ranks and distances against brute force, with ties, marks, fractions and texts longer than what is sorted at a time."""
+    monkeypatch.setattr(langid, "COUNTED_CHARS", sorted_at_a_time)
+    odd = ["½ ² ①", "1234 ...", "नमस्ते दुनिया", "́e", "é e\u0301", "ab ab cd cd", "", None, "İstanbul", "a", "x1y", "中文 字", "_a_b"]
+    texts = [t for _, t, _ in corpus[:60]] + odd
+    assert all(langid._ranked(t).tolist() == brute_rank(t) for t in texts)
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(texts)]
+    profiles = langid.train_profiles(docs(spark, rows[:40]))
+    assert {k: v.tolist() for k, v in profiles.items()} == {k: brute_rank(" ".join(t for _, t, lang in rows[:40] if lang == k)) for k in ("en", "fr")}
+    for r in langid.identify(docs(spark, rows), profiles).collect():
+        own = brute_rank(r.text)
+        far = {k: sum(min(abs(v.tolist().index(g) - i), langid.PROFILE) if g in v else langid.PROFILE for i, g in enumerate(own)) for k, v in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want = (best, 1 - far[best] / (langid.PROFILE * len(own))) if own else ("und", 0.0)
+        assert r.language.lang_pred == want[0] and abs(r.language.score - want[1]) < 1e-12
+
+
+def test_quality_of_odd_texts(spark):
+    """Long texts without blanks, ties, repeated rows and few labels give finite scores."""
+    rows = [(i, "fine words here" if i % 2 else "JUNK!! JUNK!!", "en") for i in range(12)] * 2
+    model = quality.train(docs(spark, rows).withColumn("label", (F.col("doc_id") % 2).cast("int")))
+    odd = [(100, "a," * 200_000, "en"), (101, "ab" * 300_000, "en"), (102, ",." * 300_000, "en"), (103, " " * 10_000, "en"), (104, None, "en"), (None, "\u0301", None)]
+    got = [r.s for r in docs(spark, rows + odd).select(quality.scorer(spark, model)("text").alias("s")).collect()]
+    assert all(0 <= s <= 1 for s in got) and len(set(got[:24:2])) == 1 and got[0] < 0.3 < got[1]
+    assert quality.train(docs(spark, rows[:0]).withColumn("label", F.lit(1))).prior == 0.5
+    assert quality.train(docs(spark, rows).withColumn("label", F.lit(1))).prior == 1
+
+
+def test_pooled_vectors_by_brute_force(monkeypatch):
+    """Sums over chunks equal those over the words of whole texts, however texts are cut."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    bits = [" ", "\n", "a", "Bc", "BC", "é", "12", "'s", ".", "!!", "\t", "\xa0", "中", "_", "|", ", "]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(200)] + [None, ""]
+    context = np.random.default_rng(1).normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32)
+    want = []
+    for t in texts:
+        h = quality.word_hashes(quality._words(t))
+        v = quality._unit(quality.index_vectors(h) + context[quality._slots(h)]) if len(h) else np.zeros((1, quality.DIM))
+        want.append(np.concatenate([v.mean(0), v.std(0), [np.linalg.norm(v.mean(0))]]))
+    for span, made in ((4_000_000, quality.MADE), (61, 5)):
+        monkeypatch.setattr(chunks, "SPAN", span)
+        monkeypatch.setattr(quality, "MADE", made)
+        assert np.allclose(quality.pooled(pa.array(texts), context), want, atol=2e-3)

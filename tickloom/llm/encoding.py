@@ -1,10 +1,7 @@
 """Token ids of the `tokenizers` library for columns of texts, with chunks that recur encoded once per Python worker.
 
-Both tokenizers cut a text before they merge, so a text may be cut wherever such a cut is certain: before a space or a line
-end that follows a printable character, between an ASCII or Latin-1 letter or digit and an ASCII mark, after a mark other
-than the apostrophe, and after a single line end. The bytes of a whole column are cut at once, equal chunks are found
-by Arrow's dictionary, new chunks are encoded by the library, and the ids of the texts are gathered from those of the
-chunks. Anything else stays in one chunk, so that the ids always equal those of whole texts.
+Both tokenizers cut a text before they merge, and every end of a chunk (`chunks.py`) is such a cut. New chunks are encoded
+by the library, and the ids of the texts are gathered from those of the chunks: they equal those of whole texts.
 """
 
 from __future__ import annotations
@@ -15,51 +12,12 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 500_000  # by default, about how many chunks a worker keeps; it starts anew once most chunks of a span are new to a full one
-SPAN = 4_000_000  # bytes of text whose chunks are looked up at a time
-_OTHER, _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _LINE, _LEAD = range(8)
-
-
-def _kinds() -> np.ndarray:
-    out = np.full(256, _OTHER, np.uint8)
-    out[0x21:0x7F] = _MARK
-    for c in range(0x21, 0x7F):
-        if chr(c).isalnum():
-            out[c] = _LETTER if chr(c).isalpha() else _DIGIT
-    out[ord("'")], out[ord(" ")], out[ord("\n")], out[0xC3] = _QUOTE, _SPACE, _LINE, _LEAD
-    return out
-
-
-def _cuts() -> np.ndarray:
-    """Whether a chunk ends between two kinds of bytes (left * 8 + right)."""
-    out = np.zeros((8, 8), np.bool_)
-    out[_LETTER : _QUOTE + 1, [_SPACE, _LINE]] = True
-    out[[_LETTER, _DIGIT], _MARK] = out[[_LETTER, _DIGIT], _QUOTE] = True
-    out[_LETTER, _DIGIT] = out[_DIGIT, _LETTER] = out[_DIGIT, _LEAD] = True
-    out[_MARK, [_LETTER, _DIGIT, _LEAD]] = True
-    return out.ravel()
+from tickloom.llm.chunks import spans
 
-
-_KINDS, _CUTS = _kinds(), _cuts()
+CACHE_CHUNKS = 500_000  # by default, about how many chunks a worker keeps; it starts anew once most chunks of a span are new to a full one
 _made: dict[str, "ColumnEncoder"] = {}
 
 
-def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Whether each byte of UTF-8 text is the last of a chunk."""
-    kind = _KINDS[data]
-    lead = np.flatnonzero(kind[:-1] == _LEAD)
-    second = data[lead + 1]
-    plain = (second != 0x97) & (second != 0xB7)  # multiplication and division sign
-    kind[lead[plain] + 1] = _LETTER
-    kind[lead[~plain]] = kind[lead[~plain] + 1] = _OTHER
-    cut = np.ones(len(data), np.bool_)
-    cut[:-1] = _CUTS[kind[:-1] * np.uint8(8) + kind[1:]]
-    line = np.flatnonzero(kind[1:-1] == _LINE) + 1  # of single line ends between printable characters
-    before, after = kind[line - 1], kind[line + 1]
-    cut[line] = (before != _OTHER) & (before <= _QUOTE) & (after != _OTHER) & ((after <= _QUOTE) | (after == _LEAD))
-    return cut
-
-
 class ColumnEncoder:
     def __init__(self, path: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -126,46 +84,19 @@ class ColumnEncoder:
                 self.known.update(zip(words, made))
         return ids
 
-    def _span(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many before each chunk and in all) of data cut at `starts`, which begin with 0."""
-        offsets = np.append(starts, len(data)).astype(np.int32)
-        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._ids_of_chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
-        codes = chunks.indices.to_numpy()
-        own = size[codes]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        return flat[np.repeat(first[codes] - upto[:-1], own) + np.arange(upto[-1])], upto
-
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; n + 1 bounds) of an Arrow column; a null text counts as empty."""
-        texts = texts.fill_null("").cast(pa.large_binary())
-        _, offsets, data = texts.buffers()
-        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
-        bounds = bounds - bounds[0]
-        parts, counts, made, at, reach = [], np.zeros(len(bounds), np.int64), 0, 0, SPAN
-        while at < len(data):
-            end = min(at + reach, len(data))
-            first, last = np.searchsorted(bounds, at, "right"), np.searchsorted(bounds, end, "right")
-            cut = chunk_ends(data[at : end + 2])
-            cut[bounds[first:last] - at - 1] = True  # texts end
-            starts = np.flatnonzero(cut[: end - at - (end == len(data))]) + 1
-            if end < len(data):  # the last chunk may go on
-                if not len(starts):
-                    reach *= 2
-                    continue
-                end = at + int(starts[-1])
-                starts = starts[:-1]
-            ids, upto = self._span(data[at:end], np.concatenate([[0], starts]))
-            inside = slice(np.searchsorted(bounds, at), np.searchsorted(bounds, end))
-            counts[inside] = made + upto[np.searchsorted(np.concatenate([[0], starts]), bounds[inside] - at)]
-            parts.append(ids)
-            made += len(ids)
-            at, reach = end, SPAN
-        counts[np.searchsorted(bounds, len(data)) :] = made
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32), counts
+        parts, bounds, made = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        for span in spans(texts):
+            ids = self._ids_of_chunks(span.chunks)
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+            own = size[span.codes]
+            upto = np.concatenate([[0], np.cumsum(own)])
+            parts.append(flat[np.repeat(first[span.codes] - upto[:-1], own) + np.arange(upto[-1])])
+            bounds.append(made + upto[span.upto])
+            made += int(upto[-1])
+        return np.concatenate(parts), np.concatenate(bounds)
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         ids, bounds = self.column(pa.array(texts, pa.string()))
