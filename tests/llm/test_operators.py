@@ -467,3 +467,57 @@ def test_pooled_vectors_by_brute_force(monkeypatch):
         monkeypatch.setattr(chunks, "SPAN", span)
         monkeypatch.setattr(quality, "MADE", made)
         assert np.allclose(quality.pooled(pa.array(texts), context), want, atol=2e-3)
+
+
+def pages_and_articles(spark):
+    import os
+    import re
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        found = html_text.blocks(r.html)
+        inside = re.search(r"<article[^>]*>(.*)</article>", r.html or "", re.S)
+        texts, own = [b[0] for b in found], [b[0] for b in html_text.blocks(inside[1] if inside else "")]
+        at = next(i for i in range(len(texts) + 1) if texts[i : i + len(own)] == own)
+        yield found, np.array([at <= i < at + len(own) for i in range(len(found))])
+
+
+def test_blocks_of_pages_by_words_and_links(spark):
+    """Precision and recall on pages that the table was not made of; without word counts or link densities they fall."""
+    every = [(html_text.features(f), y) for f, y in pages_and_articles(spark) if f]
+    x, y = np.concatenate([f for f, _ in every]), np.concatenate([y for _, y in every])
+    table = np.array(html_text.LABELLED, float)
+
+    def measured(without):
+        t, own = table.copy(), x.copy()
+        t[:, without], own[:, without] = 0, 0
+        k = html_text.keep(html_text.grow(t[:, :-1], t[:, -1]), own)
+        return (k & y).sum() / max(k.sum(), 1), (k & y).sum() / y.sum()
+
+    assert min(measured([])) > 0.999
+    columns = {w: [i for i, n in enumerate(html_text.FEATURES) if n.startswith(w)] for w in ("words", "links", "kind")}
+    assert min(measured(columns["links"] + columns["words"])) < 0.98
+    assert len(html_text.LABELLED) < 200 and min(measured(columns["kind"])) > 0.6
+
+
+def test_tree_by_brute_force():
+    """The first split has the least impurity of all splits; a tree of enough depth repeats a table without contradictions."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 5, (40, 3)).astype(float), rng.integers(0, 2, 40).astype(float)
+    of = {tuple(r): v for r, v in zip(x.tolist(), y)}
+    y = np.array([of[tuple(r)] for r in x.tolist()])
+    gini = lambda v: len(v) * 2 * v.mean() * (1 - v.mean()) if len(v) else 0
+    best = min(gini(y[x[:, f] <= c]) + gini(y[x[:, f] > c]) for f in range(3) for c in (0.5, 1.5, 2.5, 3.5))
+    f, cut, *_ = html_text.grow(x, y)
+    assert abs(gini(y[x[:, f] <= cut]) + gini(y[x[:, f] > cut]) - best) < 1e-9
+    assert (html_text.keep(html_text.grow(x, y, 30), x) == (y == 1)).all()
+
+
+def test_broken_tags():
+    texts = lambda page: [b[0] for b in html_text.blocks(page)]
+    assert texts('<p data-x=5">one</p><p title="a > b">two</p><p title=\'"\'>three') == ["one", "two", "three"]
+    assert texts("<p>a<br>b &amp; c&#33;<p>d <b>e<p>f</b> g") == ["a b & c!", "d e", "f g"]
+    assert texts("<p>x<!-- never closed <p>y") == ["x"] and texts("<p>x<script>y") == ["x"] and texts("") == texts(None) == []
+    assert texts("<p " + "a=' " * 20_000 + ">end") in (["end"], [])  # in linear time
+    assert [b[:3] for b in html_text.blocks("<li>see <a href=x>one two</a></li>")] == [("see one two", 3, 2)]

@@ -1,11 +1,14 @@
-"""Main text of web pages: flat text blocks, classified by a decision tree over the blocks and their neighbours.
+"""Main text of web pages: flat text blocks, classified by a decision tree over word counts and link densities.
 
-Block-level tags cut a page into blocks of text. A block has its word count and link density, those of the blocks before
-and after it, and whether it lies in an article-like or in a boilerplate-like part of the page. A small labelled table
-trains a decision tree (Gini) that keeps or drops each block.
+Block-level tags cut a page into a flat row of text blocks. A block has its word count and link density, those of the block
+before and after it, and the kind of element that the page gives it and its neighbours (KINDS): a paragraph, a heading, an
+item of a list or table, or other flow text. What HTML itself sets apart from the main flow (navigation, asides, footers,
+forms, a header before the article, articles after the first, as remarks are) has no kind of its own and counts as other text. A small labelled table
+trains a decision tree (Gini) that keeps or drops each block; there are no lists of class names or phrases.
 
 Edge cases: a null or empty page, or one without kept blocks, has an empty text; unclosed and misnested tags end with
-the part around them; an unclosed comment, script or style runs to the end of the page; nothing is capped.
+the part around them; an unclosed comment, script or style runs to the end of the page; a quote counts in a tag only
+straight after an equals sign; nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,48 +21,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside"]
-#: Fixed labelled table: the FEATURES of typical blocks and whether they belong to the main text.
+KINDS = ("other", "item", "heading", "paragraph")
+FEATURES = ["words", "links", "kind", "words_before", "links_before", "kind_before", "words_after", "links_after", "kind_after"]
+#: Fixed labelled table: the FEATURES of blocks of pages and whether they belong to the main text.
 LABELLED = [
-    # in an article: headings, long and short paragraphs, list items, a lone link
-    (8, 0.0, 6, 1.0, 40, 0.0, 1, 0, 1), (2, 0.0, 35, 0.0, 60, 0.0, 1, 0, 1), (1, 0.0, 50, 0.0, 2, 0.0, 1, 0, 1),
-    (120, 0.02, 8, 0.0, 90, 0.0, 1, 0, 1), (60, 0.1, 120, 0.0, 45, 0.0, 1, 0, 1), (15, 0.3, 60, 0.0, 15, 0.2, 1, 0, 1),
-    (45, 0.0, 60, 0.0, 10, 0.2, 1, 0, 1), (3, 0.0, 10, 0.0, 0, 0.0, 1, 0, 1), (30, 0.6, 40, 0.0, 40, 0.0, 1, 0, 1),
-    (4, 0.0, 12, 0.0, 9, 0.1, 1, 0, 1), (9, 0.9, 50, 0.0, 30, 0.0, 1, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (3, 0.3, 0, 0.0, 5, 0.0, 1, 0, 1), (60, 0.0, 30, 0.0, 3, 1.0, 1, 0, 1), (1, 1.0, 30, 0.0, 30, 0.0, 1, 0, 1),
-    (5, 0.0, 1, 1.0, 2, 1.0, 1, 0, 1), (80, 0.0, 2, 1.0, 1, 1.0, 1, 0, 1), (2, 0.5, 8, 0.9, 6, 0.8, 1, 0, 1),
-    (20, 0.8, 3, 0.9, 2, 0.7, 1, 0, 1), (6, 0.0, 90, 0.5, 40, 0.6, 1, 0, 1), (35, 0.4, 4, 0.7, 70, 0.4, 1, 0, 1),
-    # in a menu, footer, sidebar, notice, advert, form or reader comment, inside an article or not
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0), (8, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0),
-    (12, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0), (30, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0), (60, 0.1, 10, 0.5, 60, 0.0, 0, 1, 0),
-    (25, 0.0, 90, 0.0, 30, 0.0, 1, 1, 0), (5, 0.5, 70, 0.0, 20, 0.0, 1, 1, 0), (90, 0.0, 3, 0.0, 80, 0.0, 1, 1, 0),
-    (40, 0.3, 5, 1.0, 3, 1.0, 0, 1, 0), (150, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0), (6, 0.0, 110, 0.0, 40, 0.0, 1, 1, 0),
-    # outside both: body text by its length and its neighbours, link lists and short scraps dropped
-    (60, 0.0, 5, 0.0, 70, 0.0, 0, 0, 1), (35, 0.1, 80, 0.0, 40, 0.0, 0, 0, 1), (120, 0.05, 2, 1.0, 2, 1.0, 0, 0, 1),
-    (25, 0.0, 3, 0.5, 50, 0.0, 0, 0, 1), (18, 0.0, 40, 0.0, 22, 0.0, 0, 0, 1), (9, 0.0, 60, 0.0, 55, 0.0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1), (12, 0.1, 50, 0.0, 30, 0.0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0),
-    (6, 0.8, 40, 0.0, 5, 0.9, 0, 0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 0.5, 0, 0, 0),
-    (15, 0.9, 20, 0.8, 18, 0.9, 0, 0, 0), (25, 0.7, 3, 1.0, 30, 0.8, 0, 0, 0), (3, 0.3, 6, 0.2, 0, 0.0, 0, 0, 0),
-    (40, 0.9, 2, 1.0, 2, 1.0, 0, 0, 0), (60, 0.6, 60, 0.7, 50, 0.8, 0, 0, 0), (8, 0.6, 50, 0.0, 8, 0.7, 0, 0, 0),
+    # words, links and kind of the block, of the one before, of the one after; whether it is main text
+    # menus, link lists, site heads
+    (1,1,1, 0,0,0, 1,1,1, 0),(2,1,1, 1,1,1, 2,1,1, 0),(3,1,0, 0,0,0, 1,1,1, 0),(1,1,1, 1,1,1, 9,0,2, 0),(2,1,0, 3,1,0, 2,1,0, 0),(4,0.5,0, 2,1,0, 3,1,0, 0),
+    (12,0.9,3, 60,0,3, 9,0,0, 0),(25,0.8,3, 40,0,3, 8,0.7,0, 0),(6,1,2, 3,1,1, 5,1,1, 0),
+    # adverts, notices, sidebars, forms, remarks and footers outside paragraphs
+    (8,0,0, 1,1,1, 10,0,2, 0),(5,0,0, 1,1,1, 9,0,2, 0),(12,0.1,0, 1,1,1, 4,0,2, 0),(10,0,0, 45,0,3, 0,0,0, 0),(6,0,0, 80,0,3, 0,0,0, 0),(14,0.2,0, 6,0,3, 0,0,0, 0),
+    (20,0,0, 70,0,3, 60,0,3, 0),(4,0,0, 30,0,3, 6,0,0, 0),(30,0,0, 40,0,3, 25,0,0, 0),(9,0,0, 20,0,0, 12,0,0, 0),(3,0,0, 0,0,0, 2,1,1, 0),(15,0,0, 9,0,0, 30,0,0, 0),
+    # paragraphs and headings, long and short
+    (9,0,2, 8,0,0, 14,0,3, 1),(3,0,2, 1,1,1, 12,0,3, 1),(12,0,2, 40,0,3, 30,0,3, 1),(6,0,2, 50,0,3, 20,0,1, 1),
+    (40,0,3, 12,0,3, 60,0,3, 1),(120,0.05,3, 40,0,3, 90,0,3, 1),(2,0,3, 60,0,3, 30,0,3, 1),(5,0,3, 20,0,3, 10,0,0, 1),(30,0.4,3, 60,0,3, 20,0,3, 1),(14,0,3, 9,0,2, 70,0,3, 1),
+    (1,0,3, 1,0,3, 9,0,0, 1),(60,0.2,3, 8,0,0, 40,0,3, 1),(200,0,3, 0,0,0, 0,0,0, 1),
+    # items of a list or table within the text
+    (6,0,1, 30,0,3, 7,0,1, 1),(12,0.1,1, 7,0,1, 9,0,1, 1),(9,0,1, 12,0,1, 40,0,3, 1),(20,0.3,1, 15,0,1, 18,0,1, 1),
+    # body text without paragraph tags
+    (90,0,0, 9,0,2, 80,0,0, 1),(70,0.05,0, 90,0,0, 60,0,0, 1),(150,0,0, 0,0,0, 0,0,0, 1),(60,0.1,0, 100,0,0, 8,0,0, 1),(120,0.02,0, 1,1,1, 9,0,0, 1),
+    # where the neighbours decide: items and headings of link lists or of the text, links within or outside the text, untagged text
+    (2,0,1, 1,1,1, 2,1,1, 0),(3,0,1, 2,1,1, 1,1,1, 0),(4,0,1, 3,1,1, 5,0.8,1, 0),(2,0,2, 3,1,1, 1,1,1, 0),(3,0,2, 12,0,0, 2,1,1, 0),(1,0,2, 40,0,3, 3,1,1, 0),(2,0,2, 30,0,3, 4,1,3, 0),(4,0,2, 9,0,3, 2,1,0, 0),
+    (9,0.7,3, 60,0,3, 45,0,3, 1),(6,0.6,3, 40,0,3, 30,0.1,3, 1),(1,1,3, 50,0,3, 40,0,3, 1),(8,0.6,1, 25,0,1, 30,0,3, 1),(5,1,1, 30,0,1, 28,0,1, 1),
+    (9,0.7,3, 3,1,1, 8,0.9,3, 0),(7,0.8,3, 40,0,3, 3,0,0, 0),(10,0.6,3, 2,1,0, 5,1,3, 0),
+    (22,0,0, 90,0,0, 70,0,0, 1),(28,0,0, 60,0,0, 85,0.1,0, 1),(48,0,0, 3,1,0, 5,1,0, 0),(52,0.1,0, 4,1,1, 2,1,1, 0),
+    # from a page
+    (83, 0, 3, 18, 0, 3, 5, 0, 3, 1),
 ]
 _BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _HIDDEN = frozenset("script style noscript template textarea title head iframe svg canvas object select button".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
-_ASIDE_TAGS = frozenset("nav aside footer form menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|legal|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-_ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main)(?:$|[\s_-])", re.I)
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-
-
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in an article, in boilerplate) of each block that has text."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, boilerplate, hidden
-    article = aside = hidden = False
+_APART = frozenset("nav aside footer form menu dialog".split())
+_KIND = {t: 1 for t in "li dd dt td th option".split()} | {f"h{k}": 2 for k in range(1, 7)} | {t: 3 for t in "p blockquote pre".split()}
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
+
+
+def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
+    """(text, words, words in links, kind) of each block that has text."""
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, then what holds around it: kind, apart, in an article, hidden
+    kind, apart, article, hidden, articles = 0, False, False, False, 0
     run: list[str] = []
     linked, depth = 0, 0
     at, page = 0, page or ""
@@ -68,7 +70,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         nonlocal run, linked
         text = " ".join("".join(run).split())
         if text:
-            out.append((text, len(text.split(" ")), linked, article, aside))
+            out.append((text, len(text.split(" ")), linked, 0 if apart else kind))
         run, linked = [], 0
 
     def add(raw: str) -> None:
@@ -90,15 +92,16 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
                 depth = 0
             if tag in _BLOCK_TAGS:
                 close()
+                kind = 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    article, aside, hidden = stack[i][1:]
+                    kind, apart, article, hidden = stack[i][1:]
                     del stack[i:]
                     break
             continue
         if tag in _BLOCK_TAGS:
             close()
-            depth = 0 if tag != "a" else depth
+            depth, kind = 0, _KIND.get(tag, 0)
         elif tag == "br":
             add(" ")
         if tag == "a":
@@ -112,30 +115,24 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         if tag in _BLOCK_TAGS or tag in _HIDDEN:
             if tag == "body":  # ends a head that was left open
                 hidden = False
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-            if tag != "p" and tag != "li":
-                stack.append((tag, article, aside, hidden))
+            if tag not in ("p", "li"):  # which may end without an end tag
+                around = 0 if tag in _KIND and _KIND[tag] != 1 else kind
+                stack.append((tag, around, apart, article, hidden))
             hidden = hidden or tag in _HIDDEN
-            remarks = bool(_COMMENTS.search(names))
-            if (tag in ("article", "main") or (names and _ARTICLE_NAMES.search(names) and not _ASIDE_NAMES.search(names))) and not any(t == "#comments" for t, *_ in stack):
-                article, aside = True, aside and tag not in ("article", "main")
-            elif tag in _ASIDE_TAGS or (tag == "header" and not article) or (names and tag not in ("body", "html") and _ASIDE_NAMES.search(names)):
-                aside = True
-            if remarks:  # articles inside are comments too
-                before = stack.pop() if tag not in ("p", "li") else (tag, article, False, hidden)
-                stack += [before, ("#comments", *before[1:])] if tag not in ("p", "li") else []
+            articles += tag == "article"
+            apart = apart or tag in _APART or (tag == "header" and not article) or (tag == "article" and articles > 1)
+            article = article or tag == "article"
     add(page[at:])
     close()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    """A row of FEATURES for each block."""
+def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """A row of FEATURES for each block; zeros stand for a neighbour that is not there."""
     n = np.array([b[1] for b in found], float)
-    links = np.array([b[2] for b in found], float) / np.maximum(n, 1)
-    before, after = np.concatenate([[0.0], n[:-1]]), np.concatenate([n[1:], [0.0]])
-    links_before, links_after = np.concatenate([[0.0], links[:-1]]), np.concatenate([links[1:], [0.0]])
-    return np.stack([n, links, before, links_before, after, links_after, np.array([b[3] for b in found], float), np.array([b[4] for b in found], float)], axis=1)
+    own = np.stack([n, np.array([b[2] for b in found], float) / np.maximum(n, 1), np.array([b[3] for b in found], float)], axis=1)
+    none = np.zeros((1, 3))
+    return np.concatenate([own, np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])], axis=1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
