@@ -294,7 +294,7 @@ def test_language_model(spark, corpus):
 def test_likelihood_is_exact():
     rng = np.random.default_rng(1)
     m = hmm.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(30), 4))
-    x = [rng.integers(0, 30, n).astype(np.uint16) for n in (1, 5, 255, 256, 257, 700, 513)]
+    x = [rng.integers(0, 30, n).astype(np.uint16) for n in (1, 5, 255, 256, 257, 700, 513, 5000)]
     for got, s in zip(m.log10_likelihood(x), x):
         a = m.start * m.emit[:, s[0]]
         total = 0.0
@@ -521,3 +521,36 @@ def test_broken_tags():
     assert texts("<p>x<!-- never closed <p>y") == ["x"] and texts("<p>x<script>y") == ["x"] and texts("") == texts(None) == []
     assert texts("<p " + "a=' " * 20_000 + ">end") in (["end"], [])  # in linear time
     assert [b[:3] for b in html_text.blocks("<li>see <a href=x>one two</a></li>")] == [("see one two", 3, 2)]
+
+
+def test_expected_counts_are_exact(monkeypatch):
+    """Baum-Welch counts of whole texts against the plain recursions, with texts of one and of many segments."""
+    monkeypatch.setattr(hmm, "LONG", 16)
+    rng = np.random.default_rng(6)
+    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(12), 3))
+    x = [rng.integers(0, 12, n).astype(np.uint16) for n in (1, 2, 15, 16, 17, 40, 100, 33)]
+    got = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((3, 12)), "log": 0.0}
+    m.expected(x, got)
+    want = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((3, 12)), "log": 0.0}
+    for s in x:
+        e = m.emit[:, s].T
+        alpha, beta = np.zeros((len(s), 3)), np.ones((len(s), 3))
+        for t in range(len(s)):
+            alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.move) * e[t]
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = m.move @ (e[t + 1] * beta[t + 1])
+        p = alpha[-1].sum()
+        want["log"] += np.log(p)
+        want["start"] += alpha[0] * beta[0] / p
+        for t in range(len(s)):
+            want["emit"][:, s[t]] += alpha[t] * beta[t] / p
+            if t:
+                want["move"] += np.outer(alpha[t - 1], e[t] * beta[t]) / p
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-4, atol=1e-4), k
+
+
+def test_dictionary_has_whole_levels(spark):
+    counts = spark.createDataFrame([(f"t{k}", c) for k, c in enumerate([9, 5, 5, 5, 2, 1, 1])], "token string, c long")
+    assert hmm._dictionary(counts, 5) == (["t0", "t1", "t2", "t3", "t4"], [9, 5, 5, 5, 2])
+    assert hmm._dictionary(counts, 3) == (["t0"], [9]) and hmm._dictionary(counts.where("c = 5"), 2) == ([], [])

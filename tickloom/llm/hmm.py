@@ -3,11 +3,13 @@
 Tokens are the lower-cased words of a text and one end. Exact token counts of the training texts give the base model and
 the alphabet: the SINGLES most frequent tokens are symbols of their own, all others fall into CLASSES classes by a hash of
 their last bytes. A state emits symbols; a token's share within its class follows the smoothed counts. Each round of
-Baum-Welch adds up the expected counts of all partitions; training cuts texts into segments of SEGMENT tokens, scoring
-does not: segments of long texts are joined by their transfer matrices, which gives the likelihood of the whole sequence.
+Baum-Welch adds up the expected counts of all partitions, over whole texts: a text of more than LONG tokens is worked on
+in segments, which get the forward and backward messages at their borders from the transfer matrices of all segments.
+Scoring joins segments of SEGMENT tokens by such matrices, which gives the likelihood of the whole sequence.
 
 Edge cases: a null or empty text has the end token alone; without training texts N and V are 0 and scores follow from the
-smoothing alone; repeated rows count as often as they occur; a null doc_id is learned from and stays null.
+smoothing alone; repeated rows count as often as they occur; a null doc_id stays null and is held out or not as the
+caller's column says; ties in the order of tokens go by their bytes as text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ SMOOTH = 0.1
 STATES, ROUNDS, SEED = 8, 4, 11
 SINGLES, CLASSES = 8192, 1024
 DICTIONARY = 131_072  # frequent tokens whose counts are sent to all tasks; the others are joined
-SEGMENT = 256
+SEGMENT = 256  # tokens that scoring runs through at a time
+LONG = 100_000  # tokens that training runs through at a time
+GROUP = 800_000  # tokens whose messages a task holds at a time, about
 
 
 def class_of(token: bytes) -> int:
@@ -55,6 +59,20 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _dictionary(counts: DataFrame, limit: int = DICTIONARY) -> tuple[list[str], list[int]]:
+    """The most frequent tokens and their counts, the most frequent first; tokens of one count are all in or all out, so at most `limit`."""
+    total, least = 0, None
+    for r in counts.groupBy("c").agg(F.count("*").alias("v")).orderBy(F.desc("c")).limit(limit).collect():
+        total += r.v
+        if total > limit:
+            break
+        least = r.c
+    if least is None:
+        return [], []
+    rows = sorted((-r.c, r.token) for r in counts.where(F.col("c") >= least).collect())
+    return [t for _, t in rows], [-c for c, _ in rows]
+
+
 class Alphabet:
     """Symbols and log shares of tokens. place: token -> position among the DICTIONARY most frequent; counts: theirs."""
 
@@ -83,78 +101,110 @@ class Alphabet:
 
 
 def _steps(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences as columns, the longest first: (symbols by step, how many go on at each step, order)."""
+    """Sequences as columns, the longest first: (symbols step by step, how many columns each step has, order)."""
     sizes = np.array([len(s) for s in x])
     order = np.argsort(-sizes, kind="stable")
-    grid = np.zeros((int(sizes.max()), len(x)), np.int64)
+    width = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())))  # columns longer than each step
+    first = np.cumsum(width) - width
+    flat = np.empty(int(width.sum()), np.int32)
     for column, i in enumerate(order):
-        grid[: sizes[i], column] = x[i]
-    alive = (sizes[order][None, :] > np.arange(grid.shape[0])[:, None]).sum(axis=1)
-    return grid, alive, order
+        flat[first[: sizes[i]] + column] = x[i]
+    return flat, width, order
 
 
 class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit  # emit: state x symbol
 
+    def _transfer(self, x: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(matrices from each state before to each state at the end of the segments, their logs); no move comes before the first symbol of a text."""
+        flat, width, order = _steps(x)
+        emitted, k = np.ascontiguousarray(self.emit.T), len(self.start)
+        m = np.where(begins[order][:, None, None], np.eye(k), self.move)
+        logs, at = np.zeros(len(x)), 0
+        for t, n in enumerate(width):
+            a = m[:n] if t == 0 else (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k)
+            a = a * emitted[flat[at : at + n]][:, None, :]
+            c = a.sum(axis=(1, 2))
+            m[:n], logs[:n] = a / c[:, None, None], logs[:n] + np.log(c)
+            at += n
+        out, back = np.empty_like(m), np.empty_like(logs)
+        out[order], back[order] = m, logs
+        return out, back
+
+    def _borders(self, segments: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of the segments of one text: forward messages before each but the first, backward messages after each."""
+        m = np.concatenate([self._transfer(segments[i : i + 256], np.arange(i, min(i + 256, len(segments))) == 0)[0] for i in range(0, len(segments), 256)])
+        forward, backward = [self.start], [np.ones(len(self.start))]
+        for s in range(len(segments) - 1):
+            a = forward[-1] @ m[s]
+            forward.append(a / a.sum())
+        for s in range(len(segments) - 1, 0, -1):
+            b = m[s] @ backward[-1]
+            backward.append(b / b.sum())
+        return forward, backward[::-1]
+
     def expected(self, x: list[np.ndarray], total: dict) -> None:
-        """Adds the expected counts of some segments to `total`."""
-        grid, alive, _ = _steps(x)
-        steps, many, k = *grid.shape, len(self.start)
-        emitted = np.ascontiguousarray(self.emit.T)  # symbol x state
-        alpha, scale = np.zeros((steps, many, k)), np.ones((steps, many))
-        for t in range(steps):
-            n = alive[t]
-            a = (self.start if t == 0 else alpha[t - 1, :n] @ self.move) * emitted[grid[t, :n]]
-            scale[t, :n] = a.sum(axis=1)
-            alpha[t, :n] = a / scale[t, :n, None]
-        beta, gamma = np.ones((many, k)), np.zeros_like(alpha)
-        for t in range(steps - 1, -1, -1):
-            n = alive[t]
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
+        """Adds the expected counts of some whole texts to `total`."""
+        parts, before, after, begins = [], [], [], []
+        for s in x:
+            cut = [s[at : at + LONG] for at in range(0, len(s), LONG)]
+            forward, backward = self._borders(cut) if len(cut) > 1 else ([self.start], [np.ones(len(self.start))])
+            parts += cut
+            before += forward
+            after += backward
+            begins += [True] + [False] * (len(cut) - 1)
+        flat, width, order = _steps(parts)
+        k, kind = len(self.start), np.float32
+        emitted, move = np.ascontiguousarray(self.emit.T, kind), self.move.astype(kind)
+        before, begins = np.array(before)[order], np.array(begins)[order]
+        alpha, scale = np.empty((len(flat), k), kind), np.empty(len(flat), kind)
+        ends = np.cumsum(width)
+        for t, n in enumerate(width):
+            at = ends[t] - n
+            a = alpha[at - width[t - 1] : at - width[t - 1] + n] @ move if t else np.where(begins[:, None], before, before @ self.move).astype(kind)
+            a *= emitted[flat[at : at + n]]
+            c = a.sum(axis=1)
+            scale[at : at + n] = c
+            np.divide(a, c[:, None], out=alpha[at : at + n])
+        beta = np.array(after, kind)[order]
+        sizes = np.array([len(s) for s in parts])[order]
+        beta /= (alpha[ends[sizes - 1] - width[sizes - 1] + np.arange(len(parts))] * beta).sum(axis=1, keepdims=True)
+        for t in range(len(width) - 1, -1, -1):
+            n, at = width[t], ends[t] - width[t]
+            later = emitted[flat[at : at + n]] * beta[:n] / scale[at : at + n, None]
+            alpha[at : at + n] *= beta[:n]  # from here on the share of each state
             if t:
-                after = emitted[grid[t, :n]] * beta[:n] / scale[t, :n, None]
-                total["move"] += alpha[t - 1, :n].T @ after
-                beta[:n] = after @ self.move.T
-        total["start"] += gamma[0].sum(axis=0)
-        on = np.arange(many)[None, :] < alive[:, None]
-        flat, g = grid[on], gamma[on]
+                total["move"] += alpha[at - width[t - 1] : at - width[t - 1] + n].T @ later
+                beta[:n] = later @ move.T
+            else:
+                total["start"] += alpha[:n][begins].sum(axis=0)
+                total["move"] += before[~begins].T @ later[~begins]
         for s in range(k):
-            total["emit"][s] += np.bincount(flat, weights=g[:, s], minlength=total["emit"].shape[1])
-        total["log"] += float(np.log(scale[on]).sum())
+            total["emit"][s] += np.bincount(flat, weights=alpha[:, s], minlength=total["emit"].shape[1])
+        total["log"] += float(np.log(scale, dtype=np.float64).sum())
 
     def log10_likelihood(self, x: list[np.ndarray]) -> np.ndarray:
         """Of whole sequences. The first segment runs from the start distribution, later ones as matrices from each state."""
-        k, out = len(self.start), np.zeros(len(x))
+        flat, width, order = _steps([s[:SEGMENT] for s in x])
         emitted = np.ascontiguousarray(self.emit.T)
-        grid, alive, order = _steps([s[:SEGMENT] for s in x])
-        alpha = np.broadcast_to(self.start, (len(x), k)).copy()
-        logs = np.zeros(len(x))
-        for t in range(len(grid)):
-            n = alive[t]
-            a = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * emitted[grid[t, :n]]
+        alpha, logs, at = np.broadcast_to(self.start, (len(x), len(self.start))).copy(), np.zeros(len(x)), 0
+        for t, n in enumerate(width):
+            a = (alpha[:n] @ self.move if t else alpha[:n]) * emitted[flat[at : at + n]]
             c = a.sum(axis=1)
             alpha[:n], logs[:n] = a / c[:, None], logs[:n] + np.log(c)
-        out[order] = logs
-        ends = np.empty_like(alpha)
-        ends[order] = alpha
+            at += n
+        out, ends = np.empty_like(logs), np.empty_like(alpha)
+        out[order], ends[order] = logs, alpha
         later = [(i, s[at : at + SEGMENT]) for i, s in enumerate(x) for at in range(SEGMENT, len(s), SEGMENT)]
-        for at in range(0, len(later), 2048):
-            some = later[at : at + 2048]
-            grid, alive, order = _steps([s for _, s in some])
-            m = np.broadcast_to(np.eye(k), (len(some), k, k)).copy()
-            logs = np.zeros(len(some))
-            for t in range(len(grid)):
-                n = alive[t]
-                a = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * emitted[grid[t, :n]][:, None, :]
-                c = a.sum(axis=(1, 2))
-                m[:n], logs[:n] = a / c[:, None, None], logs[:n] + np.log(c)
-            where = np.argsort(order)
+        for at in range(0, len(later), 256):
+            some = later[at : at + 256]
+            m, logs = self._transfer([s for _, s in some], np.zeros(len(some), np.bool_))
             for j, (i, _) in enumerate(some):  # in the order of the text
-                a = ends[i] @ m[where[j]]
+                a = ends[i] @ m[j]
                 c = a.sum()
                 ends[i] = a / c
-                out[i] += np.log(c) + logs[where[j]]
+                out[i] += np.log(c) + logs[j]
         return out / np.log(10)
 
 
@@ -174,16 +224,21 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, roun
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value
             total = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((states, size)), "log": 0.0}
-            waiting: list[np.ndarray] = []
+            waiting: tuple[list, list, list] = [], [], []  # texts of like lengths go together
+            held = [0, 0, 0]
             for pdf in batches:
-                for s in pdf["symbols"]:
-                    s = np.frombuffer(s, np.uint16)
-                    waiting += [s[at : at + SEGMENT] for at in range(0, len(s), SEGMENT)]
-                for at in range(0, len(waiting) - 1023, 1024):
-                    own.expected(waiting[at : at + 1024], total)
-                waiting = waiting[len(waiting) // 1024 * 1024 :]
-            if waiting:
-                own.expected(waiting, total)
+                for data in pdf["symbols"]:
+                    x = np.frombuffer(data, np.uint16)
+                    k = (len(x) > 512) + (len(x) > 2048)
+                    waiting[k].append(x)
+                    held[k] += len(x)
+                    if held[k] >= GROUP:
+                        own.expected(waiting[k], total)
+                        waiting[k].clear()
+                        held[k] = 0
+            for texts in waiting:
+                if texts:
+                    own.expected(texts, total)
             met = np.flatnonzero(total["emit"].sum(axis=0) > 0)
             rows = [(int(i), total["emit"][:, i]) for i in met]
             rows += [(-1, total["start"])] + [(-2 - i, own.move[i] * total["move"][i]) for i in range(states)]
@@ -216,11 +271,7 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out)
     counts = materialize(token_counts(docs.where("NOT held_out")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(DICTIONARY)  # a bounded dictionary
-    names, n = [], []
-    for r in top.toLocalIterator():
-        names.append(r.token)
-        n.append(r.c)
+    names, n = _dictionary(counts)
     single = dict.fromkeys(names[:SINGLES])
 
     @F.pandas_udf("int")
