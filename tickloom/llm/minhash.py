@@ -35,6 +35,7 @@ BATCH = 40  # hashes compared before each test
 MISS = 1e-6  # posterior probability below which a pair goes
 SIGNATURE_BLOCK = 1024  # rows of a block when signatures are compared
 SET_BLOCK = 256  # the same for full sets
+SALTS = 64  # parts of a bucket, so that a hot one is led and joined by many tasks
 
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -49,7 +50,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `size` words; of the whole sequence if it is shorter."""
+    """Sorted distinct 64-bit hashes of the runs of `size` words; of the whole sequence if it is shorter.
+
+    Two different runs have equal hashes with probability 2**-64, so that two texts of 10,000 shingles each meet such a pair
+    with a probability below 1e-11.
+    """
     own = words(text)
     if not own:
         return np.empty(0, np.uint64)
@@ -164,14 +169,19 @@ class _Forest:
 
 
 def _in_blocks(rows: DataFrame, key: str, block: int, compare, schema: str) -> DataFrame:
-    """Compare the rows of each key in blocks: compare(frame, rows of the second block or None) for every pair of blocks.
+    """Compare the rows of each key in blocks: compare(frame, rows of the second block or None) for pairs of blocks.
 
-    rows: key, size (rows of the key), id and more. A key of n rows makes ceil(n / block) blocks by a hash of id, and a
-    frame holds two blocks at most.
+    rows: key, id, component, main (the component with most rows of the key), n_main, size (rows of the key) and more. Rows
+    of the main component need no comparison with each other: they make blocks of their own, each of which meets the blocks
+    of the other rows alone, so few other rows cost few copies however many rows the key has. A frame holds two blocks at most.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    spread = (rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-              .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "size"))
+    is_main = F.col("component") == F.col("main")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    others, mains = blocks(F.col("size") - F.col("n_main")), blocks(F.col("n_main"))  # blocks 0 .. others - 1 are those of other rows
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    spread = (rows.withColumn("own", F.when(is_main, others + at(mains)).otherwise(at(others)))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1)))
+              .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "size", "main", "n_main"))
     keys = [key, "x", "y"]
 
     def one(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -239,6 +249,13 @@ def _set_forest(size: int, threshold: Fraction):
     return compare
 
 
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, main, n_main, size) of the keys with rows (key, component) of several components."""
+    each = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    most = F.max_by("component", F.struct("n", -F.col("component")))
+    return each.groupBy(key).agg(most.alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+
+
 def _whole_clusters(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, component, cluster): the parts (id, component) that candidates (a, b) join, with all their members; an end without a part is one of its own."""
     ends = parts.toDF("a", "pa"), parts.toDF("b", "pb")
@@ -271,9 +288,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     ones = materialize(ones.select(F.col("rep").alias("id"), F.col("n_shingles").cast("int").alias("n"), "sig", "bands"))
     sigs = ones.select("id", "sig")
 
-    banded = ones.select("id", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, "band").select("band", "size", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
+    banded = ones.select("id", "n", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    parts_of = banded.groupBy("band", "salt").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size"))
+    shared = parts_of.groupBy("band").agg(F.min("lead").alias("lead"), F.sum("size").alias("size")).where("size > 1")
+    leads = parts_of.select("band", "salt").join(shared, "band")  # a row for each part, so at most SALTS of a bucket
+    members = materialize(banded.join(leads, ["band", "salt"]).select("band", "size", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
 
     close = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * threshold - 1e-9
     pairs = members.where((F.col("id") != F.col("lead")) & close).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -297,15 +316,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     still_open = (tested.join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
                   .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b"))
     labelled = members.where("size > 2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    compared = labelled.join(mixed, "band").join(sigs, "id").select("band", "size", "id", "component", "n", "sig")
+    compared = labelled.drop("size").join(_mixed(labelled, "band"), "band").join(sigs, "id").select("band", "size", "main", "n_main", "id", "component", "n", "sig")
     missed = _in_blocks(compared, "band", SIGNATURE_BLOCK, _signature_forest(threshold), "a long, b long")
     candidates = materialize(still_open.union(missed).distinct())
     if not small_enough(candidates, 0):
         grouped = _whole_clusters(candidates, parts)
-        sizes = grouped.groupBy("cluster").agg(F.count("*").alias("size"))
-        inside = grouped.join(sizes, "cluster").join(docs.toDF("id", "text").where("text IS NOT NULL"), "id")
-        new = _in_blocks(inside.select("cluster", "size", "id", "component", "text"), "cluster", SET_BLOCK, _set_forest(shingle, exact_threshold), "a long, b long")
+        inside = grouped.join(_mixed(grouped, "cluster"), "cluster").join(docs.toDF("id", "text").where("text IS NOT NULL"), "id")
+        columns = ["cluster", "size", "main", "n_main", "id", "component", "text"]
+        new = _in_blocks(inside.select(*columns), "cluster", SET_BLOCK, _set_forest(shingle, exact_threshold), "a long, b long")
         parts = connected_components(links.union(materialize(new)))
 
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))

@@ -124,28 +124,45 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of m O
 """
 
 OP9_SQL = r"""
-WITH calls AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name, text
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name, text,
+         CASE WHEN length(text) % 11 <> 0 THEN CASE WHEN length(text) % 3 = 0 THEN split_part(text, ' ', 1) ELSE length(text)::VARCHAR END END AS lim,
+         substr(md5(turn || ':' || coalesce(text, '')), 1, 1) AS digit
   FROM conversations WHERE role IN ('system', 'user')
+), wanted AS (
+  SELECT *, CASE WHEN digit IN ('0', '1', '2', '3') AND turn >= 2 THEN turn - 2 WHEN digit IN ('e', 'f') THEN turn + 2 END AS wants FROM calls
+), turns AS (
+  SELECT DISTINCT conv_id, turn FROM calls
+), edges AS (
+  SELECT DISTINCT w.conv_id, w.turn, w.wants FROM wanted w JOIN turns t ON t.conv_id = w.conv_id AND t.turn = w.wants
+), walk AS (
+  SELECT conv_id, turn, turn AS at, 0 AS depth, [turn] AS path, false AS loops FROM turns WHERE conv_id IN (SELECT conv_id FROM edges WHERE wants >= turn)
+  UNION ALL
+  SELECT w.conv_id, w.turn, e.wants, w.depth + 1, list_append(w.path, e.wants), list_contains(w.path, e.wants)
+  FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.turn = w.at WHERE NOT w.loops
+), levels AS (
+  SELECT conv_id, turn, bool_or(loops) AS cyclic, CASE WHEN bool_or(loops) THEN 0 ELSE max(depth) END AS level FROM walk GROUP BY conv_id, turn
 ), results AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, count(*) AS n_results, min(text) AS content
   FROM conversations WHERE role = 'assistant' GROUP BY ALL
 ), numbered AS (
-  SELECT c.*, coalesce(r.n_results, 0) AS n_results, r.content,
-         row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.call_id) - 1 AS seq,
-         count(*) OVER (PARTITION BY c.conv_id, c.call_id) AS times,
-         c.turn >= 2 AND p.call_id IS NULL AS absent, conv_id_before
-  FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
-  LEFT JOIN (SELECT DISTINCT conv_id AS conv_id_before, turn, call_id FROM calls) p ON p.conv_id_before = c.conv_id AND p.turn = c.turn - 2
+  SELECT c.*, coalesce(r.n_results, 0) AS n_results, r.content, coalesce(l.cyclic, false) AS cyclic,
+         row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(l.cyclic, false), coalesce(l.level, 0), c.turn, c.call_id) - 1 AS seq,
+         count(*) OVER (PARTITION BY c.conv_id, c.call_id) AS times, c.wants IS NOT NULL AND t.turn IS NULL AS absent
+  FROM wanted c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN turns t ON t.conv_id = c.conv_id AND t.turn = c.wants
 )
 SELECT conv_id, call_id, name, turn AS position, seq::BIGINT AS seq, n_results::BIGINT AS n_results,
-       concat_ws('; ', CASE WHEN times > 1 THEN 'duplicate id' END, CASE WHEN text IS NULL THEN 'missing prompt' END,
-                 CASE WHEN absent THEN 'no call ' || conv_id || ':' || (turn - 2) END,
+       concat_ws('; ', CASE WHEN times > 1 THEN 'duplicate id' END, CASE WHEN lim IS NULL AND name = 'reply' THEN 'missing limit' END,
+                 CASE WHEN text IS NULL THEN 'missing prompt' END, CASE WHEN NOT regexp_full_match(lim, '-?(0|[1-9][0-9]*)') THEN 'wrong type limit' END,
+                 CASE WHEN absent THEN 'no call ' || conv_id || ':' || wants END, CASE WHEN cyclic THEN 'cycle' END,
                  CASE WHEN n_results = 0 THEN 'no result' WHEN n_results > 1 THEN 'several results' END) AS errors,
-       '{"arguments":{' || coalesce('"prompt":' || to_json(text)::VARCHAR || ',', '') || '"turn":"' || turn || '"},"id":"' || call_id || '","name":"' || name || '",'
+       '{"arguments":{' || coalesce('"limit":' || to_json(lim)::VARCHAR || ',', '') || coalesce('"prompt":' || to_json(text)::VARCHAR || ',', '')
+         || '"turn":"' || turn || '"},"id":"' || call_id || '","name":"' || name || '",'
          || coalesce('"result":' || to_json(content)::VARCHAR || ',', '') || '"seq":' || seq || '}' AS json
 FROM numbered
 """
 
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_near_duplicates": OP1_SQL, "op9_tool_calls": OP9_SQL}

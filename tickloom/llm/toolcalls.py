@@ -5,8 +5,9 @@ checked against schemas, the calls of each conversation are put in an order in w
 on, and each linked call becomes one line of canonical JSON (sorted keys, no blanks, null values left out).
 
 Order: where every dependency has a smaller position than its call, the order by position is topological. Only the
-conversations with a dependency that stands later go through rounds that peel off calls without open dependencies; calls
-that remain are on or behind a cycle, are marked, and come last by position.
+conversations with a dependency that stands later go through rounds that peel off calls without open dependencies, as many
+rounds as their longest chain of dependencies; calls that remain are on or behind a cycle, are marked, and come last by
+position.
 
 Edge cases: repeated rows stay and are marked `duplicate id`; a call without id, name, position or conversation stays and
 is marked; null arguments count as none; results that no call has are dropped from the links and counted as orphans by
@@ -108,7 +109,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     out = out.withColumn("_own", F.row_number().over(own) - 1)
     same = [F.col(c).eqNullSafe(F.col("f" + c)) for c in chunk]
     out = out.join(firsts, same[0] & same[1] & same[2] & same[3]).withColumn("seq", F.col("_first") + F.col("_own"))
-    sorted_arguments = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("arguments", F.create_map().cast("map<string,string>")))))
+    given = F.map_filter(F.coalesce("arguments", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
+    sorted_arguments = F.map_from_entries(F.array_sort(F.map_entries(given)))
     line = F.to_json(F.struct(sorted_arguments.alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"), "seq"))
     return out.select("conv_id", "call_id", "name", "position", "seq", "n_results", F.array_join("errors", "; ").alias("errors"), line.alias("json"))
 
@@ -120,24 +122,30 @@ def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations (conv_id, turn, role, text).
+    """Calls and results of plain conversations (conv_id, turn, role, text), which state no calls: these are made of the turns.
 
-    A system turn calls `configure`, a user turn `reply`, with the text and the turn as arguments; an assistant turn is
-    the result of the turn before it; a call depends on the one two turns earlier, if that turn is a call's.
+    A system turn calls `configure`, a user turn `reply`; an assistant turn is the result of the turn before it. Arguments:
+    the text as `prompt`, the turn, and as `limit` the length of the text, which is left out where it is a multiple of 11
+    and is the first word instead where it is a multiple of 3. By the first digit of md5(turn:text), a call depends on the
+    call two turns earlier (0 to 3), on the one two turns later (e and f), or on none.
     """
     turn = F.col("turn").cast("long")
     named = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     ident = lambda t: F.when(F.col("conv_id").isNotNull() & t.isNotNull(), named(t))
     rows = conversations.select("conv_id", turn.alias("turn"), "role", "text")
     asked = rows.where("role IN ('system', 'user')")
-    after = F.when(F.col("turn") >= 2, F.array(ident(F.col("turn") - 2)))
-    calls = asked.select(
-        "conv_id", ident(F.col("turn")).alias("call_id"), F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
-        F.col("turn").alias("position"), F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")).alias("arguments"), after.alias("after"))
+    digit = F.substring(F.md5(F.concat_ws(":", F.col("turn").cast("string"), F.coalesce("text", F.lit("")))), 1, 1)
+    after = (F.when(digit.isin("0", "1", "2", "3") & (F.col("turn") >= 2), F.array(ident(F.col("turn") - 2)))
+             .when(digit.isin("e", "f"), F.array(ident(F.col("turn") + 2))))
+    size = F.length("text")
+    limit = F.when(size % 11 != 0, F.when(size % 3 == 0, F.split_part("text", F.lit(" "), F.lit(1))).otherwise(size.cast("string")))
+    arguments = F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), F.col("turn").cast("string"), F.lit("limit"), limit)
+    calls = asked.select("conv_id", ident(F.col("turn")).alias("call_id"), F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
+                         F.col("turn").alias("position"), arguments.alias("arguments"), after.alias("after"))
     results = rows.where("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def turn_schemas(spark) -> DataFrame:
-    rows = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True), ("configure", "prompt", "string", True), ("configure", "turn", "integer", True)]
+    rows = [(name, p, kind, p != "limit" or name == "reply") for name in ("configure", "reply") for p, kind in (("prompt", "string"), ("turn", "integer"), ("limit", "integer"))]
     return spark.createDataFrame(rows, "name string, parameter string, type string, required boolean")
