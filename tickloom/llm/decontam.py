@@ -24,6 +24,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.llm.common import tidy
+
 SHINGLE = 5
 BLOCKS, FLIPS = 4, 4
 RADIUS = BLOCKS * (FLIPS + 1) - 1
@@ -188,6 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()]))
 
+        @tidy
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
             for pdf in batches:

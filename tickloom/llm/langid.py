@@ -18,6 +18,8 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.llm.common import tidy
+
 PROFILE = 400  # n-grams in a profile
 TRAIN_CHARS = 20_000_000  # about how many characters of each language are learned from (a sample by document id)
 COUNTED_CHARS = 1_000_000  # about how many characters have their n-grams sorted at a time
@@ -86,6 +88,7 @@ def train_profiles(docs: DataFrame, chars: int = TRAIN_CHARS) -> dict[str, np.nd
         share = F.coalesce(F.create_map(*large)[F.col("lang")], F.lit(1.0))
         rows = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_000)) < share * 1_000_000)
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
@@ -122,8 +125,10 @@ def predictor(profiles: dict[str, np.ndarray]):
         return names[best], float(1 - far[best] / (PROFILE * len(own)))
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+    @tidy
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
 

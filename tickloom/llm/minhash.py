@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import materialize, small_enough, words
+from tickloom.llm.common import materialize, small_enough, tidy, words
 from tickloom.llm.components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -77,6 +77,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def _sketches(size: int):
     salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n, key, sig, bands = [], [], [], []
@@ -305,6 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
             out[rows] = m
         return pd.Series(out)
 
+    test = test.asNondeterministic()  # else the filter below is pushed under the column, and each pair is tested twice
     tested = (pairs.join(sigs.toDF("a", "left"), "a").join(sigs.toDF("b", "right"), "b")
               .withColumn("m", test("left", "right")).where("m >= 0").select("a", "b", "m"))
     tested = materialize(tested.groupBy("a", "b").agg(F.max("m").alias("m")))

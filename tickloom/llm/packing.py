@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, tidy
 from tickloom.llm.encoding import CACHE_CHUNKS, encoder
 
 CAPACITY = 2048
@@ -136,6 +136,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, True, cache)
         for batch in batches:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.chunks import spans
+from tickloom.llm.common import tidy
 
 DIM = 32  # of the vectors
 WIDTH = 2 * DIM + 1  # of the sums: vectors, their squares, how many
@@ -227,6 +228,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     share = int(min(1.0, rows / n) * 1_000_000)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
+    @tidy
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((SLOTS, DIM), np.float32)
         for pdf in batches:
@@ -241,6 +243,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     context[summed["slot"].to_numpy()] = _unit(np.stack([summed[f"v{i}"].to_numpy() for i in range(DIM)], axis=1))
     shared = sample.sparkSession.sparkContext.broadcast(context)
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(batch.column("text"), shared.value).astype(np.float32)
@@ -261,7 +264,9 @@ def scorer(spark, model: QualityModel):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts), pa.float64())
+    @tidy
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.score(texts), pa.float64())
 
     return score

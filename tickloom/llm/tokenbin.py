@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.llm.common import materialize, scratch_dir
+from tickloom.llm.common import materialize, scratch_dir, tidy
 from tickloom.llm.encoding import encoder
 
 MAGIC = b"TLPFOR01"
@@ -127,6 +127,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = _ranges(docs, tasks * RANGES)
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, keep_space)
         for batch in batches:
@@ -138,6 +139,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep
             part = [int(k) if n < 2 else int(k) + zlib.crc32(x) % int(n) for k, n, x in zip(low, high - low, ids)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _fs(folder)
         open_part, made, size, waiting = -1, 0, 0, []
