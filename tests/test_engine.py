@@ -178,3 +178,20 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("bars_out").collect())) == sorted(map(tuple, tick_bars(df).collect()))
+
+
+def test_target_contract(spark):
+    t0 = dt.datetime(2026, 8, 3, 12, 15)
+    schema = "symbol string, session_code string, session_date date, observation_time_utc timestamp_ntz, close double, atr double"
+    row = lambda code, minutes=0: ("SYN", code, t0.date(), t0 + dt.timedelta(minutes=minutes), 100.0, 1.0)
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    targets.check_observations(make(row("full_day"), row("full_day", 15)), cal.SESSIONS["full_day"])
+    for bad in (make(), make(row("london")), make(row("full_day"), row("full_day")), make(row("full_day"), row(None)), make(row("full_day")).drop("atr")):
+        with pytest.raises(ValueError):
+            targets.check_observations(bad, cal.SESSIONS["full_day"])
+
+
+def test_fingerprint_separates_features_and_targets():
+    c = ExperimentConfig()
+    assert dataset.fingerprint(c, ("a", "b"), ("c",)) != dataset.fingerprint(c, ("a",), ("b", "c"))
+    assert dataset.fingerprint(c, ("a",), ("b",)) == dataset.fingerprint(c, ("a",), ("b",))

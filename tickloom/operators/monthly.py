@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.functions.calendar import Period
+from tickloom.functions.calendar import Period, weekdays_only
 from tickloom.functions.windows import rolling, running_totals, series
 from tickloom.operators.intraday import typical_price
 
@@ -61,9 +61,9 @@ def daily_sweeps(bars: DataFrame) -> DataFrame:
 
 
 def coverage(bars: DataFrame, period: Period) -> DataFrame:
-    """Local days with bars, rows, time range, and the days as a share of the period's Mondays to Fridays."""
-    expected = max(period.business_days(), 1)
-    found = bars.groupBy("symbol").agg(F.countDistinct(F.to_date("timestamp_cot")).alias("days"), F.count("*").alias("rows"), F.min("timestamp_cot").alias("first"), F.max("timestamp_cot").alias("last"))
+    """Of the period's Mondays to Fridays: local days with bars, rows, time range, and the days as a share of all."""
+    expected, day = max(period.business_days(), 1), F.to_date("timestamp_cot")
+    found = weekdays_only(bars.where((day >= F.lit(period.start)) & (day < F.lit(period.end)))).groupBy("symbol").agg(F.countDistinct(F.to_date("timestamp_cot")).alias("days"), F.count("*").alias("rows"), F.min("timestamp_cot").alias("first"), F.max("timestamp_cot").alias("last"))
     return found.withColumn("share", 100.0 * F.col("days") / expected)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.contracts import ExperimentConfig
 from tickloom.functions.calendar import SessionWindow, minutes_after
+from tickloom.operators.quality import require_columns, require_none
 
 REASONS = ("horizon_outside_session", "invalid_atr", "incomplete_horizon", "m1_gap", "ambiguous_barrier")
 KEY = ["symbol", "session_code", "observation_time_utc"]
@@ -31,9 +32,27 @@ def paths(observations: DataFrame, bars: DataFrame, config: ExperimentConfig) ->
     return joined.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("_ts").alias("ts"), "high", "low"))).alias("path"))
 
 
-def peak_targets(observations: DataFrame, bars: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig(), drop_invalid: bool = True) -> DataFrame:
+def observation_violations(observations: DataFrame, session: SessionWindow) -> DataFrame:
+    """Counts of observations without a key, of another session than the one asked for, or with a repeated key."""
+    no_key = F.col("symbol").isNull() | F.col("session_code").isNull() | F.col("observation_time_utc").isNull()
+    repeated = observations.groupBy(*KEY).agg(F.count("*").alias("_n"))
+    tests = {"no_key": no_key, "other_session": F.col("session_code") != session.code}
+    each = repeated.withColumns({k: F.when(F.coalesce(c, F.lit(False)), F.col("_n")).otherwise(F.lit(0)) for k, c in tests.items()})
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in tests]
+    return each.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), *sums, F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"))
+
+
+def check_observations(observations: DataFrame, session: SessionWindow) -> None:
+    require_columns(observations, [*KEY, "session_date", "close", "atr"], "the observations")
+    require_none(observation_violations(observations, session), "the observations")
+
+
+def peak_targets(observations: DataFrame, bars: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig(), drop_invalid: bool = True, check: bool = True) -> DataFrame:
     """Adds the targets to observations of one session (features, with atr and close). Reasons are given in this order:
-    horizon outside the session, unusable ATR, incomplete path, gap in the path, ambiguous barrier."""
+    horizon outside the session, unusable ATR, incomplete path, gap in the path, ambiguous barrier. With check, a ValueError
+    tells of observations that are missing, repeated or of another session."""
+    if check:
+        check_observations(observations, session)
     if config.ambiguous_policy == "resolve_with_ticks":
         raise NotImplementedError("ambiguous barriers are not resolved with ticks")
     step, n = config.path_minutes, config.horizon_minutes // config.path_minutes

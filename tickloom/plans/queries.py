@@ -253,7 +253,15 @@ def feature_frame(spark, d):
 
 # ---- targets and datasets ----
 def _targets(spark, d, session=NEW_YORK, drop=False, config=CONFIG):
-    return targets.peak_targets(_features(spark, d, session), _bars(spark, d, 15), session, config, drop)
+    return targets.peak_targets(_features(spark, d, session), _bars(spark, d, 15), session, config, drop, check=False)
+
+
+@query(S.TARGET_CONTRACT)
+def target_contract_counters(spark, d):
+    """Observations of two sessions, those of one of them twice, against the contract of the other."""
+    columns = [*targets.KEY, "session_date", "close", "atr"]
+    own, other = (_features(spark, d, s).select(*columns) for s in (NEW_YORK, cal.SESSIONS["london"]))
+    return targets.observation_violations(own.unionByName(other).unionByName(other), NEW_YORK)
 
 
 @query(S.EXCURSIONS)

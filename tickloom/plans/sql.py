@@ -110,7 +110,7 @@ SELECT 'open' AS level, open AS price FROM x UNION ALL SELECT 'high', high FROM
 DAILY_SWEEPS = f"""-- doubles: price, close
 WITH {B15}, {DAILY_CTE}, p AS (SELECT *, max(high) OVER q AS ph, min(low) OVER q AS pl FROM da WINDOW q AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT date, CASE WHEN high > ph THEN 'high' ELSE 'low' END AS kind, CASE WHEN high > ph THEN high ELSE low END AS price, close FROM p WHERE (high > ph AND close < ph) OR (low < pl AND close > pl)"""
-COVERAGE = f"-- doubles: share\nWITH {B15} SELECT count(DISTINCT lt::DATE) AS days, count(*) AS rows, min(lt) AS first, max(lt) AS last, 100.0 * count(DISTINCT lt::DATE) / 23 AS share FROM b15"
+COVERAGE = f"-- doubles: share\nWITH {B15} SELECT count(DISTINCT lt::DATE) AS days, count(*) AS rows, min(lt) AS first, max(lt) AS last, 100.0 * count(DISTINCT lt::DATE) / 23 AS share FROM b15 WHERE lt::DATE >= DATE '2024-01-01' AND lt::DATE < DATE '2024-02-01' AND isodow(lt) <= 5"
 
 
 def _roll(agg: str, col: str, n: int, prior: bool = False) -> str:
@@ -187,6 +187,8 @@ def _targets(start: int, length: int) -> str:
 TARGETS_NY = f"{frames()}, {_targets(420, 180)}"
 TARGETS_DAY = f"{frames('true', 0, 1440)}, {_targets(0, 1440)}"
 TARGETS_LONDON = f"{frames(f'{LM} >= 120 AND {LM} < 300', 120, 180)}, {_targets(120, 180)}"
+TARGET_CONTRACT = f"""SELECT a.n + 2 * b.n AS rows, 0::BIGINT AS no_key, 2 * b.n AS other_session, b.n AS repeated
+FROM (WITH {frames()} SELECT count(*) AS n FROM ff) a, (WITH {frames(f'{LM} >= 120 AND {LM} < 300', 120, 180)} SELECT count(*) AS n FROM ff) b"""
 EXCURSIONS = f"""-- doubles: future_high, future_low, mfe_points, mae_points, adverse_before_peak_points, mfe_atr, mae_atr, adverse_before_peak_atr
 WITH {TARGETS_NY} SELECT ot AS observation_time_utc, CASE WHEN reason IS NULL THEN future_high END AS future_high, CASE WHEN reason IS NULL THEN future_low END AS future_low, mfe_points, mae_points, adverse_before_peak_points,
   mfe_atr, mae_atr, adverse_before_peak_atr, time_to_peak_minutes, time_to_trough_minutes, peak_t AS peak_timestamp_utc, trough_t AS trough_timestamp_utc FROM tt"""
