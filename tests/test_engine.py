@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,30 @@ def test_fingerprint_separates_features_and_targets():
     c = ExperimentConfig()
     assert dataset.fingerprint(c, ("a", "b"), ("c",)) != dataset.fingerprint(c, ("a",), ("b", "c"))
     assert dataset.fingerprint(c, ("a",), ("b",)) == dataset.fingerprint(c, ("a",), ("b",))
+
+
+def test_logistic_model_by_newton_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 3)) * [1, 5, 0.1] + [0, 3, -1]
+    y = (rng.random(240) < 1 / (1 + np.exp(-(x[:, 0] + 0.3 * x[:, 1] - 1)))).astype(int)
+    fold = np.repeat([1, 2], 120)
+    part = np.where(np.arange(240) % 120 < 80, "train", "validation")
+    rows = [(int(f), str(p), True, int(t), *map(float, v)) for f, p, t, v in zip(fold, part, y, x)]
+    splits = spark.createDataFrame(rows, "fold int, part string, kept boolean, target_peak_075_atr int, a double, b double, c double").repartition(5)
+    for balanced in (False, True):
+        found = models.train_folds(splits, ("a", "b", "c"), ModelConfig(c_values=(0.05, 2.0), balanced=balanced))
+        for f in (1, 2):
+            at = (fold == f) & (part == "train")
+            z = np.column_stack([(x[at] - x[at].mean(axis=0)) / x[at].std(axis=0), np.ones(at.sum())])
+            rate, c = y[at].mean(), found[f].c
+            weight = np.where(y[at] == 1, 0.5 / rate, 0.5 / (1 - rate)) if balanced else np.ones(at.sum())
+            w = np.zeros(4)
+            for _ in range(20000):  # plain gradient descent
+                w -= 0.02 / max(1, c) * (w + c * z.T @ (weight * (1 / (1 + np.exp(-z @ w)) - y[at])))
+            assert np.allclose(w, [*found[f].coefficients, found[f].intercept], atol=1e-6)
+            assert found[f].c == min(found[f].candidates, key=lambda r: (r[1], r[2], r[0]))[0] and len(found[f].candidates) == 2
+    for bad in (F.when(F.col("b") > 3, F.col("a")), F.lit(float("inf")), F.lit(float("nan"))):
+        with pytest.raises(ValueError):
+            models.train_folds(splits.withColumn("a", bad), ("a",))
+    with pytest.raises(ValueError):
+        models.train_folds(splits.withColumn("target_peak_075_atr", F.lit(1)), ("a",))

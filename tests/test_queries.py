@@ -44,17 +44,8 @@ def test_against_sql(spark, duck, name):
             assert u == v or abs(float(u) - float(v)) < 2e-4
 
 
-def test_model_rows(spark):
-    p = QUERIES["logistic_predictions"](spark, "/root/testdata/sf0.01").toPandas()
-    assert len(p) and p.model_probability.between(0, 1).all()
-
-
-def test_model_rows_of_all_folds(spark, monkeypatch):
-    from tickloom.plans import queries
-
+def test_model_rows_of_all_folds(spark):
     d = "/root/testdata/sf0.01"
-    some = queries._folds(spark, d)[-4:-1]  # few, to be quick
-    monkeypatch.setattr(queries, "_folds", lambda *_: some)
     p = QUERIES["logistic_predictions"](spark, d).toPandas()
-    want = {r.fold: r.test_rows for r in QUERIES["purged_split"](spark, d).collect()}
-    assert p.groupby("fold").size().to_dict() == want and len(want) == 3 and p.model_probability.between(0, 1).all()
+    want = {r.fold: r.test_rows for r in QUERIES["purged_split"](spark, d).collect() if r.test_rows}  # the embargo takes the last month whole
+    assert p.groupby("fold").size().to_dict() == want and len(want) > 70 and p.model_probability.between(0, 1).all()

@@ -1,19 +1,27 @@
-"""Regularised logistic model: standardised on training rows, C chosen on validation rows by Brier score."""
+"""Regularised logistic models: standardised on training rows, C chosen on validation rows by Brier score.
+
+All folds and all C values are fitted together by Newton's method. A pass over the rows gives, for each fold, the losses,
+gradients and curvatures of its candidates as sums of partitions; what reaches the driver has the size of folds times C
+values times squared features, whatever the number of rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.contracts import ModelConfig
-from tickloom.operators.quality import validate_binary
+from tickloom.operators.quality import require_columns
 
 CLIP = 2.2e-16
+TOLERANCE = 1e-10  # of the Newton decrement
 
 
 @dataclass(frozen=True)
@@ -21,64 +29,167 @@ class TrainedModel:
     features: tuple[str, ...]
     means: tuple[float, ...]
     scales: tuple[float, ...]
-    model: LogisticRegressionModel
+    coefficients: tuple[float, ...]  # of the standardised features
+    intercept: float
     c: float
     candidates: tuple[tuple[float, float, float], ...]  # C, Brier, log-loss
     config: ModelConfig
 
 
-def _vectors(df: DataFrame, features: Sequence[str], means: Sequence[float], scales: Sequence[float]) -> DataFrame:
-    names = [f"_z{i}" for i in range(len(features))]
-    scaled = df.withColumns({n: (F.col(f).cast("double") - m) / s for n, f, m, s in zip(names, features, means, scales)})
-    return VectorAssembler(inputCols=names, outputCol="_x").transform(scaled).drop(*names)
+@dataclass
+class _Fit:
+    means: np.ndarray
+    scales: np.ndarray
+    class_weights: tuple[float, float]
+    at: np.ndarray  # a row of coefficients and intercept for each C
+    step: np.ndarray
+    best: np.ndarray  # objective at the last accepted point
+    done: np.ndarray
+
+
+def _start(rows: DataFrame, features: Sequence[str], config: ModelConfig) -> dict[int, _Fit]:
+    """Means and population deviations of each fold's training rows; ValueError for unusable rows."""
+    target, training = F.col(config.target), F.col("part") == "train"
+    sound = F.lit(True)
+    for f in features:
+        sound = sound & F.coalesce(F.abs(F.col(f)) < float("inf"), F.lit(False)) & ~F.isnan(f)
+    binary = F.coalesce(target.isin(0, 1), F.lit(False))
+    own = lambda c: F.when(training, c)
+    stats = rows.groupBy("fold").agg(
+        F.count_if(~sound).alias("unsound"), F.count_if(~binary).alias("unknown"), F.avg(own(target)).alias("rate"), F.avg(F.when(~training, target)).alias("validation_rate"),
+        F.array(*[F.avg(own(F.col(f))) for f in features]).alias("means"), F.array(*[F.stddev_pop(own(F.col(f))) for f in features]).alias("scales")).collect()  # a row for each fold
+    if not stats:
+        raise ValueError("no rows to learn from")
+    out = {}
+    for s in stats:
+        if s.unsound or s.unknown:
+            raise ValueError(f"fold {s.fold}: {s.unsound} rows with a null or infinite feature, {s.unknown} without a binary target")
+        for part, rate in (("train", s.rate), ("validation", s.validation_rate)):
+            if rate is None or not 0 < rate < 1:
+                raise ValueError(f"fold {s.fold}: {config.target} needs both classes in {part}")
+        shape = (len(config.c_values), len(features) + 1)
+        weights = (0.5 / (1 - s.rate), 0.5 / s.rate) if config.balanced else (1.0, 1.0)
+        out[s.fold] = _Fit(np.array(s.means), np.array([x or 1.0 for x in s.scales]), weights, np.zeros(shape), np.zeros(shape), np.full(shape[0], np.inf), np.zeros(shape[0], bool))
+    return out
+
+
+def _sums(rows: DataFrame, features: Sequence[str], target: str, fits: Mapping[int, _Fit]) -> dict[int, np.ndarray]:
+    """For each fold: losses, gradients and curvatures of its candidates, unpenalised, in one vector."""
+    names, state = list(features), {f: (fit.means, fit.scales, fit.class_weights, fit.at) for f, fit in fits.items()}
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, at in batch.groupby("fold").indices.items():
+                (means, scales, class_weights, points), part = state[fold], batch.iloc[at]
+                x = np.column_stack([(part[names].to_numpy(float) - means) / scales, np.ones(len(part))])
+                y = part[target].to_numpy(float)[:, None]
+                weight = np.where(y == 1, class_weights[1], class_weights[0])
+                margin = x @ points.T
+                p = 0.5 * (1 + np.tanh(margin / 2))
+                loss = (weight * (np.logaddexp(0, margin) - y * margin)).sum(axis=0)
+                gradient = (weight * (p - y)).T @ x
+                curvature = [x.T @ (x * h[:, None]) for h in (weight * p * (1 - p)).T]
+                found = np.concatenate([loss, gradient.ravel(), np.ravel(curvature)])
+                total[fold] = total[fold] + found if fold in total else found
+        if total:
+            yield pd.DataFrame({"fold": list(total), "sums": [v.tolist() for v in total.values()]})
+
+    parts = rows.mapInPandas(partial, "fold int, sums array<double>").withColumn("sums", array_to_vector("sums"))
+    return {r.fold: r.sums.toArray() for r in parts.groupBy("fold").agg(Summarizer.sum(F.col("sums")).alias("sums")).collect()}
+
+
+def _advance(fit: _Fit, sums: np.ndarray, c_values: Sequence[float]) -> None:
+    """Accept the point or halve the step to it, then take the next Newton step of each candidate that is not done."""
+    n, k = fit.at.shape
+    loss, gradient, curvature = sums[:n], sums[n : n + n * k].reshape(n, k), sums[n + n * k :].reshape(n, k, k)
+    for i, c in enumerate(c_values):
+        if fit.done[i]:
+            continue
+        w = fit.at[i].copy()
+        value = 0.5 * w @ w + c * loss[i]
+        if value > fit.best[i] * (1 + 1e-12):
+            fit.step[i] /= 2
+            fit.at[i] -= fit.step[i]
+            continue
+        fit.best[i] = value
+        slope = w + c * gradient[i]
+        move = -np.linalg.solve(np.eye(k) + c * curvature[i], slope)
+        fit.done[i] = -slope @ move <= TOLERANCE * max(1.0, value)
+        if not fit.done[i]:
+            fit.step[i] = move
+            fit.at[i] = w + move
+
+
+def _table(spark, rows: Sequence[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "fold int, _m array<double>, _s array<double>, _w array<double>, _b double, model_c double")
+
+
+def _probability(features: Sequence[str]) -> Column:
+    margin = F.col("_b")
+    for i, f in enumerate(features):
+        margin = margin + F.col("_w")[i] * (F.col(f).cast("double") - F.col("_m")[i]) / F.col("_s")[i]
+    return 1 / (1 + F.exp(-margin))
+
+
+def train_folds(splits: DataFrame, features: Sequence[str], config: ModelConfig = ModelConfig()) -> dict[int, TrainedModel]:
+    """A model for each fold of rows with fold, part and kept (`validation.temporal_splits`).
+
+    Minimises w.w / 2 + C * (sum of weighted losses), with the intercept among w. Null or infinite features, targets that
+    are not binary and parts with one class are a ValueError.
+    """
+    require_columns(splits, [*features, config.target, "fold", "part", "kept"], "the split frame")
+    rows = splits.where("kept AND part IN ('train', 'validation')").select("fold", "part", F.col(config.target).cast("int").alias(config.target), *[F.col(f).cast("double").alias(f) for f in features])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = _start(rows, features, config)
+        training = rows.where("part = 'train'").drop("part")
+        for _ in range(config.max_iter):
+            going = {f: fit for f, fit in fits.items() if not fit.done.all()}
+            if not going:
+                break
+            for f, sums in _sums(training.where(F.col("fold").isin(list(going))), features, config.target, going).items():
+                _advance(fits[f], sums, config.c_values)
+        models = [(f, fit.means.tolist(), fit.scales.tolist(), w[:-1].tolist(), float(w[-1]), c) for f, fit in fits.items() for w, c in zip(fit.at, config.c_values)]
+        table = _table(splits.sparkSession, models)  # folds times C values
+        actual = F.col(config.target).cast("double")
+        scored = rows.where("part = 'validation'").join(F.broadcast(table), "fold").withColumn("_p", _probability(features))
+        clipped = F.least(F.greatest("_p", F.lit(CLIP)), F.lit(1 - CLIP))
+        loss = -(actual * F.log(clipped) + (1 - actual) * F.log(1 - clipped))
+        found = {(r.fold, r.model_c): (r.brier, r.loss) for r in scored.groupBy("fold", "model_c").agg(F.avg((F.col("_p") - actual) ** 2).alias("brier"), F.avg(loss).alias("loss")).collect()}
+    finally:
+        rows.unpersist()
+    out = {}
+    for f, fit in fits.items():
+        c = min(config.c_values, key=lambda c: (*found[f, c], c))
+        w = fit.at[config.c_values.index(c)]
+        out[f] = TrainedModel(tuple(features), tuple(fit.means.tolist()), tuple(fit.scales.tolist()), tuple(w[:-1].tolist()), float(w[-1]), c, tuple((c, *found[f, c]) for c in config.c_values), config)
+    return out
 
 
 def train(train_rows: DataFrame, validation_rows: DataFrame, features: Sequence[str], config: ModelConfig = ModelConfig()) -> TrainedModel:
-    """Population deviations scale the features; the penalty is 1 / (C n) with the intercept left free."""
-    validate_binary(train_rows, config.target, both=True)
-    validate_binary(validation_rows, config.target, both=True)
-    stats = train_rows.agg(F.count("*").alias("n"), F.avg(config.target).alias("rate"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
-    means = tuple(float(stats[f"m{i}"]) for i in range(len(features)))
-    scales = tuple(float(stats[f"s{i}"]) or 1.0 for i in range(len(features)))
-    rate = float(stats.rate)
-    weight = F.when(F.col(config.target) == 1, 0.5 / rate).otherwise(0.5 / (1 - rate)) if config.balanced else F.lit(1.0)
-    x = _vectors(train_rows, features, means, scales).select("_x", F.col(config.target).cast("double").alias("label"), weight.alias("weight")).cache()
-    y = _vectors(validation_rows, features, means, scales).cache()
-    found = []
-    for c in config.c_values:
-        model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="weight", regParam=1.0 / (c * stats.n), elasticNetParam=0.0, standardization=False, maxIter=config.max_iter, tol=1e-6).fit(x)
-        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(CLIP)), F.lit(1 - CLIP))
-        actual = F.col(config.target).cast("double")
-        loss = -(actual * F.log(p) + (1 - actual) * F.log(1 - p))
-        brier, log_loss = model.transform(y).agg(F.avg((vector_to_array("probability")[1] - actual) ** 2), F.avg(loss)).first()
-        found.append((brier, log_loss, c, model))
-    x.unpersist()
-    y.unpersist()
-    best = min(found, key=lambda r: r[:3])
-    return TrainedModel(tuple(features), means, scales, best[3], best[2], tuple((c, b, lo) for b, lo, c, _ in found), config)
+    own = [config.target, *features]
+    require_columns(train_rows, own, "the training frame")
+    require_columns(validation_rows, own, "the validation frame")
+    part = lambda df, name: df.select(*own, F.lit(0).alias("fold"), F.lit(name).alias("part"), F.lit(True).alias("kept"))
+    return train_folds(part(train_rows, "train").unionByName(part(validation_rows, "validation")), features, config)[0]
 
 
 def predict(trained: TrainedModel, df: DataFrame) -> DataFrame:
     """observation_id, the identifiers present, model_probability, model_target, model_c and actual_target."""
-    rows = trained.model.transform(_vectors(df, trained.features, trained.means, trained.scales))
-    own = [c for c in ("observation_id", "observation_time_utc", "session_code", "session_date") if c in df.columns]
-    return rows.select(*own, vector_to_array("probability")[1].alias("model_probability"), F.lit(trained.config.target).alias("model_target"), F.lit(trained.c).alias("model_c"), F.col(trained.config.target).alias("actual_target"))
+    return predict_folds({0: trained}, df.withColumn("fold", F.lit(0))).drop("fold")
 
 
 def predict_folds(trained: Mapping[int, TrainedModel], df: DataFrame) -> DataFrame:
     """Like `predict`, for rows with a fold, each by the model of its fold; all models have the same features and target."""
     one = next(iter(trained.values()))
-    rows = [(f, list(t.means), list(t.scales), [float(w) for w in t.model.coefficients], float(t.model.intercept), t.c) for f, t in trained.items()]
-    table = df.sparkSession.createDataFrame(rows, "fold int, _m array<double>, _s array<double>, _w array<double>, _b double, model_c double")
-    margin = F.col("_b")
-    for i, f in enumerate(one.features):
-        margin = margin + F.col("_w")[i] * (F.col(f).cast("double") - F.col("_m")[i]) / F.col("_s")[i]
+    table = _table(df.sparkSession, [(f, list(t.means), list(t.scales), list(t.coefficients), t.intercept, t.c) for f, t in trained.items()])
     own = [c for c in ("observation_id", "observation_time_utc", "session_code", "session_date") if c in df.columns]
-    return df.join(F.broadcast(table), "fold").select("fold", *own, (1 / (1 + F.exp(-margin))).alias("model_probability"), F.lit(one.config.target).alias("model_target"), "model_c", F.col(one.config.target).alias("actual_target"))
+    return df.join(F.broadcast(table), "fold").select("fold", *own, _probability(one.features).alias("model_probability"), F.lit(one.config.target).alias("model_target"), "model_c", F.col(one.config.target).alias("actual_target"))
 
 
 def coefficient_table(spark, trained: TrainedModel) -> DataFrame:
-    rows = [(f, float(c), abs(float(c))) for f, c in zip(trained.features, trained.model.coefficients)]
+    rows = [(f, float(c), abs(float(c))) for f, c in zip(trained.features, trained.coefficients)]
     return spark.createDataFrame(rows, "feature string, coefficient double, magnitude double").orderBy(F.desc("magnitude"), "feature")
 
 

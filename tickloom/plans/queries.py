@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey
@@ -24,7 +22,6 @@ FULL_DAY = cal.SESSIONS["full_day"]
 #: The events cover a quarter of the minutes, so paths are made of 15-minute bars here.
 CONFIG = ExperimentConfig(path_minutes=15)
 JANUARY = cal.Period(dt.date(2024, 1, 1), dt.date(2024, 2, 1))
-FITS_AT_ONCE = 8  # folds whose models are fitted side by side
 
 
 def query(sql: str | None = None, digits: int = 6):
@@ -419,15 +416,7 @@ def logistic_predictions(spark, d):
     obs = _observations(spark, d).withColumns({"f_minute": F.col("minute_of_session").cast("double"), "f_session": F.col("session_code").cast("double"), "f_month": F.month("session_date").cast("double")})
     names, folds = ("f_minute", "f_session", "f_month"), _folds(spark, d)
     obs = obs.select("observation_id", "observation_time_utc", "session_code", "session_date", "target_horizon_end_utc", ModelConfig().target, *names)
-
-    obs.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(fold):
-        rows = validation.temporal_splits(obs, [fold]).where("kept")
-        return fold.number, models.train(rows.where("part = 'train'"), rows.where("part = 'validation'"), names)
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # small jobs, bound by the driver
-        trained = dict(pool.map(fit, folds))
-    obs.unpersist()
-    tested = validation.temporal_splits(obs, folds).where("kept AND part = 'test'")
+    splits = validation.temporal_splits(obs, folds)
+    trained = models.train_folds(splits, names)
+    tested = splits.where("kept AND part = 'test'")
     return models.predict_folds(trained, tested).select("fold", "observation_id", "model_probability", "model_target", "model_c", "actual_target")
