@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey, SplitConfig
 from tickloom.functions import calendar as cal
-from tickloom.functions.windows import asof_join
+from tickloom.functions.windows import asof_join, in_blocks, rolling, series
 from tickloom.operators import baselines, dataset, evaluation, features, models, quality, targets, validation
 from tickloom.plans import products
 from tickloom.sources import lake
@@ -223,3 +223,20 @@ def test_logistic_model_by_newton_of_its_own(spark):
             models.train_folds(splits.withColumn("a", bad), ("a",))
     with pytest.raises(ValueError):
         models.train_folds(splits.withColumn("target_peak_075_atr", F.lit(1)), ("a",))
+
+
+def test_windows_in_blocks_equal_whole_series(spark):
+    at = [None, *[START + dt.timedelta(minutes=7 * i, days=3 * (i // 40)) for i in range(130)]]
+    rows = [(s, t, float((i * 37) % 101)) for s in ("A", "B", None) for i, t in enumerate(at) if s != "B" or i < 9]
+    df = spark.createDataFrame(rows, "symbol string, timestamp_utc timestamp_ntz, v double").repartition(5)
+
+    def step(d, w):
+        d = d.withColumn("change", F.col("v") - F.lag("v").over(w))
+        return d.withColumns({"mean": rolling(F.avg, F.col("change"), 4, w), "top": rolling(F.max, F.col("v"), 5, w, prior=True)})
+
+    want = sorted(map(str, step(df, series()).collect()))
+    for size in (5, 7, 64, 1000):
+        assert sorted(map(str, in_blocks(df, step, 5, block_rows=size).collect())) == want
+    assert in_blocks(df.limit(0), step, 5).count() == 0
+    with pytest.raises(ValueError):
+        in_blocks(df, step, 6, block_rows=5)

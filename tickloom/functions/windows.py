@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+BLOCK_ROWS = 16384  # of a series, for windows of bounded length
+
 
 def series(order: str = "timestamp_utc", by: Sequence[str] = ("symbol",)) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
@@ -26,6 +28,31 @@ def ratio(top: Column, bottom: Column, least: float = 0.0, otherwise: Column | f
     return F.when(bottom > least, top / bottom).otherwise(F.lit(otherwise) if not isinstance(otherwise, Column) else otherwise)
 
 
+def in_blocks(df: DataFrame, step: Callable[[DataFrame, WindowSpec], DataFrame], lookback: int, order: str = "timestamp_utc", by: Sequence[str] = ("symbol",), block_rows: int | None = None) -> DataFrame:
+    """step(df, window) for windows along `order` that reach back at most `lookback` rows, in all its steps together.
+
+    Rows are numbered over the whole of each key (a count for each UTC date, then inside the date) and cut into blocks of
+    `block_rows`; the last `lookback` rows of a block go into the next one too and are dropped there afterwards. Frames
+    hold the same rows as over the whole series, nulls of `order` come first, and a task holds one block.
+    """
+    size = block_rows or BLOCK_ROWS
+    if not 1 <= lookback <= size:
+        raise ValueError("the lookback must be between 1 and the rows of a block")
+    dated = df.withColumn("_row_date", F.coalesce(F.to_date(order), F.lit("0001-01-01").cast("date")))
+    keys = [*by, "_row_date"]
+    earlier = Window.partitionBy(*by).orderBy("_row_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = dated.groupBy(*keys).agg(F.count("*").alias("_rows")).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    numbered = dated.withColumn("_row_in_date", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).join(before, same)
+    numbered = numbered.withColumn("_row", F.col("_rows_before") + F.col("_row_in_date") - 1).drop("_row_date", "_row_in_date", "_rows_before", *[f"_key{i}" for i in range(len(keys))])
+    own = F.floor(F.col("_row") / size)
+    blocks = F.when(F.col("_row") % size >= size - lookback, F.array(own, own + 1)).otherwise(F.array(own))
+    out = step(numbered.withColumn("_block", F.explode(blocks)), Window.partitionBy(*by, "_block").orderBy("_row"))
+    return out.where(F.col("_block") == own).drop("_row", "_block")
+
+
 def running_totals(df: DataFrame, totals: Mapping[str, Column], order: Sequence[str], bucket: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Adds running sums along `order` over the whole of each key."""
     inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

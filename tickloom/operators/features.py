@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tickloom.contracts import ExperimentConfig
 from tickloom.functions.calendar import SessionWindow, add_time_features, filter_observations, minutes_after
-from tickloom.functions.windows import asof_join, ratio, rolling, series
+from tickloom.functions.windows import asof_join, in_blocks, ratio, rolling, series
 from tickloom.operators.intraday import direction, typical_price
 
 EPSILON = 1e-12
+RETURN_ROWS = 17  # 16 returns, each with the bar before
+HISTORY_ROWS = 33  # the longest of the fixed windows, with the bar before
 #: The model's inputs in their order.
 MODEL_FEATURES = (
     "body_to_range", "close_location", "candle_direction", "return_15m", "return_30m", "return_60m", "realized_vol_60m", "realized_vol_4h",
@@ -30,8 +32,7 @@ def add_geometry(df: DataFrame) -> DataFrame:
         "candle_direction": direction()})
 
 
-def add_returns(df: DataFrame) -> DataFrame:
-    w = series()
+def _returns(df: DataFrame, w: WindowSpec) -> DataFrame:
     back = lambda k: F.try_divide(F.col("close"), F.lag("close", k).over(w)) - 1.0
     df = df.withColumns({"return_15m": back(1), "return_30m": back(2), "return_60m": back(4), "_step": F.signum(F.col("close") - F.lag("close").over(w))})
     return df.withColumns({
@@ -39,26 +40,37 @@ def add_returns(df: DataFrame) -> DataFrame:
         "direction_balance_60m": rolling(F.sum, F.col("_step"), 4, w).cast("byte")}).drop("_step")
 
 
-def add_atr(df: DataFrame, period: int = 14) -> DataFrame:
+def add_returns(df: DataFrame) -> DataFrame:
+    return in_blocks(df, _returns, RETURN_ROWS)
+
+
+def _atr(df: DataFrame, w: WindowSpec, period: int) -> DataFrame:
     if period < 2:
         raise ValueError("period is below 2")
-    w = series()
     before = F.lag("close").over(w)
     df = df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     df = df.withColumn("atr", rolling(F.avg, F.col("true_range"), period, w))
     return df.withColumns({"range_atr": ratio(F.col("bar_range"), F.col("atr"), EPSILON), "body_atr": ratio(F.col("body"), F.col("atr"), EPSILON)})
 
 
-def add_volume(df: DataFrame, short: int = 4, reference: int = 32) -> DataFrame:
+def add_atr(df: DataFrame, period: int = 14) -> DataFrame:
+    return in_blocks(df, lambda d, w: _atr(d, w, period), period + 1)
+
+
+def _volume(df: DataFrame, w: WindowSpec, short: int = 4, reference: int = 32) -> DataFrame:
     if short < 1 or reference < 2:
         raise ValueError("windows are too short")
-    w, v = series(), F.col("volume")
+    v = F.col("volume")
     df = df.withColumns({"volume_sum_short": rolling(F.sum, v, short, w), "volume_mean_prior": rolling(F.avg, v, reference, w, prior=True), "volume_std_prior": rolling(F.stddev_samp, v, reference, w, prior=True)})
     return df.withColumns({
         "volume_ratio": ratio(v, F.col("volume_mean_prior")), "volume_zscore": ratio(v - F.col("volume_mean_prior"), F.col("volume_std_prior"), EPSILON),
         "real_to_tick_volume": ratio(F.col("real_volume"), v, 0.0, 0.0)})
 
 
+def add_volume(df: DataFrame, short: int = 4, reference: int = 32) -> DataFrame:
+    return in_blocks(df, lambda d, w: _volume(d, w, short, reference), max(short, reference))
+
+
 def add_daily_vwap(df: DataFrame) -> DataFrame:
     """VWAP since local midnight; its slope is null on the first bar of each date."""
     df = df.withColumns({"calendar_date": F.to_date("timestamp_cot"), "typical_price": typical_price()})
@@ -69,10 +81,9 @@ def add_daily_vwap(df: DataFrame) -> DataFrame:
     return df.withColumns({"distance_daily_vwap": away, "distance_daily_vwap_atr": ratio(away, F.col("atr"), EPSILON), "daily_vwap_slope": F.col("daily_vwap") - F.lag("daily_vwap").over(w)})
 
 
-def add_prior_extremes(df: DataFrame, lookback: int = 16) -> DataFrame:
+def _prior_extremes(df: DataFrame, w: WindowSpec, lookback: int = 16) -> DataFrame:
     if lookback < 2:
         raise ValueError("lookback is below 2")
-    w = series()
     df = df.withColumns({"prior_high": rolling(F.max, F.col("high"), lookback, w, prior=True), "prior_low": rolling(F.min, F.col("low"), lookback, w, prior=True)})
     high, low, close = F.col("prior_high"), F.col("prior_low"), F.col("close")
     return df.withColumns({
@@ -80,10 +91,14 @@ def add_prior_extremes(df: DataFrame, lookback: int = 16) -> DataFrame:
         "sweep_prior_high": ((F.col("high") > high) & (close < high)).cast("byte"), "sweep_prior_low": ((F.col("low") < low) & (close > low)).cast("byte")})
 
 
+def add_prior_extremes(df: DataFrame, lookback: int = 16) -> DataFrame:
+    return in_blocks(df, lambda d, w: _prior_extremes(d, w, lookback), lookback)
+
+
 def context_features(h1: DataFrame, minutes: int = 60) -> DataFrame:
     """Context bars by the time they are complete."""
-    return h1.select("symbol", minutes_after("timestamp_utc", minutes).alias("h1_available_at_utc"), (F.col("close") - F.col("open")).alias("h1_body"), direction().alias("h1_direction"),
-                     (F.try_divide(F.col("close"), F.lag("close").over(series())) - 1.0).alias("h1_return_1"))
+    change = lambda d, w: d.withColumn("h1_return_1", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1.0)
+    return in_blocks(h1, change, 1).select("symbol", minutes_after("timestamp_utc", minutes).alias("h1_available_at_utc"), (F.col("close") - F.col("open")).alias("h1_body"), direction().alias("h1_direction"), "h1_return_1")
 
 
 def join_context(df: DataFrame, context: DataFrame) -> DataFrame:
@@ -104,7 +119,8 @@ def add_session_vwap(df: DataFrame) -> DataFrame:
 def feature_frame(m15: DataFrame, h1: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig(), drop_incomplete: bool = True) -> DataFrame:
     """All features of the bars of a session; rows with a null among MODEL_FEATURES go unless drop_incomplete is off."""
     df = add_geometry(add_availability(m15, config.observation_minutes))
-    df = add_prior_extremes(add_daily_vwap(add_volume(add_atr(add_returns(df), config.atr_period))))
+    history = lambda d, w: _prior_extremes(_volume(_atr(_returns(d, w), w, config.atr_period), w), w)
+    df = add_daily_vwap(in_blocks(df, history, max(HISTORY_ROWS, config.atr_period + 1)))
     df = join_context(add_time_features(df), context_features(h1, config.context_minutes))
     df = add_session_vwap(filter_observations(df, session))
     if drop_incomplete:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.calendar import SessionWindow, filter_session, floor_minute, in_session
-from tickloom.functions.windows import asof_join, previous, rolling, running_totals, series
+from tickloom.functions.windows import asof_join, in_blocks, previous, rolling, running_totals
 
 
 def typical_price() -> Column:
@@ -107,9 +107,8 @@ def sweeps(bars: DataFrame, signed: DataFrame, session: SessionWindow, lookback:
     Windows begin at the session filter; a bar takes the delta of the last minute with ticks. The label follows the high
     alone, as a bar may break both extremes.
     """
-    v = filter_session(bars, session)
-    w = series()
-    v = v.withColumns({"prior_high": rolling(F.max, F.col("high"), lookback, w, prior=True), "prior_low": rolling(F.min, F.col("low"), lookback, w, prior=True)})
+    prior = lambda d, w: d.withColumns({"prior_high": rolling(F.max, F.col("high"), lookback, w, prior=True), "prior_low": rolling(F.min, F.col("low"), lookback, w, prior=True)})
+    v = in_blocks(filter_session(bars, session), prior, lookback)
     v = asof_join(v, delta_by_minute(signed), "timestamp_utc", "minute_utc", ["bar_delta"]).withColumn("bar_delta", F.coalesce("bar_delta", F.lit(0.0)))
     up = F.col("high") > F.col("prior_high")
     high = up & (F.col("close") < F.col("prior_high")) & (F.col("bar_delta") < 0)
