@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.functions.calendar import LOCAL_ZONE, Period, between_utc, local_time, weekdays_only
+from tickloom.operators.quality import reconcile_duplicates, validate_bars
 
 BAR_SCHEMA = T.StructType([T.StructField("timestamp_utc", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")],
                            T.StructField("volume", T.LongType()), T.StructField("spread", T.IntegerType()), T.StructField("real_volume", T.LongType())])
 TICK_SCHEMA = T.StructType([T.StructField("timestamp_utc", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in ("bid", "ask", "last", "volume", "volume_real")], T.StructField("flags", T.LongType())])
 SCHEMAS = {"m1": BAR_SCHEMA, "m15": BAR_SCHEMA, "h1": BAR_SCHEMA, "ticks": TICK_SCHEMA}
+_WIDTHS = {"integer": 4, "short": 2, "byte": 1, "boolean": 1, "string": 16}  # bytes of a value in memory; other types take 8
 _PARTITIONS = [T.StructField("symbol", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("year", "month", "day")]]
 
 
@@ -50,8 +54,7 @@ def write_lake(df: DataFrame, root: str, kind: str, symbol: str, zone: str = LOC
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(f"{root}/{kind}"))
 
 
-def read_lake(spark: SparkSession, root: str, kind: str, symbol: str | None = None, period: Period | None = None) -> DataFrame:
-    """Rows of the half-open period; partitions are pruned by local dates and the UTC range reaches the scan."""
+def _stored(spark: SparkSession, root: str, kind: str, symbol: str | None, period: Period | None) -> DataFrame:
     df = spark.read.schema(T.StructType([*SCHEMAS[kind].fields, *_PARTITIONS])).parquet(f"{root}/{kind}")
     if symbol is not None:
         df = df.where(F.col("symbol") == symbol)
@@ -61,7 +64,17 @@ def read_lake(spark: SparkSession, root: str, kind: str, symbol: str | None = No
         years = F.col("year").between(period.start.year, last.year)
         df = df.where(years & (F.col("year") * 10000 + F.col("month") * 100 + F.col("day")).between(number(period.start), number(last)))
         df = between_utc(df, *period.bounds_utc)
-    return df.drop("year", "month", "day")
+    return df
+
+
+def read_lake(spark: SparkSession, root: str, kind: str, symbol: str | None = None, period: Period | None = None) -> DataFrame:
+    """Rows of the half-open period; partitions are pruned by local dates and the UTC range reaches the scan."""
+    return _stored(spark, root, kind, symbol, period).drop("year", "month", "day")
+
+
+def stored_files(spark: SparkSession, root: str, kind: str, symbol: str | None = None, period: Period | None = None) -> DataFrame:
+    """(file, bytes): the files that hold rows of the period."""
+    return _stored(spark, root, kind, symbol, period).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -70,14 +83,42 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def column_chunks(files: DataFrame) -> DataFrame:
+    """One row for each column chunk of the files (column file): file, row_group, rows, name, codec, has_statistics.
+
+    Footers are read inside tasks through pyarrow, so the files need a scheme that it opens.
+    """
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+
+        for batch in batches:
+            for file in batch.file:
+                source, path = fs.FileSystem.from_uri(file)
+                footer = parquet.read_metadata(path, filesystem=source)
+                groups = [footer.row_group(g) for g in range(footer.num_row_groups)]
+                chunks = [(file, g, group.num_rows, group.column(c)) for g, group in enumerate(groups) for c in range(group.num_columns)]
+                if chunks:
+                    yield pd.DataFrame([(f, g, n, c.path_in_schema, c.compression, c.is_stats_set) for f, g, n, c in chunks], columns=["file", "row_group", "rows", "name", "codec", "has_statistics"])
+
+    return files.select("file").mapInPandas(footers, "file string, row_group int, rows long, name string, codec string, has_statistics boolean")
+
+
 def audit(spark: SparkSession, root: str, kind: str, symbol: str) -> int:
-    """Rows of a symbol as written; an AssertionError if there are none or the schema differs."""
+    """Rows of a symbol as written. No rows, another schema, or a chunk of a lake column that is not ZSTD or has no statistics is an AssertionError."""
     stored = spark.read.parquet(f"{root}/{kind}")
     found = {f.name: f.dataType for f in stored.schema}
     wrong = [f.name for f in SCHEMAS[kind] if found.get(f.name) != f.dataType]
     rows = stored.where(F.col("symbol") == symbol).count()
     if wrong or not rows:
         raise AssertionError(f"audit of {kind}: {rows} rows, wrong columns {wrong}")
+    names = [f.name for f in SCHEMAS[kind]]
+    own = F.col("name").isin(names)
+    groups = column_chunks(stored_files(spark, root, kind, symbol)).groupBy("file", "row_group").agg(
+        F.first("rows").alias("rows"), F.count_if(own & (F.col("codec") != "ZSTD")).alias("codec"), F.count_if(own & ~F.col("has_statistics")).alias("bare"), (len(names) - F.count_if(own)).alias("absent"))
+    total = groups.agg(F.sum("rows").alias("rows"), F.sum("codec").alias("codec"), F.sum("bare").alias("bare"), F.sum("absent").alias("absent")).first()
+    if total.rows != rows or total.codec or total.bare or total.absent:
+        raise AssertionError(f"audit of {kind}: {total.rows} rows in footers of {rows}, chunks: {total.codec} of another codec, {total.bare} without statistics, {total.absent} absent")
     return rows
 
 
@@ -99,14 +140,27 @@ def normalise_bars(df: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def load_context(spark: SparkSession, root: str, symbol: str, period: Period, kinds: tuple[str, ...] = ("m1", "m15", "h1")) -> dict[str, DataFrame]:
-    """Bars of each timeframe, weekdays alone; a timeframe without rows is an error."""
-    return {k: require_rows(weekdays_only(normalise_bars(read_lake(spark, root, k, symbol, period))), f"{symbol} {k}") for k in kinds}
+    """Bars of each timeframe, weekdays alone, one row for each time.
+
+    A timeframe without rows is a FileNotFoundError; repeated times that differ and unsound bars are a ValueError.
+    """
+
+    def load(kind: str) -> DataFrame:
+        stored = require_rows(normalise_bars(read_lake(spark, root, kind, symbol, period)), f"{symbol} {kind}")
+        bars = reconcile_duplicates(stored)
+        validate_bars(bars)
+        return require_rows(weekdays_only(bars), f"{symbol} {kind} on weekdays")
+
+    return {k: load(k) for k in kinds}
 
 
-def summarise(frames: dict[str, DataFrame]) -> DataFrame:
-    """Rows and time range of each timeframe."""
+def summarise(frames: dict[str, DataFrame], files: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows, time range and estimated bytes in memory of each timeframe, with files and their bytes if `stored_files` are given."""
     out = None
     for k, df in frames.items():
-        one = df.agg(F.count("*").alias("rows"), F.min("timestamp_utc").alias("first_utc"), F.max("timestamp_utc").alias("last_utc")).withColumn("timeframe", F.lit(k))
+        one = df.agg(F.count("*").alias("rows"), F.min("timestamp_utc").alias("first_utc"), F.max("timestamp_utc").alias("last_utc")).withColumns({
+            "timeframe": F.lit(k), "memory_bytes": F.col("rows") * sum(_WIDTHS.get(f.dataType.typeName(), 8) for f in df.schema)})
+        if files is not None:
+            one = one.crossJoin(files[k].agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("file_bytes")))  # one row each
         out = one if out is None else out.unionByName(one)
-    return out.select("timeframe", "rows", "first_utc", "last_utc")
+    return out.select("timeframe", "rows", "first_utc", "last_utc", "memory_bytes", *([] if files is None else ["files", "file_bytes"]))
