@@ -554,3 +554,24 @@ def test_dictionary_has_whole_levels(spark):
     counts = spark.createDataFrame([(f"t{k}", c) for k, c in enumerate([9, 5, 5, 5, 2, 1, 1])], "token string, c long")
     assert hmm._dictionary(counts, 5) == (["t0", "t1", "t2", "t3", "t4"], [9, 5, 5, 5, 2])
     assert hmm._dictionary(counts, 3) == (["t0"], [9]) and hmm._dictionary(counts.where("c = 5"), 2) == ([], [])
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_of_separate_planes_by_hand(order):
+    first, second = [[1, 2, 3], [4, 5, 6], [7, 8, 9]], [[10, 20, 30], [40, 50, 60], [70, 80, 90]]
+    strips = [bytes(sum(plane[y : y + 2], [])) for plane in (first, second) for y in (0, 2)]  # two rows a strip, plane by plane
+    head = (b"II" if order == "<" else b"MM") + (42).to_bytes(2, "little" if order == "<" else "big")
+    number = lambda v, n: v.to_bytes(n, "little" if order == "<" else "big")
+    at, places, body = 8, [], b""
+    for strip in strips:
+        places.append(at + len(body))
+        body += strip
+    lists = {273: 8 + len(body), 279: 8 + len(body) + 16}
+    body += b"".join(number(p, 4) for p in places) + b"".join(number(len(x), 4) for x in strips)
+    entry = lambda tag, value, count=1: number(tag, 2) + number(4, 2) + number(count, 4) + number(value, 4)
+    two = number(258, 2) + number(3, 2) + number(2, 4) + number(8, 2) * 2
+    entries = [entry(256, 3), entry(257, 3), two, entry(259, 1), entry(262, 1), entry(273, lists[273], 4), entry(277, 2), entry(278, 2), entry(279, lists[279], 4), entry(284, 2)]
+    data = head + number(8 + len(body), 4) + body + number(len(entries), 2) + b"".join(entries) + number(0, 4)
+    (page,) = tiff.pages(data)
+    assert page[-1] is None and page[1:4] == (3, 3, 2)
+    assert page[-2] == bytes(v for y in range(3) for x in range(3) for v in (first[y][x], second[y][x]))

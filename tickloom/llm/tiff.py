@@ -210,22 +210,25 @@ def _page(data: bytes, f: dict[int, list[int]]) -> tuple:
 
     w, h, s = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     compression, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in f
-    if set(f.get(BITS, [1])) != {8} or (one(PLANAR, 1) != 1 and s > 1) or predictor not in (1, 2):
-        raise ValueError("not 8-bit interleaved samples")
+    if set(f.get(BITS, [1])) != {8} or one(PLANAR, 1) not in (1, 2) or predictor not in (1, 2):
+        raise ValueError("not 8-bit samples")
     if not 0 < w * h * s <= MAX_PIXELS:
         raise ValueError("size out of range")
     th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
     offsets, sizes = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_BYTES])
     out, k = np.empty((h, w, s), np.uint8), 0
-    for y in range(0, h, th):
-        for x in range(0, w, tw):
-            rows = th if tiled else min(th, h - y)
-            raw = _chunk(data[offsets[k] : offsets[k] + sizes[k]], compression, rows * tw * s)
-            part = np.frombuffer(raw, np.uint8).reshape(rows, tw, s)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=np.uint8)
-            out[y : y + rows, x : x + tw] = part[: h - y, : w - x]
-            k += 1
+    planes = [slice(i, i + 1) for i in range(s)] if one(PLANAR, 1) == 2 else [slice(0, s)]  # separate or interleaved samples
+    for plane in planes:
+        deep = plane.stop - plane.start
+        for y in range(0, h, th):
+            for x in range(0, w, tw):
+                rows = th if tiled else min(th, h - y)
+                raw = _chunk(data[offsets[k] : offsets[k] + sizes[k]], compression, rows * tw * deep)
+                part = np.frombuffer(raw, np.uint8).reshape(rows, tw, deep)
+                if predictor == 2:
+                    part = np.cumsum(part, axis=1, dtype=np.uint8)
+                out[y : y + rows, x : x + tw, plane] = part[: h - y, : w - x]
+                k += 1
     return w, h, s, compression, predictor, tiled, out.tobytes()
 
 
