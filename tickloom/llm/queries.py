@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontam, hmm, html_text, langid, minhash, packing, quality, tiff, tokenbin, toolcalls
+from tickloom.llm import decontam, divergence, hmm, html_text, langid, minhash, packing, quality, secrets, tiff, tokenbin, toolcalls, whitening
 from tickloom.llm.common import remainder, small_batches
 
 THRESHOLD = 0.3  # quality scores from here on count as label 1
@@ -85,8 +85,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_duplicates, op2_quality, op3_decontamination, op4_packing, op5_language_model, op6_token_files, op7_html_text, op8_tiff, op9_tool_calls, op10_language_id]
+    own = [op1_near_duplicates, op2_quality, op3_decontamination, op4_packing, op5_language_model, op6_token_files, op7_html_text, op8_tiff, op9_tool_calls, op10_language_id,
+           op11_divergence, op12_whitening, op13_secrets]
     return {f.__name__: f for f in own}
 
 
@@ -164,5 +177,48 @@ FROM numbered
 """
 
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT lang, source, doc, unnest(w) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), vocabulary AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), totals AS (
+  SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL
+), whole AS (
+  SELECT lang, sum(n) AS n FROM totals GROUP BY lang
+), groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(t.n, 0)::HUGEINT AS n, coalesce(w.n, 0)::HUGEINT AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN vocabulary USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN whole w ON w.lang = g.lang
+), in_lang AS (
+  SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (l.c + 5)) // (g.lang_n + 5 * g.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN in_lang l ON l.lang = k.lang AND l.term = k.term
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, r::INTEGER AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op9_tool_calls": OP9_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op9_tool_calls": OP9_SQL, "op11_divergence": OP11_SQL}
