@@ -16,50 +16,57 @@ count as often as they occur; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.common import materialize, tidy
 
 WIDTH = 1024  # terms of a chunk
 ROWS = 32_768  # sorted rows that are encoded at a time, at least
-HELD = 300_000  # distinct (lang, source, term) that a map task holds
+HELD = 150_000  # distinct (lang, source, term) that a map task holds, about
+SENT = 10_000  # of them in a batch
 SMOOTH, ONE = 5, 1_000_000_000
 TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def terms(text: str) -> list[bytes]:
-    """Matches of `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+` with A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(TERMS).split()
+def terms(text: bytes) -> list[bytes]:
+    """Matches of `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+` in UTF-8 text with A-Z lower-cased."""
+    return text.translate(TERMS).split()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, c, d): occurrences and documents, over all rows of docs (lang, source, text), none of them null."""
+    """(lang, source, term, c, d) over all rows of docs (lang, source, text), none of them null: occurrences in the rows with a source, documents of the language in those without."""
 
-    def table(found: dict) -> pd.DataFrame:
-        rows = [(lang, source, t.decode("utf-8", "surrogatepass"), c, d[t]) for (lang, source), (n, d) in found.items() for t, c in n.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "c", "d"])
+    def flush(found: dict[tuple[str, str | None], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), n in found.items():
+            for at in range(0, len(n), SENT):
+                some = list(itertools.islice(n.items(), at, at + SENT))
+                counts, none = pa.array([c for _, c in some], pa.int64()), pa.array([0] * len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array([t for t, _ in some], pa.binary()).cast(pa.string()),
+                    none if source is None else counts, counts if source is None else none], ["lang", "source", "term", "c", "d"])
 
     @tidy
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for pdf in batches:
-            for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
-                n, d = found.setdefault((lang, source), (Counter(), Counter()))
-                own = terms(text)
-                n.update(own)
-                d.update(set(own))
-            if sum(len(n) for n, _ in found.values()) > HELD:
-                yield table(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str | None], Counter] = {}
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, (lang, source) in enumerate(zip(langs, sources)):
+                own = terms(batch.column(2)[at].as_py())
+                found.setdefault((lang, source), Counter()).update(own)
+                found.setdefault((lang, None), Counter()).update(set(own))
+            if sum(map(len, found.values())) > HELD:
+                yield from flush(found)
                 found = {}
-        if found:
-            yield table(found)
+        yield from flush(found)
 
-    counted = docs.select("lang", "source", "text").mapInPandas(run, "lang string, source string, term string, c long, d long")
+    counted = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, c long, d long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
@@ -74,6 +81,7 @@ def encode(pdf: pd.DataFrame, least: int) -> Iterator[tuple[str, np.ndarray, lis
         ids = np.searchsorted(kept, word)
         ids[ids == len(kept)] = 0
         known = kept[ids] == word
+        known &= rows["source"].notna().to_numpy()
         ids, counts = ids[known], rows["c"].to_numpy(np.int64)[known]
         codes, sources = pd.factorize(rows["source"].to_numpy(object)[known], sort=True)
         for at in range(0, len(kept), WIDTH):
@@ -86,6 +94,7 @@ def encode(pdf: pd.DataFrame, least: int) -> Iterator[tuple[str, np.ndarray, lis
 def chunk_vectors(counts: DataFrame, least: int) -> DataFrame:
     """(lang, chunk, source, terms, counts): dense counts of the kept terms of a chunk, for each source that holds one; terms stand in the first row of a chunk only."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
