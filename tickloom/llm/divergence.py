@@ -1,6 +1,8 @@
 """Source divergence audit: how far the term shares of a language's sources lie apart, exactly, over integer dictionaries.
 
-Map tasks count terms and documents for each (lang, source, term). These counts are dealt by ranges of (lang, term) and
+Texts are dealt by (lang, source) and blocks of input partitions, so that a task meets the terms of few sources again and
+again and the texts of a large source go to many tasks. Tasks count terms and documents for each (lang, source, term).
+These counts are dealt by ranges of (lang, term) and
 sorted, so that a task sees every row of its terms in UTF-8 order: it keeps the terms that enough documents of the language
 hold, as sorted arrays of at most WIDTH terms, finds each row's id in them by binary search and adds the counts up by one
 bincount over (source, id). Ids rise with the terms, across tasks too, so ties go by ids. A chunk of terms is then one
@@ -29,6 +31,7 @@ from tickloom.llm.common import materialize, tidy
 
 WIDTH = 1024  # terms of a chunk
 ROWS = 32_768  # sorted rows that are encoded at a time, at least
+DEALT = 16  # input partitions whose texts of one (lang, source) are counted together
 HELD = 150_000  # distinct (lang, source, term) that a map task holds, about
 SENT = 10_000  # of them in a batch
 SMOOTH, ONE = 5, 1_000_000_000
@@ -66,7 +69,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 found = {}
         yield from flush(found)
 
-    counted = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, c long, d long")
+    dealt = docs.withColumn("_block", F.floor(F.spark_partition_id() / DEALT)).repartition("lang", "source", "_block")
+    counted = dealt.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, c long, d long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
