@@ -184,7 +184,7 @@ def test_model_and_evaluation(spark):
     for p in range(160):
         a, b, c, at = math.sin(p / 6), math.cos(p / 10), (p % 8) / 8, dt.datetime(2026, 8, 1, 12) + dt.timedelta(minutes=15 * p)
         part = "train" if p < 95 else "validation" if p < 125 else "test"
-        rows.append((f"synthetic-{p:05d}", at, at + dt.timedelta(hours=1), "new_york", a, b, c, int(a + 0.7 * b + c > 0.35), part, True))
+        rows.append((f"synthetic-{p:05d}", at, at + dt.timedelta(hours=1), "new_york", a, b, c, int(a + 0.7 * b + c > 0.35), part, p not in (92, 93, 94, 122, 123, 124)))  # whose hour reaches into the next part
     df = spark.createDataFrame(rows, "observation_id string, observation_time_utc timestamp_ntz, target_horizon_end_utc timestamp_ntz, session_code string, feature_a double, feature_b double, feature_c double, target_peak_075_atr int, part string, kept boolean")
     done = products.experiment(df, ("feature_a", "feature_b", "feature_c"), ModelConfig(c_values=(0.1, 10.0)))
     found = {r.source: r for r in done.evaluation["metrics"].collect()}

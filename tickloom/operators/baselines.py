@@ -7,56 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.calendar import WEEKDAYS
+from tickloom.functions.keys import match
+from tickloom.functions.quantiles import exact_quantiles
+from tickloom.functions.stored import stored
 
 TARGETS = ("target_peak_050_atr", "target_peak_075_atr", "target_peak_100_atr")
+ALL_MEDIANS = ("mfe_atr", "mae_atr", "time_to_peak_minutes")
 MAX_BROADCAST_GROUPS = 200_000
 
 
-def _figures(targets: Sequence[str], counts: bool, medians: Sequence[str]) -> list[Column]:
-    out = [F.count("*").alias("observations")]
-    out += [F.sum(t).alias(f"positive_{t}") for t in targets] if counts else []
-    out += [F.avg(t).alias(f"rate_{t}") for t in targets]
-    return out + [F.median(m).alias(f"median_{m}") for m in medians]
+def _narrow(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, evaluated once for all figures on them."""
+    return stored(df.select(*dict.fromkeys(columns)))
 
 
-ALL_MEDIANS = ("mfe_atr", "mae_atr", "time_to_peak_minutes")
+def _figures(narrow: DataFrame, by: Sequence[str], targets: Sequence[str], counts: bool, medians: Sequence[str], least: int = 1) -> DataFrame:
+    """Rows, rates and exact medians of each group of at least `least` rows."""
+    out = [F.count("*").alias("observations")]
+    out += [F.sum(t).alias(f"positive_{t}") for t in targets] if counts else []
+    rates = narrow.groupBy(*by).agg(*out, *[F.avg(t).alias(f"rate_{t}") for t in targets]).where(F.col("observations") >= (least if by else 0))
+    middle = exact_quantiles(narrow, by, medians, (0.5,)).select(*by, *[F.col(f"q_{m}")[0].alias(f"median_{m}") for m in medians])
+    return match(rates, middle, by, "left")
 
 
 def global_rates(df: DataFrame, targets: Sequence[str] = TARGETS, medians: Sequence[str] = ALL_MEDIANS) -> DataFrame:
-    return df.agg(*_figures(targets, True, medians))
+    return _figures(_narrow(df, *targets, *medians), (), targets, True, medians)
 
 
 def by_session(df: DataFrame, targets: Sequence[str] = TARGETS, medians: Sequence[str] = ALL_MEDIANS) -> DataFrame:
-    return df.groupBy("session_code").agg(*_figures(targets, True, medians))
+    return _figures(_narrow(df, "session_code", *targets, *medians), ("session_code",), targets, True, medians)
 
 
 def by_session_minute(df: DataFrame, targets: Sequence[str] = TARGETS, least: int = 1, medians: Sequence[str] = ("mfe_atr", "mae_atr")) -> DataFrame:
     if least < 1:
         raise ValueError("least is below 1")
-    return df.groupBy("session_code", "minute_of_session").agg(*_figures(targets, False, medians)).where(F.col("observations") >= least)
+    by = ("session_code", "minute_of_session")
+    return _figures(_narrow(df, *by, *targets, *medians), by, targets, False, medians, least)
 
 
 def by_weekday(df: DataFrame, targets: Sequence[str] = TARGETS, medians: Sequence[str] = ("mfe_atr", "mae_atr")) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in WEEKDAYS.items() for x in kv])
-    out = df.groupBy("session_code", F.col("iso_weekday").cast("int").alias("iso_weekday")).agg(*_figures(targets, False, medians))
+    by = ("session_code", "iso_weekday")
+    out = _figures(_narrow(df.withColumn("iso_weekday", F.col("iso_weekday").cast("int")), *by, *targets, *medians), by, targets, False, medians)
     return out.withColumn("weekday", F.coalesce(names[F.col("iso_weekday")], F.lit("Unknown")))
 
 
+def _terciles(narrow: DataFrame) -> DataFrame:
+    numbers = narrow.select(F.when(~F.isnan("atr"), F.col("atr")).alias("atr"))
+    cuts = exact_quantiles(numbers, (), ("atr",), (1 / 3, 2 / 3)).agg(F.first("q_atr").alias("q"))  # a row even where there is none
+    return cuts.select(F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+
+
 def atr_terciles(df: DataFrame) -> DataFrame:
-    """One row (q33, q67): exact quantiles with linear interpolation."""
-    q = F.percentile("atr", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return df.agg(q.alias("q")).select(F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+    """One row (q33, q67): exact quantiles with linear interpolation, both null without values; null and NaN do not count."""
+    return _terciles(_narrow(df, "atr"))
 
 
-def add_regime(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """volatility_regime by the one row of atr_terciles."""
-    joined = df.crossJoin(F.broadcast(cuts))  # one row
-    return joined.withColumn("volatility_regime", F.when(F.col("atr") <= F.col("q33"), "low").when(F.col("atr") <= F.col("q67"), "medium").otherwise("high"))
+def add_regime(df: DataFrame, q33: float | None, q67: float | None) -> DataFrame:
+    """volatility_regime, null where the ATR is null or not a number; q33 and q67."""
+    out = df.withColumns({"q33": F.lit(q33).cast("double"), "q67": F.lit(q67).cast("double")})
+    known = F.col("atr").isNotNull() & ~F.isnan("atr")
+    return out.withColumn("volatility_regime", F.when(known & (F.col("atr") <= F.col("q33")), "low").when(known & (F.col("atr") <= F.col("q67")), "medium").when(known, "high"))
 
 
 def by_regime(df: DataFrame, reference: DataFrame | None = None, targets: Sequence[str] = TARGETS, medians: Sequence[str] = ("mfe_atr", "mae_atr")) -> DataFrame:
-    marked = add_regime(df, atr_terciles(df if reference is None else reference))
-    return marked.groupBy("session_code", "volatility_regime").agg(*_figures(targets, False, medians), F.first("q33").alias("q33"), F.first("q67").alias("q67"))
+    """By session and ATR tercile of the reference (df itself by default); df is evaluated once."""
+    narrow, by = _narrow(df, "session_code", "atr", *targets, *medians), ("session_code", "volatility_regime")
+    cuts = (_terciles(narrow) if reference is None else atr_terciles(reference)).first()  # one row
+    out = _figures(add_regime(narrow, *cuts), by, targets, False, medians)
+    return out.withColumns({"q33": F.lit(cuts.q33).cast("double"), "q67": F.lit(cuts.q67).cast("double")})
 
 
 def report(df: DataFrame, targets: Sequence[str] = TARGETS) -> dict[str, DataFrame]:

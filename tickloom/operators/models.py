@@ -1,8 +1,10 @@
 """Regularised logistic models: standardised on training rows, C chosen on validation rows by Brier score.
 
-All folds and all C values are fitted together by Newton's method. A pass over the rows gives, for each fold, the losses,
-gradients and curvatures of its candidates as sums of partitions; what reaches the driver has the size of folds times C
-values times squared features, whatever the number of rows.
+All folds and all C values are fitted together by Newton's method. Rows are stored once, with the ranges of folds that they
+train or validate (`validation.assign_folds`); a pass visits each row once and gives, for each fold, the losses, gradients
+and curvatures of its candidates as sums of partitions. Means and deviations of a fold are put together from those of the
+ranges that occur. What reaches the driver has the size of folds times C values times squared features, whatever the
+number of rows.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.contracts import ModelConfig
+from tickloom.functions.stored import stored
 from tickloom.operators.quality import require_columns
+from tickloom.operators.validation import part_rows
 
 CLIP = 2.2e-16
 TOLERANCE = 1e-10  # of the Newton decrement
@@ -47,29 +50,42 @@ class _Fit:
     done: np.ndarray
 
 
+RANGES = ("train_first", "train_last", "validation_first", "validation_last")
+
+
 def _start(rows: DataFrame, features: Sequence[str], config: ModelConfig) -> dict[int, _Fit]:
     """Means and population deviations of each fold's training rows; ValueError for unusable rows."""
-    target, training = F.col(config.target), F.col("part") == "train"
+    target = F.col(config.target)
     sound = F.lit(True)
     for f in features:
         sound = sound & F.coalesce(F.abs(F.col(f)) < float("inf"), F.lit(False)) & ~F.isnan(f)
     binary = F.coalesce(target.isin(0, 1), F.lit(False))
-    own = lambda c: F.when(training, c)
-    stats = rows.groupBy("fold").agg(
-        F.count_if(~sound).alias("unsound"), F.count_if(~binary).alias("unknown"), F.avg(own(target)).alias("rate"), F.avg(F.when(~training, target)).alias("validation_rate"),
-        F.array(*[F.avg(own(F.col(f))) for f in features]).alias("means"), F.array(*[F.stddev_pop(own(F.col(f))) for f in features]).alias("scales")).collect()  # a row for each fold
+    stats = rows.groupBy(*RANGES).agg(
+        F.count("*").alias("n"), F.count_if(~sound).alias("unsound"), F.count_if(~binary).alias("unknown"), F.count_if(target == 1).alias("positive"),
+        F.array(*[F.avg(f) for f in features]).alias("means"), F.array(*[F.var_pop(f) for f in features]).alias("variances")).collect()  # a row for each range of folds
     if not stats:
         raise ValueError("no rows to learn from")
+    holds = lambda s, part, f: s[f"{part}_first"] is not None and s[f"{part}_first"] <= f <= s[f"{part}_last"]
+    firsts = [s[f"{p}_first"] for s in stats for p in ("train", "validation") if s[f"{p}_first"] is not None]
+    lasts = [s[f"{p}_last"] for s in stats for p in ("train", "validation") if s[f"{p}_last"] is not None]
     out = {}
-    for s in stats:
-        if s.unsound or s.unknown:
-            raise ValueError(f"fold {s.fold}: {s.unsound} rows with a null or infinite feature, {s.unknown} without a binary target")
-        for part, rate in (("train", s.rate), ("validation", s.validation_rate)):
-            if rate is None or not 0 < rate < 1:
-                raise ValueError(f"fold {s.fold}: {config.target} needs both classes in {part}")
+    for f in range(min(firsts), max(lasts) + 1):
+        of = {part: [s for s in stats if holds(s, part, f)] for part in ("train", "validation")}
+        unsound, unknown = (sum(s[k] for part in of.values() for s in part) for k in ("unsound", "unknown"))
+        if unsound or unknown:
+            raise ValueError(f"fold {f}: {unsound} rows with a null or infinite feature, {unknown} without a binary target")
+        rate = {}
+        for part, some in of.items():
+            n, positive = sum(s.n for s in some), sum(s.positive for s in some)
+            if not 0 < positive < n:
+                raise ValueError(f"fold {f}: {config.target} needs both classes in {part}")
+            rate[part] = positive / n
+        n, own = np.array([s.n for s in of["train"]], float)[:, None], np.array([s.means for s in of["train"]])
+        means = (n * own).sum(axis=0) / n.sum()
+        variance = (n * (np.array([s.variances for s in of["train"]]) + (own - means) ** 2)).sum(axis=0) / n.sum()
         shape = (len(config.c_values), len(features) + 1)
-        weights = (0.5 / (1 - s.rate), 0.5 / s.rate) if config.balanced else (1.0, 1.0)
-        out[s.fold] = _Fit(np.array(s.means), np.array([x or 1.0 for x in s.scales]), weights, np.zeros(shape), np.zeros(shape), np.full(shape[0], np.inf), np.zeros(shape[0], bool))
+        weights = (0.5 / (1 - rate["train"]), 0.5 / rate["train"]) if config.balanced else (1.0, 1.0)
+        out[f] = _Fit(means, np.where(variance > 0, np.sqrt(variance), 1.0), weights, np.zeros(shape), np.zeros(shape), np.full(shape[0], np.inf), np.zeros(shape[0], bool))
     return out
 
 
@@ -80,10 +96,13 @@ def _sums(rows: DataFrame, features: Sequence[str], target: str, fits: Mapping[i
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for fold, at in batch.groupby("fold").indices.items():
-                (means, scales, class_weights, points), part = state[fold], batch.iloc[at]
-                x = np.column_stack([(part[names].to_numpy(float) - means) / scales, np.ones(len(part))])
-                y = part[target].to_numpy(float)[:, None]
+            first, last = batch["train_first"].to_numpy(), batch["train_last"].to_numpy()
+            raw, label = batch[names].to_numpy(float), batch[target].to_numpy(float)[:, None]
+            for fold, (means, scales, class_weights, points) in state.items():
+                at = (first <= fold) & (fold <= last)
+                if not at.any():
+                    continue
+                x, y = np.column_stack([(raw[at] - means) / scales, np.ones(int(at.sum()))]), label[at]
                 weight = np.where(y == 1, class_weights[1], class_weights[0])
                 margin = x @ points.T
                 p = 0.5 * (1 + np.tanh(margin / 2))
@@ -132,33 +151,38 @@ def _probability(features: Sequence[str]) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
+def _ranged(splits: DataFrame) -> DataFrame:
+    """Rows with the ranges of folds that they are in; those of `validation.temporal_splits` are in one each."""
+    if "fold" not in splits.columns:
+        return splits
+    only = lambda part: F.when(F.col("kept") & (F.col("part") == part), F.col("fold"))
+    return splits.withColumns({f"{part}_{side}": only(part) for part in ("train", "validation") for side in ("first", "last")})
+
+
 def train_folds(splits: DataFrame, features: Sequence[str], config: ModelConfig = ModelConfig()) -> dict[int, TrainedModel]:
-    """A model for each fold of rows with fold, part and kept (`validation.temporal_splits`).
+    """A model for each fold of rows of `validation.assign_folds`, or of rows with fold, part and kept.
 
     Minimises w.w / 2 + C * (sum of weighted losses), with the intercept among w. Null or infinite features, targets that
     are not binary and parts with one class are a ValueError.
     """
-    require_columns(splits, [*features, config.target, "fold", "part", "kept"], "the split frame")
-    rows = splits.where("kept AND part IN ('train', 'validation')").select("fold", "part", F.col(config.target).cast("int").alias(config.target), *[F.col(f).cast("double").alias(f) for f in features])
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = _start(rows, features, config)
-        training = rows.where("part = 'train'").drop("part")
-        for _ in range(config.max_iter):
-            going = {f: fit for f, fit in fits.items() if not fit.done.all()}
-            if not going:
-                break
-            for f, sums in _sums(training.where(F.col("fold").isin(list(going))), features, config.target, going).items():
-                _advance(fits[f], sums, config.c_values)
-        models = [(f, fit.means.tolist(), fit.scales.tolist(), w[:-1].tolist(), float(w[-1]), c) for f, fit in fits.items() for w, c in zip(fit.at, config.c_values)]
-        table = _table(splits.sparkSession, models)  # folds times C values
-        actual = F.col(config.target).cast("double")
-        scored = rows.where("part = 'validation'").join(F.broadcast(table), "fold").withColumn("_p", _probability(features))
-        clipped = F.least(F.greatest("_p", F.lit(CLIP)), F.lit(1 - CLIP))
-        loss = -(actual * F.log(clipped) + (1 - actual) * F.log(1 - clipped))
-        found = {(r.fold, r.model_c): (r.brier, r.loss) for r in scored.groupBy("fold", "model_c").agg(F.avg((F.col("_p") - actual) ** 2).alias("brier"), F.avg(loss).alias("loss")).collect()}
-    finally:
-        rows.unpersist()
+    require_columns(splits, [*features, config.target, *(("fold", "part", "kept") if "fold" in splits.columns else RANGES)], "the split frame")
+    own = [F.col(config.target).cast("int").alias(config.target), *[F.col(f).cast("double").alias(f) for f in features]]
+    rows = stored(_ranged(splits).where("train_first IS NOT NULL OR validation_first IS NOT NULL").select(*RANGES, *own))
+    fits = _start(rows, features, config)
+    training = rows.where("train_first IS NOT NULL").drop("validation_first", "validation_last")
+    for _ in range(config.max_iter):
+        going = {f: fit for f, fit in fits.items() if not fit.done.all()}
+        if not going:
+            break
+        for f, sums in _sums(training, features, config.target, going).items():
+            _advance(fits[f], sums, config.c_values)
+    models = [(f, fit.means.tolist(), fit.scales.tolist(), w[:-1].tolist(), float(w[-1]), c) for f, fit in fits.items() for w, c in zip(fit.at, config.c_values)]
+    table = _table(splits.sparkSession, models)  # folds times C values
+    actual = F.col(config.target).cast("double")
+    scored = part_rows(rows, "validation").join(F.broadcast(table), "fold").withColumn("_p", _probability(features))
+    clipped = F.least(F.greatest("_p", F.lit(CLIP)), F.lit(1 - CLIP))
+    loss = -(actual * F.log(clipped) + (1 - actual) * F.log(1 - clipped))
+    found = {(r.fold, r.model_c): (r.brier, r.loss) for r in scored.groupBy("fold", "model_c").agg(F.avg((F.col("_p") - actual) ** 2).alias("brier"), F.avg(loss).alias("loss")).collect()}
     out = {}
     for f, fit in fits.items():
         c = min(config.c_values, key=lambda c: (*found[f, c], c))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.contracts import ExperimentConfig, ModelConfig
 from tickloom.functions.calendar import Period, SessionWindow
@@ -35,7 +35,8 @@ class Experiment:
 
 
 def experiment(splits: DataFrame, names: tuple[str, ...], config: ModelConfig = ModelConfig()) -> Experiment:
-    """Train on one fold's kept rows and evaluate model and baseline on its test rows."""
+    """Train on one fold's kept rows and evaluate model and baseline on its test rows; parts that are empty or overlap are an error."""
+    validation.check_splits(splits if "fold" in splits.columns else splits.withColumn("fold", F.lit(0)))
     kept = splits.where("kept")
     part = {p: kept.where(kept.part == p) for p in validation.PARTS}
     trained = models.train(part["train"], part["validation"], names, config)

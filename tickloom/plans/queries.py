@@ -364,7 +364,8 @@ def walk_forward_folds_rolling(spark, d):
 
 @query(S.PURGED)
 def purged_split(spark, d):
-    return validation.split_summary(validation.temporal_splits(_observations(spark, d), _folds(spark, d)))
+    folds = _folds(spark, d)
+    return validation.fold_summary(validation.assign_folds(_observations(spark, d), folds), folds)
 
 
 @query(S.SINGLE_MONTH)
@@ -416,7 +417,6 @@ def logistic_predictions(spark, d):
     obs = _observations(spark, d).withColumns({"f_minute": F.col("minute_of_session").cast("double"), "f_session": F.col("session_code").cast("double"), "f_month": F.month("session_date").cast("double")})
     names, folds = ("f_minute", "f_session", "f_month"), _folds(spark, d)
     obs = obs.select("observation_id", "observation_time_utc", "session_code", "session_date", "target_horizon_end_utc", ModelConfig().target, *names)
-    splits = validation.temporal_splits(obs, folds)
-    trained = models.train_folds(splits, names)
-    tested = splits.where("kept AND part = 'test'")
-    return models.predict_folds(trained, tested).select("fold", "observation_id", "model_probability", "model_target", "model_c", "actual_target")
+    assigned = validation.assign_folds(obs, folds)
+    trained = models.train_folds(assigned, names)
+    return models.predict_folds(trained, validation.part_rows(assigned, "test")).select("fold", "observation_id", "model_probability", "model_target", "model_c", "actual_target")
