@@ -10,7 +10,7 @@ from tickloom.functions import calendar as cal
 from tickloom.functions.windows import asof_join, in_blocks, rolling, series
 from tickloom.operators import baselines, dataset, evaluation, features, models, quality, targets, validation
 from tickloom.plans import products
-from tickloom.sources import lake
+from tickloom.sources import ingest, lake
 
 START = dt.datetime(2026, 7, 31, 5)
 
@@ -89,7 +89,7 @@ def test_context_and_audit(spark, market, tmp_path):
     row = lake.summarise(found, files).first()
     paths = [p for d in (3, 4, 5) for p in (tmp_path / f"lake/h1/symbol=SYN/year=2026/month=8/day={d}").glob("*.parquet")]
     assert row.rows == found["h1"].count() == 72 and row.files == len(paths) and row.file_bytes == sum(p.stat().st_size for p in paths) and row.memory_bytes > 72 * 60
-    chunks = lake.column_chunks(lake.stored_files(spark, root, "h1", "SYN"))
+    chunks = lake.column_chunks(spark, root, "h1", "SYN")
     assert chunks.where("codec <> 'ZSTD' OR NOT has_statistics").count() == 0 and chunks.count() % 8 == 0
     assert lake.audit(spark, root, "h1", "SYN") == 2 * h1.count()
     for name, bad in (("differs", h1.unionByName(h1.withColumn("close", F.col("close") + 0.01))), ("unsound", h1.withColumn("high", F.col("low") - 1))):
@@ -105,14 +105,14 @@ def test_ticks_and_broker_bars_in_the_lake(spark, tmp_path):
     root = f"file://{tmp_path}/lake"
     at = dt.datetime(2026, 8, 4, 12)
     ticks = spark.range(500).select((F.lit(1_785_844_800_000) + F.col("id") * 1000).alias("time_msc"), F.lit(1.0).alias("bid"), (1.5 + F.col("id")).alias("ask"))
-    assert lake.ingest(ticks, root, "ticks", "SYN", at, at + dt.timedelta(minutes=5)) == 300
+    assert ingest.ingest({"ticks": ticks}, root, "SYN", at, at + dt.timedelta(minutes=5))[0].rows == 300
     got = lake.read_lake(spark, root, "ticks", "SYN", cal.Period(dt.date(2026, 8, 4), dt.date(2026, 8, 5)))
     assert got.count() == 300 and got.agg(F.min("timestamp_utc"), F.max("ask")).first() == (at, 300.5)
     raw = spark.createDataFrame([(1_785_844_800 + 60 * i, 2.0, 3.0, 1.0, 2.5, 7, 1, 0) for i in range(4)], "time long, open double, high double, low double, close double, tick_volume long, spread int, real_volume long")
-    assert lake.ingest(raw, root, "m1", "SYN", at, at + dt.timedelta(minutes=3)) == 3
+    assert ingest.ingest({"M1": raw}, root, "SYN", at, at + dt.timedelta(minutes=3))[0].rows == 3
     assert lake.read_lake(spark, root, "m1", "SYN").agg(F.sum("volume")).first()[0] == 21
     with pytest.raises(RuntimeError):
-        lake.ingest(raw, root, "m1", "SYN", at + dt.timedelta(days=1), at + dt.timedelta(days=2))
+        ingest.ingest({"m1": raw}, root, "SYN", at + dt.timedelta(days=1), at + dt.timedelta(days=2))
 
 
 def test_broker_rows(spark):

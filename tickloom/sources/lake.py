@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.functions.calendar import LOCAL_ZONE, Period, between_utc, local_time, weekdays_only
 from tickloom.operators.quality import reconcile_duplicates, validate_bars
@@ -72,9 +74,56 @@ def read_lake(spark: SparkSession, root: str, kind: str, symbol: str | None = No
     return _stored(spark, root, kind, symbol, period).drop("year", "month", "day")
 
 
+def _footers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """One row for each column chunk: file, bytes, row_group, rows, name, type, codec, has_statistics, first and last (of times).
+
+    Footers are read inside tasks through pyarrow, so the files need a scheme that it opens; no column data is read.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+
+        columns = ["file", "bytes", "row_group", "rows", "name", "type", "codec", "has_statistics", "first", "last"]
+        for batch in batches:
+            for file in batch.file:
+                source, path = fs.FileSystem.from_uri(file)
+                footer, size = parquet.read_metadata(path, filesystem=source), source.get_file_info(path).size
+                kinds = {f.name: str(f.type) for f in footer.schema.to_arrow_schema()}
+                rows = []
+                for g in range(footer.num_row_groups):
+                    group = footer.row_group(g)
+                    for c in map(group.column, range(group.num_columns)):
+                        times = (c.statistics.min, c.statistics.max) if c.is_stats_set and kinds.get(c.path_in_schema, "").startswith("timestamp") else (None, None)
+                        rows.append((file, size, g, group.num_rows, c.path_in_schema, kinds.get(c.path_in_schema), c.compression, c.is_stats_set, *times))
+                yield pd.DataFrame(rows, columns=columns).astype({"first": "datetime64[us]", "last": "datetime64[us]"})
+
+    kind = "file string, bytes long, row_group int, rows long, name string, type string, codec string, has_statistics boolean, first timestamp_ntz, last timestamp_ntz"
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(max(len(files), 1), 1000))
+    return names.mapInPandas(read, kind)
+
+
+def _listed(spark: SparkSession, root: str, kind: str, symbol: str | None = None, period: Period | None = None) -> list[str]:
+    """The files whose partition values, as their paths give them, belong to the symbol and the dates of the period."""
+    every = spark.read.schema(T.StructType([*SCHEMAS[kind].fields, *_PARTITIONS])).parquet(f"{root}/{kind}").inputFiles()
+
+    def wanted(file: str) -> bool:
+        values = dict(part.split("=", 1) for part in unquote(file).split("/") if "=" in part)
+        return symbol in (None, values["symbol"]) and (period is None or period.start <= dt.date(*[int(values[k]) for k in ("year", "month", "day")]) < period.end)
+
+    return [f for f in every if wanted(f)]
+
+
 def stored_files(spark: SparkSession, root: str, kind: str, symbol: str | None = None, period: Period | None = None) -> DataFrame:
-    """(file, bytes): the files that hold rows of the period."""
-    return _stored(spark, root, kind, symbol, period).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+    """(file, bytes, rows, first_utc, last_utc) of the files that hold rows of the period, from partition names and footers alone.
+
+    A footer tells the range of a file's times; a file whose range meets the period counts.
+    """
+    chunks = _footers(spark, _listed(spark, root, kind, symbol, period)).where("name = 'timestamp_utc'")
+    found = chunks.groupBy("file").agg(F.first("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("first").alias("first_utc"), F.max("last").alias("last_utc")).where("rows > 0")
+    if period is None:
+        return found
+    lo, hi = (F.lit(t.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for t in period.bounds_utc)
+    return found.where((F.col("last_utc") >= lo) & (F.col("first_utc") < hi))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -83,54 +132,33 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def column_chunks(files: DataFrame) -> DataFrame:
-    """One row for each column chunk of the files (column file): file, row_group, rows, name, codec, has_statistics.
-
-    Footers are read inside tasks through pyarrow, so the files need a scheme that it opens.
-    """
-
-    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs, parquet
+def column_chunks(spark: SparkSession, root: str, kind: str, symbol: str | None = None) -> DataFrame:
+    """One row for each column chunk of the files of a kind: file, bytes, row_group, rows, name, type, codec, has_statistics, first, last."""
+    return _footers(spark, _listed(spark, root, kind, symbol))
 
-        for batch in batches:
-            for file in batch.file:
-                source, path = fs.FileSystem.from_uri(file)
-                footer = parquet.read_metadata(path, filesystem=source)
-                groups = [footer.row_group(g) for g in range(footer.num_row_groups)]
-                chunks = [(file, g, group.num_rows, group.column(c)) for g, group in enumerate(groups) for c in range(group.num_columns)]
-                if chunks:
-                    yield pd.DataFrame([(f, g, n, c.path_in_schema, c.compression, c.is_stats_set) for f, g, n, c in chunks], columns=["file", "row_group", "rows", "name", "codec", "has_statistics"])
 
-    return files.select("file").mapInPandas(footers, "file string, row_group int, rows long, name string, codec string, has_statistics boolean")
+def audit_counters(spark: SparkSession, root: str, kind: str, symbol: str) -> DataFrame:
+    """One row: rows, and chunks or row groups against the lake's contract, all from footers."""
+    names = [f.name for f in SCHEMAS[kind]]
+    types = F.create_map(*[F.lit(x) for f in SCHEMAS[kind] for x in (f.name, str(to_arrow_type(f.dataType)))])
+    own = F.col("name").isin(names)
+    groups = column_chunks(spark, root, kind, symbol).groupBy("file", "row_group").agg(
+        F.first("rows").alias("rows"), F.count_if(own & (F.col("codec") != "ZSTD")).alias("codec"), F.count_if(own & ~F.col("has_statistics")).alias("bare"),
+        F.count_if(own & ~F.col("type").eqNullSafe(types[F.col("name")])).alias("typed"), (len(names) - F.count_if(own)).alias("absent"))
+    sums = {"rows": "rows", "codec": "another_codec", "bare": "without_statistics", "typed": "another_type", "absent": "absent"}
+    return groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for c, name in sums.items()])
 
 
 def audit(spark: SparkSession, root: str, kind: str, symbol: str) -> int:
-    """Rows of a symbol as written. No rows, another schema, or a chunk of a lake column that is not ZSTD or has no statistics is an AssertionError."""
-    stored = spark.read.parquet(f"{root}/{kind}")
-    found = {f.name: f.dataType for f in stored.schema}
-    wrong = [f.name for f in SCHEMAS[kind] if found.get(f.name) != f.dataType]
-    rows = stored.where(F.col("symbol") == symbol).count()
+    """Rows of a symbol as written. No rows, or in any file a lake column that is absent, of another type, not ZSTD or without statistics is an AssertionError."""
+    found = audit_counters(spark, root, kind, symbol).first().asDict()
+    rows = found.pop("rows")
+    wrong = {k.replace("_", " "): v for k, v in found.items() if v}
     if wrong or not rows:
-        raise AssertionError(f"audit of {kind}: {rows} rows, wrong columns {wrong}")
-    names = [f.name for f in SCHEMAS[kind]]
-    own = F.col("name").isin(names)
-    groups = column_chunks(stored_files(spark, root, kind, symbol)).groupBy("file", "row_group").agg(
-        F.first("rows").alias("rows"), F.count_if(own & (F.col("codec") != "ZSTD")).alias("codec"), F.count_if(own & ~F.col("has_statistics")).alias("bare"), (len(names) - F.count_if(own)).alias("absent"))
-    total = groups.agg(F.sum("rows").alias("rows"), F.sum("codec").alias("codec"), F.sum("bare").alias("bare"), F.sum("absent").alias("absent")).first()
-    if total.rows != rows or total.codec or total.bare or total.absent:
-        raise AssertionError(f"audit of {kind}: {total.rows} rows in footers of {rows}, chunks: {total.codec} of another codec, {total.bare} without statistics, {total.absent} absent")
+        raise AssertionError(f"audit of {kind}: {rows} rows, chunks {wrong}")
     return rows
 
 
-def ingest(raw: DataFrame, root: str, kind: str, symbol: str, lo: dt.datetime, hi: dt.datetime) -> int:
-    """Normalise broker rows, keep [lo, hi), write and audit. A run without rows is a RuntimeError."""
-    df = between_utc(ticks_from_broker(raw) if kind == "ticks" else bars_from_broker(raw), lo, hi)
-    if df.limit(1).count() == 0:
-        raise RuntimeError(f"no {kind} rows in the range")
-    write_lake(df, root, kind, symbol)
-    return audit(raw.sparkSession, root, kind, symbol)
-
-
 def normalise_bars(df: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """Canonical bar columns with the local time; needs NTZ times in UTC."""
     if not isinstance(df.schema["timestamp_utc"].dataType, T.TimestampNTZType):
