@@ -31,7 +31,7 @@ from tickloom.llm.common import materialize, tidy
 
 WIDTH = 1024  # terms of a chunk
 ROWS = 32_768  # sorted rows that are encoded at a time, at least
-DEALT = 16  # input partitions whose texts of one (lang, source) are counted together
+DEALT = 4  # input partitions whose texts of one (lang, source) are counted together
 HELD = 150_000  # distinct (lang, source, term) that a map task holds, about
 SENT = 10_000  # of them in a batch
 SMOOTH, ONE = 5, 1_000_000_000
