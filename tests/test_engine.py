@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey, SplitConfig
 from tickloom.functions import calendar as cal
-from tickloom.functions.windows import asof_join, in_blocks, rolling, series
+from tickloom.functions.windows import Source, asof_join, in_blocks, rolling, series
 from tickloom.operators import baselines, dataset, evaluation, features, models, quality, targets, validation
 from tickloom.plans import products
 from tickloom.sources import ingest, lake
@@ -126,7 +126,7 @@ def test_asof_ties_and_carry(spark):
     day = lambda d, h: dt.datetime(2026, 8, d, h)
     left = spark.createDataFrame([("A", day(1, 0)), ("A", day(1, 5)), ("A", day(4, 1)), ("B", day(1, 5))], "symbol string, t timestamp_ntz")
     right = spark.createDataFrame([("A", day(1, 5), 1, 10), ("A", day(1, 5), 2, 20), ("A", day(2, 3), 1, 30)], "symbol string, u timestamp_ntz, seq int, v int")
-    got = asof_join(left, right, "t", "u", ["v"], tie="seq").orderBy("symbol", "t").collect()
+    got = asof_join(left, "t", Source(right, "u", ["v"], tie="seq")).orderBy("symbol", "t").collect()
     assert [r.v for r in got] == [None, 20, 30, None]
 
 

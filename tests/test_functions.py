@@ -5,12 +5,12 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.contracts import Fold, MonthKey, SplitConfig
 from tickloom.functions.quantiles import exact_quantiles
+from tickloom.functions.windows import Source, asof_join, change_totals
 from tickloom.operators import baselines, validation
 
 
@@ -112,3 +112,36 @@ def test_splits_of_an_experiment_are_checked(spark):
     for bad in (days, days.limit(3)):
         with pytest.raises(ValueError):
             validation.single_month_split(bad)
+
+
+def test_asof_of_two_sources(spark):
+    rng = random.Random(8)
+    day = lambda: dt.datetime(2026, 8, rng.choice([1, 2, 5, 9])) + dt.timedelta(minutes=rng.randrange(1440))
+    keys = ["A", "B", None]
+    left = [(rng.choice(keys), day() if rng.random() > 0.05 else None, i) for i in range(120)]
+    one = [(rng.choice(keys), day(), rng.randrange(3), rng.choice([None, 1.0, 2.0])) for _ in range(40)]
+    two = [("A", day(), i) for i in range(15)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(3)
+    sources = Source(frame([(k, t, s * 1000 + i, v) for i, (k, t, s, v) in enumerate(one)], "symbol string, u timestamp_ntz, seq int, v double"), "u", ["seq", "v"], tie="seq"), Source(frame(two, "symbol string, w timestamp_ntz, x int"), "w", ["w", "x"])
+    got = {r.i: (r.seq, r.v, r.w, r.x) for r in asof_join(frame(left, "symbol string, t timestamp_ntz, i int"), "t", *sources).collect()}
+    for k, t, i in left:
+        a = max(((u, s * 1000 + j, v) for j, (key, u, s, v) in enumerate(one) if key == k and t is not None and u <= t), key=lambda r: r[:2], default=None)
+        b = max(((w, x) for key, w, x in two if key == k and t is not None and w <= t), default=None)
+        assert got[i] == ((a[1], a[2]) if a else (None, None)) + (b or (None, None)), i
+    assert asof_join(frame(left, "symbol string, t timestamp_ntz, i int").limit(0), "t", *sources).count() == 0
+
+
+def test_change_totals_carry_over_days(spark):
+    rng = random.Random(3)
+    rows = [(k, dt.date(2026, 8, 1 + d), i, float(rng.randrange(5)), float(rng.randrange(1, 4))) for k in ("A", "B") for i, d in enumerate(sorted(rng.choice([0, 1, 4]) for _ in range(25)))]
+    df = spark.createDataFrame(rows, "symbol string, day date, i int, price double, w double").repartition(4)
+    got = change_totals(df, "price", lambda before: F.signum(F.col("price") - before) * F.col("w"), ["price", "w"], "total", ["i"], "day").collect()
+    for k in ("A", "B"):
+        total, before = 0.0, None
+        for r in sorted((r for r in got if r.symbol == k), key=lambda r: r.i):
+            total += 0.0 if before is None else float(np.sign(r.price - before)) * r.w
+            assert (r.total, r._before) == (total, before)
+            before = r.price
+    assert len(got) == len(rows)
+    plan = change_totals(df, "price", lambda before: F.signum(F.col("price") - before) * F.col("w"), ["price", "w"], "total", ["i"], "day")
+    assert set(plan.columns) == {"symbol", "day", "i", "price", "w", "_before", "total"}

@@ -7,9 +7,12 @@ A long series is cut by a bucket column (a local date, say) that rises with its
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tickloom.functions.keys import match
+
 BLOCK_ROWS = 16384  # of a series, for windows of bounded length
 
 
@@ -53,43 +56,79 @@ def in_blocks(df: DataFrame, step: Callable[[DataFrame, WindowSpec], DataFrame],
     return out.where(F.col("_block") == own).drop("_row", "_block")
 
 
-def running_totals(df: DataFrame, totals: Mapping[str, Column], order: Sequence[str], bucket: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Adds running sums along `order` over the whole of each key."""
-    inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _carried(rows: DataFrame, by: Sequence[str], bucket: str, summary: Mapping[str, Column], carry: Mapping[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """rows with the columns of `carry`: window expressions over the summaries of the earlier buckets of a key, in their order."""
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in totals.items()])
-    before = sums.select(*by, bucket, *[F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in totals])
-    out = df.withColumns({f"_own_{k}": F.sum(c).over(inside) for k, c in totals.items()}).join(before, [*by, bucket])
-    return out.withColumns({k: F.col(f"_before_{k}") + F.col(f"_own_{k}") for k in totals}).drop(*[f"{p}_{k}" for k in totals for p in ("_own", "_before")])
+    sums = rows.groupBy(*by, bucket).agg(*[c.alias(k) for k, c in summary.items()])
+    return match(rows, sums.select(*by, bucket, *[f(earlier).alias(k) for k, f in carry.items()]), [*by, bucket])
 
 
-def previous(df: DataFrame, value: str, into: str, order: Sequence[str], bucket: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Adds the value of the row before, over the whole of each key."""
-    inside = Window.partitionBy(*by, bucket).orderBy(*order)
-    last = df.groupBy(*by, bucket).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
-    carried = last.select(*by, bucket, F.lag("_last").over(Window.partitionBy(*by).orderBy(bucket)).alias("_carried"))
-    first = F.row_number().over(inside) == 1
-    out = df.withColumn("_first", first).withColumn("_lag", F.lag(value).over(inside)).join(carried, [*by, bucket], "left")
-    return out.withColumn(into, F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.col("_lag"))).drop("_first", "_lag", "_carried")
+def running_totals(df: DataFrame, totals: Mapping[str, Column], order: Sequence[str], bucket: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Adds running sums along `order` over the whole of each key."""
+    inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda k: lambda earlier: F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0))
+    out = _carried(df, by, bucket, {f"_sum_{k}": F.sum(c) for k, c in totals.items()}, {f"_before_{k}": before(k) for k in totals})
+    return out.withColumns({k: F.col(f"_before_{k}") + F.sum(c).over(inside) for k, c in totals.items()}).drop(*[f"_before_{k}" for k in totals])
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: Sequence[str], by: Sequence[str] = ("symbol",), tie: str | None = None) -> DataFrame:
-    """Each left row with the values of the last right row whose time is not later (exact matches count).
+def change_totals(df: DataFrame, value: str, amount: Callable[[Column], Column], uses: Sequence[str], into: str, order: Sequence[str], bucket: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Adds `_before` (the value of the row before) and `into`, the running sum of amount(_before), over the whole of each key.
 
-    Both sides are tagged and united, sorted inside (key, UTC date), and the last right row of earlier dates is carried
-    over. Right rows of equal time are ordered by `tie`. Nulls among the values stay nulls of that right row.
+    One summary of each bucket carries both: its last value, the sum over its rows but the first, and the columns of the
+    first row that amount needs besides the value before (`uses`). Rows and summaries read one exchange.
+    """
+    inside = Window.partitionBy(*by, bucket).orderBy(*order)
+    at, before = F.struct(*order), F.lag(value).over(inside)
+    rows = df.withColumns({"_first": F.row_number().over(inside) == 1, "_before": before})
+    rows = rows.withColumn("_amount", F.when(~F.col("_first"), amount(F.col("_before"))))
+    sums = rows.groupBy(*by, bucket).agg(F.max_by(value, at).alias("_last"), F.sum("_amount").alias("_rest"), F.min_by(F.struct(*uses), at).alias("_row"))
+    days = Window.partitionBy(*by).orderBy(bucket)
+    sums = sums.withColumn("_carried", F.lag("_last").over(days)).select(*by, bucket, "_rest", "_carried", "_row.*")
+    sums = sums.withColumn("_opening", F.coalesce(amount(F.col("_carried")), F.lit(0.0)))
+    total = F.sum(F.coalesce("_rest", F.lit(0.0)) + F.col("_opening")).over(days.rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, bucket, "_carried", (F.coalesce(total, F.lit(0.0)) + F.col("_opening")).alias("_base"))
+    out = match(rows, sums, [*by, bucket])
+    own = F.sum("_amount").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumns({into: F.col("_base") + F.coalesce(own, F.lit(0.0)), "_before": F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))})
+    return out.drop("_first", "_amount", "_carried", "_base")
+
+
+@dataclass(frozen=True)
+class Source:
+    """The right side of an as-of join: rows at the times `on`, of which `values` are taken; equal times are ordered by `tie`."""
+
+    rows: DataFrame
+    on: str
+    values: Sequence[str]
+    tie: str | None = None
+
+
+def asof_join(left: DataFrame, left_on: str, *sources: Source, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Each left row with the values of the last row of each source whose time is not later (exact matches count).
+
+    All sides are tagged, united and dealt once by (key, UTC date); dates are sorted on their own, and what the last rows of
+    the earlier dates give is carried to those with left rows. Nulls among the values stay nulls of that row.
     """
-    day = lambda c: F.to_date(F.col(c))
-    tie_col = F.col(tie) if tie else F.lit(0)
-    tagged_right = right.select(*by, F.col(right_on).alias("_at"), day(right_on).alias("_day"), F.lit(0).alias("_side"), tie_col.alias("_tie"),
-                                F.struct(*[F.col(v) for v in values]).alias("_value"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
-    tagged_left = left.select(*by, F.col(left_on).alias("_at"), day(left_on).alias("_day"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(tie_col.alias("t")).schema[0].dataType).alias("_tie"),
-                              F.lit(None).cast(tagged_right.schema["_value"].dataType).alias("_value"), F.struct("*").alias("_row"))
-    both = tagged_right.unionByName(tagged_left)
-    inside = Window.partitionBy(*by, "_day").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.groupBy(*by, "_day").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_last"))
+    rest = [c for c in left.columns if c not in by]
+    kinds = {"_row": left.select(F.struct(*rest)).schema[0].dataType}
+    for i, s in enumerate(sources):
+        kinds |= {f"_value{i}": s.rows.select(F.struct(*s.values)).schema[0].dataType, f"_tie{i}": s.rows.select(F.col(s.tie) if s.tie else F.lit(0)).schema[0].dataType}
+
+    def tagged(df: DataFrame, on: str, side: int, own: Mapping[str, Column]) -> DataFrame:
+        filled = [own.get(k, F.lit(None).cast(t)).alias(k) for k, t in kinds.items()]
+        return df.select(*by, F.col(on).alias("_at"), F.to_date(F.col(on)).alias("_day"), F.lit(side).alias("_side"), *filled)
+
+    both = tagged(left, left_on, 1, {"_row": F.struct(*rest)})
+    for i, s in enumerate(sources):
+        both = both.unionByName(tagged(s.rows, s.on, 0, {f"_value{i}": F.struct(*s.values), f"_tie{i}": F.col(s.tie) if s.tie else F.lit(0)}))
+    both = both.repartition(*by, "_day")  # both uses below read this one exchange
+    ties = [f"_tie{i}" for i in range(len(sources))]
+    inside = Window.partitionBy(*by, "_day").orderBy("_at", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    latest = [F.max_by(f"_value{i}", F.when(F.col(f"_value{i}").isNotNull(), F.struct("_at", f"_tie{i}"))).alias(f"_last{i}") for i in range(len(sources))]
+    last = both.groupBy(*by, "_day").agg(*latest, F.count("_row").alias("_left"))
     earlier = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*by, "_day", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1").join(carried, [*by, "_day"], "left")
-    found = found.withColumn("_found", F.coalesce("_found", "_carried"))
-    return found.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+    carried = last.select(*by, "_day", "_left", *[F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_carried{i}") for i in range(len(sources))]).where("_left > 0").drop("_left")
+    found = both.withColumns({f"_found{i}": F.last(f"_value{i}", ignorenulls=True).over(inside) for i in range(len(sources))}).where("_side = 1")
+    found = match(found, carried, [*by, "_day"]).withColumns({f"_found{i}": F.coalesce(f"_found{i}", f"_carried{i}") for i in range(len(sources))})
+    taken = [F.col(f"_found{i}.{v}").alias(v) for i, s in enumerate(sources) for v in s.values]
+    return found.select(*by, "_row.*", *taken).select(*left.columns, *[v for s in sources for v in s.values])

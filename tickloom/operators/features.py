@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tickloom.contracts import ExperimentConfig
 from tickloom.functions.calendar import SessionWindow, add_time_features, filter_observations, minutes_after
-from tickloom.functions.windows import asof_join, in_blocks, ratio, rolling, series
+from tickloom.functions.windows import Source, asof_join, in_blocks, ratio, rolling, series
 from tickloom.operators.intraday import direction, typical_price
 
 EPSILON = 1e-12
@@ -103,7 +103,7 @@ def context_features(h1: DataFrame, minutes: int = 60) -> DataFrame:
 
 def join_context(df: DataFrame, context: DataFrame) -> DataFrame:
     """The last context bar that is complete when the observation bar closes."""
-    return asof_join(df, context, "observation_time_utc", "h1_available_at_utc", ["h1_available_at_utc", "h1_body", "h1_direction", "h1_return_1"])
+    return asof_join(df, "observation_time_utc", Source(context, "h1_available_at_utc", ["h1_available_at_utc", "h1_body", "h1_direction", "h1_return_1"]))
 
 
 def add_session_vwap(df: DataFrame) -> DataFrame:

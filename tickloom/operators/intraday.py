@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.calendar import SessionWindow, filter_session, floor_minute, in_session
-from tickloom.functions.windows import asof_join, in_blocks, previous, rolling, running_totals
+from tickloom.functions.windows import Source, asof_join, change_totals, in_blocks, rolling, running_totals
 
 
 def typical_price() -> Column:
@@ -34,26 +34,29 @@ def signed_ticks(ticks: DataFrame) -> DataFrame:
     price = F.when(F.col("last") > 0, F.col("last")).otherwise((F.col("bid") + F.col("ask")) / 2)
     weight = F.when(F.col("volume_real") > 0, F.col("volume_real")).when(F.col("volume") > 0, F.col("volume")).otherwise(1.0)
     df = ticks.withColumns({"price": price, "weight": weight, "_day": F.to_date("timestamp_cot")})
-    df = previous(df, "price", "_before", ["timestamp_utc", "seq"], "_day")
     traded = F.col("last") > 0
-    side = F.when(traded & (F.col("last") >= F.col("ask")), 1.0).when(traded & (F.col("last") <= F.col("bid")), -1.0).otherwise(F.coalesce(F.signum(F.col("price") - F.col("_before")), F.lit(0.0)))
-    df = df.withColumn("side", side).withColumn("delta", F.col("side") * F.col("weight"))
-    return running_totals(df, {"cvd": F.col("delta")}, ["timestamp_utc", "seq"], "_day").drop("_day", "_before")
+
+    def side(before: Column) -> Column:
+        moved = F.coalesce(F.signum(F.col("price") - before), F.lit(0.0))
+        return F.when(traded & (F.col("last") >= F.col("ask")), 1.0).when(traded & (F.col("last") <= F.col("bid")), -1.0).otherwise(moved)
+
+    df = change_totals(df, "price", lambda before: side(before) * F.col("weight"), ["price", "weight", "last", "bid", "ask"], "cvd", ["timestamp_utc", "seq"], "_day")
+    df = df.withColumn("side", side(F.col("_before"))).withColumn("delta", F.col("side") * F.col("weight"))
+    return df.select(*[c for c in df.columns if c not in ("_day", "_before", "cvd")], "cvd")
 
 
 def align_cvd(signed: DataFrame, bars: DataFrame) -> DataFrame:
     """The last cvd at or before each bar's open, 0 before the first tick."""
     grid = bars.select("symbol", "timestamp_utc")
-    joined = asof_join(grid, signed.withColumnRenamed("timestamp_utc", "_tick"), "timestamp_utc", "_tick", ["cvd"], tie="seq")
+    joined = asof_join(grid, "timestamp_utc", Source(signed, "timestamp_utc", ["cvd"], tie="seq"))
     return joined.withColumn("cvd", F.coalesce("cvd", F.lit(0.0)))
 
 
 def direction_matrix(h1: DataFrame, m15: DataFrame, m1: DataFrame) -> DataFrame:
     """Directions of the bars of three timeframes on the finest grid, by open times, 0 where there is none."""
-    out = m1.select("symbol", "timestamp_utc", direction().alias("m1"))
-    for name, frame in (("m15", m15), ("h1", h1)):
-        out = asof_join(out, frame.select("symbol", F.col("timestamp_utc").alias("_open"), direction().alias(name)), "timestamp_utc", "_open", [name])
-    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("byte") for c in ("m1", "m15", "h1")})
+    grid = m1.select("symbol", "timestamp_utc", direction().alias("m1"))
+    slower = [Source(frame.select("symbol", "timestamp_utc", direction().alias(name)), "timestamp_utc", [name]) for name, frame in (("m15", m15), ("h1", h1))]
+    return asof_join(grid, "timestamp_utc", *slower).withColumns({c: F.coalesce(c, F.lit(0)).cast("byte") for c in ("m1", "m15", "h1")})
 
 
 def volume_clusters(signed: DataFrame, session: SessionWindow, step: float = 0.5) -> DataFrame:
@@ -109,7 +112,7 @@ def sweeps(bars: DataFrame, signed: DataFrame, session: SessionWindow, lookback:
     """
     prior = lambda d, w: d.withColumns({"prior_high": rolling(F.max, F.col("high"), lookback, w, prior=True), "prior_low": rolling(F.min, F.col("low"), lookback, w, prior=True)})
     v = in_blocks(filter_session(bars, session), prior, lookback)
-    v = asof_join(v, delta_by_minute(signed), "timestamp_utc", "minute_utc", ["bar_delta"]).withColumn("bar_delta", F.coalesce("bar_delta", F.lit(0.0)))
+    v = asof_join(v, "timestamp_utc", Source(delta_by_minute(signed), "minute_utc", ["bar_delta"])).withColumn("bar_delta", F.coalesce("bar_delta", F.lit(0.0)))
     up = F.col("high") > F.col("prior_high")
     high = up & (F.col("close") < F.col("prior_high")) & (F.col("bar_delta") < 0)
     low = (F.col("low") < F.col("prior_low")) & (F.col("close") > F.col("prior_low")) & (F.col("bar_delta") > 0)
