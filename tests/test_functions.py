@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.contracts import Fold, MonthKey, SplitConfig
+from tickloom.contracts import ExperimentConfig, Fold, MonthKey, SplitConfig
+from tickloom.functions import calendar as cal
 from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.windows import Source, asof_join, change_totals
-from tickloom.operators import baselines, validation
+from tickloom.operators import baselines, intraday, targets, validation
 
 
 def interpolated(values, p):
@@ -145,3 +146,64 @@ def test_change_totals_carry_over_days(spark):
     assert len(got) == len(rows)
     plan = change_totals(df, "price", lambda before: F.signum(F.col("price") - before) * F.col("w"), ["price", "w"], "total", ["i"], "day")
     assert set(plan.columns) == {"symbol", "day", "i", "price", "w", "_before", "total"}
+
+
+def plain_targets(path, at, close, atr, minutes, step, config):
+    """What the bars of one path say, one after another."""
+    if len(path) != minutes // step:
+        return "incomplete_horizon"
+    if [t for t, _, _ in path] != [at + dt.timedelta(minutes=step * k) for k in range(minutes // step)]:
+        return "m1_gap"
+    high, low = max(p[1] for p in path), min(p[2] for p in path)
+    peak, trough = next(k for k, p in enumerate(path) if p[1] == high), next(k for k, p in enumerate(path) if p[2] == low)
+    up = next((k for k, p in enumerate(path) if p[1] >= close + config.primary_threshold * atr), None)
+    down = next((k for k, p in enumerate(path) if p[2] <= close - config.adverse_barrier_atr * atr), None)
+    touch = min((k for k in (up, down) if k is not None), default=None)
+    worst = min(p[2] for p in path[: peak + 1])
+    label = 0 if touch is None else None if up == down else 1 if down is None or (up is not None and up < down) else -1
+    return high, low, (peak + 1) * step, (trough + 1) * step, max(close - worst, 0.0), label, None if touch is None else (touch + 1) * step
+
+
+@pytest.mark.parametrize("horizon,step", [(60, 5), (12, 1), (4, 4)])
+def test_targets_by_walking_the_paths(spark, horizon, step):
+    rng, t0 = random.Random(horizon), dt.datetime(2026, 8, 3)
+    price, bars = {"A": 100.0, "B": 50.0}, []
+    for s in price:
+        for k in range(0, 1500, step):
+            price[s] += rng.choice([-1, -0.5, 0, 0, 0.5, 1])
+            t = t0 + dt.timedelta(minutes=k)
+            if rng.random() < 0.02:
+                continue
+            if rng.random() < 0.01:
+                t += dt.timedelta(seconds=rng.choice([1, 30]))
+            bars += [(s, t, price[s] + rng.choice([0.5, 1]), price[s] - rng.choice([0.5, 1]))] * (2 if rng.random() < 0.01 else 1)
+    obs = [(s, "full_day", t0.date(), t0 + dt.timedelta(minutes=step * k), float(rng.randrange(45, 105)) if rng.random() < 0.5 else price[s], rng.choice([1.0, 2.0, 6.0])) for s in price for k in rng.sample(range(1400 // step - horizon // step), min(120, 1400 // step - horizon // step))]
+    config = ExperimentConfig(horizon_minutes=horizon, path_minutes=step)
+    frame = spark.createDataFrame(obs, "symbol string, session_code string, session_date date, observation_time_utc timestamp_ntz, close double, atr double").repartition(3)
+    path = spark.createDataFrame(bars, "symbol string, timestamp_utc timestamp_ntz, high double, low double").repartition(3)
+    day = cal.SESSIONS["full_day"]
+    rows = targets.peak_targets(frame.withColumn("session_date", F.to_date(F.col("observation_time_utc") - F.expr("INTERVAL 5 HOURS"))), path, day, config, drop_invalid=False).collect()
+    assert len(rows) == len(obs)
+    seen = set()
+    for r in rows:
+        if r.target_exclusion_reason == "horizon_outside_session":
+            continue
+        end = r.observation_time_utc + dt.timedelta(minutes=horizon)
+        own = sorted(b[1:] for b in bars if b[0] == r.symbol and r.observation_time_utc <= b[1] < end)
+        want = plain_targets(own, r.observation_time_utc, r.close, r.atr, horizon, step, config)
+        if isinstance(want, str):
+            assert r.target_exclusion_reason == want and r.future_high is None and r.mfe_atr is None and r.triple_barrier_label is None and r.first_barrier_touch_minutes is None
+            seen.add(want)
+        else:
+            assert (r.future_high, r.future_low, r.time_to_peak_minutes, r.time_to_trough_minutes, r.adverse_before_peak_points, r.triple_barrier_label, r.first_barrier_touch_minutes) == want
+            seen.add(want[5])
+    assert {0, 1, -1} <= seen and (step == horizon or "incomplete_horizon" in seen)
+
+
+def test_filled_minutes(spark):
+    t = lambda m: dt.datetime(2026, 8, 3, 23, 50) + dt.timedelta(minutes=m)
+    rows = [("A", t(0), 1.0, 3.0, 0.5, 2.0, 5, 20, 9), ("A", t(3), 2.0, 2.5, 1.5, 2.25, 6, 20, 9), ("A", t(14), 4.0, 4.0, 4.0, 4.0, 1, 20, 9), ("B", t(2), 7.0, 7.0, 7.0, 7.0, 1, 20, 9)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp_utc timestamp_ntz, open double, high double, low double, close double, volume long, spread int, real_volume long")
+    got = {(r.symbol, r.timestamp_utc): r for r in intraday.fill_minutes(df).collect()}
+    assert len(got) == 16 and set(got) == {("A", t(m)) for m in range(15)} | {("B", t(2))}
+    assert (got["A", t(1)].high, got["A", t(1)].volume, got["A", t(3)].high, got["A", t(13)].low, got["A", t(14)].volume) == (2.0, 0, 2.5, 2.25, 1)

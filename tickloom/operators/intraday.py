@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.functions.calendar import SessionWindow, filter_session, floor_minute, in_session
+from tickloom.functions.calendar import SessionWindow, filter_session, floor_minute, in_session, local_time
 from tickloom.functions.windows import Source, asof_join, change_totals, in_blocks, rolling, running_totals
 
 
@@ -52,6 +52,24 @@ def align_cvd(signed: DataFrame, bars: DataFrame) -> DataFrame:
     return joined.withColumn("cvd", F.coalesce("cvd", F.lit(0.0)))
 
 
+def fill_minutes(bars: DataFrame, minutes: int = 1) -> DataFrame:
+    """Bars for every step between the first and the last of a symbol; those that were missing are flat at the close before, without volume.
+
+    The grid is laid out day by day, so that a long series is not one task.
+    """
+    step, day = F.expr(f"INTERVAL {minutes} MINUTES"), F.expr("INTERVAL 1 DAY")
+    ends = bars.groupBy("symbol").agg(F.min("timestamp_utc").alias("_from"), F.max("timestamp_utc").alias("_to"))
+    days = ends.select("symbol", "_to", F.explode(F.sequence("_from", "_to", day)).alias("_at")).repartition("symbol", "_at")
+    last = F.least(F.col("_at") + day - step, F.col("_to"))
+    grid = days.select("symbol", F.explode(F.sequence("_at", last, step)).alias("timestamp_utc"))
+    prices = ("open", "high", "low", "close")
+    known = bars.select("symbol", F.col("timestamp_utc").alias("_bar"), *prices, "volume", "spread", "real_volume")
+    filled = asof_join(grid, "timestamp_utc", Source(known, "_bar", ["_bar", *prices, "volume", "spread", "real_volume"]))
+    own = F.col("_bar") == F.col("timestamp_utc")
+    kept = {c: F.when(own, F.col(c)).otherwise(F.col("close")) for c in prices[:3]} | {c: F.when(own, F.col(c)).otherwise(F.lit(0).cast(dict(bars.dtypes)[c])) for c in ("volume", "real_volume")}
+    return filled.withColumns(kept).select("symbol", "timestamp_utc", local_time("timestamp_utc").alias("timestamp_cot"), *prices, "volume", "spread", "real_volume")
+
+
 def direction_matrix(h1: DataFrame, m15: DataFrame, m1: DataFrame) -> DataFrame:
     """Directions of the bars of three timeframes on the finest grid, by open times, 0 where there is none."""
     grid = m1.select("symbol", "timestamp_utc", direction().alias("m1"))

@@ -276,6 +276,18 @@ def triple_barrier(spark, d):
     return _targets(spark, d).select("observation_time_utc", "triple_barrier_label", "first_barrier_touch_minutes", "target_ambiguous", "target_valid")
 
 
+@query(S.FILLED)
+def filled_minutes(spark, d):
+    return intraday.fill_minutes(_bars(spark, d, 1)).drop("symbol", "spread", "real_volume")
+
+
+@query(S.M1_PATHS)
+def targets_m1_paths(spark, d):
+    """Paths of 60 one-minute bars, of which those without events are flat."""
+    made = targets.peak_targets(_features(spark, d), intraday.fill_minutes(_bars(spark, d, 1)), NEW_YORK, ExperimentConfig(), False, check=False)
+    return made.select("observation_time_utc", "future_high", "future_low", "mfe_atr", "mae_atr", "adverse_before_peak_atr", "time_to_peak_minutes", "time_to_trough_minutes", "first_barrier_touch_minutes", "triple_barrier_label", "target_exclusion_reason")
+
+
 @query(S.EXCLUSIONS)
 def target_exclusions(spark, d):
     return targets.exclusion_report(_targets(spark, d))

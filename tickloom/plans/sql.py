@@ -167,23 +167,28 @@ WITH {frames()} SELECT t AS timestamp_utc, cd AS session_date, body_to_range, cl
   iso_weekday, time_sin, time_cos, month, minute_of_session, session_progress, h1_body, h1_direction, h1_return_1 FROM ff"""
 
 
-def _targets(start: int, length: int) -> str:
-    """tg: targets of ff with 15-minute paths of 4 bars."""
+def _targets(start: int, length: int, path: str = "b15", step: int = 15) -> str:
+    """tt: targets of ff with paths of bars of `step` minutes."""
     return f"""ob AS (SELECT *, ot + INTERVAL 60 MINUTE AS he, cd + INTERVAL {start + 300} MINUTE AS ss, cd + INTERVAL {start + 300 + length} MINUTE AS se FROM ff), pa AS (
-  SELECT o.ot AS pot, count(*) AS n, count(DISTINCT b.t) AS nd, min(b.t) AS t0, max(b.t) AS t1, max(b.high) AS future_high, min(b.low) AS future_low FROM ob o JOIN b15 b ON b.t >= o.ot AND b.t < o.he GROUP BY 1), ra AS (
-  SELECT ob.*, pa.*, CASE WHEN ot < ss OR he > se THEN 'horizon_outside_session' WHEN NOT (atr > 0) THEN 'invalid_atr' WHEN coalesce(n, 0) <> 4 THEN 'incomplete_horizon' WHEN t0 <> ot OR t1 <> he - INTERVAL 15 MINUTE THEN 'm1_gap' END AS reason
+  SELECT o.ot AS pot, count(*) AS n, count(DISTINCT b.t) AS nd, min(b.t) AS t0, max(b.t) AS t1, max(b.high) AS future_high, min(b.low) AS future_low FROM ob o JOIN {path} b ON b.t >= o.ot AND b.t < o.he GROUP BY 1), ra AS (
+  SELECT ob.*, pa.*, CASE WHEN ot < ss OR he > se THEN 'horizon_outside_session' WHEN NOT (atr > 0) THEN 'invalid_atr' WHEN coalesce(n, 0) <> {60 // step} THEN 'incomplete_horizon' WHEN t0 <> ot OR t1 <> he - INTERVAL {step} MINUTE THEN 'm1_gap' END AS reason
   FROM ob LEFT JOIN pa ON ob.ot = pa.pot), pk AS (
   SELECT r.ot AS kot, min(CASE WHEN b.high = r.future_high THEN b.t END) AS peak_t, min(CASE WHEN b.low = r.future_low THEN b.t END) AS trough_t,
     min(CASE WHEN b.high >= r.close + 0.75 * r.atr THEN b.t END) AS up_t, min(CASE WHEN b.low <= r.close - 0.5 * r.atr THEN b.t END) AS down_t
-  FROM ra r JOIN b15 b ON b.t >= r.ot AND b.t < r.he WHERE r.reason IS NULL GROUP BY 1), ad AS (
-  SELECT r.ot AS aot, min(b.low) AS worst FROM ra r JOIN pk ON pk.kot = r.ot JOIN b15 b ON b.t >= r.ot AND b.t <= pk.peak_t GROUP BY 1), tg AS (
+  FROM ra r JOIN {path} b ON b.t >= r.ot AND b.t < r.he WHERE r.reason IS NULL GROUP BY 1), ad AS (
+  SELECT r.ot AS aot, min(b.low) AS worst FROM ra r JOIN pk ON pk.kot = r.ot JOIN {path} b ON b.t >= r.ot AND b.t <= pk.peak_t GROUP BY 1), tg AS (
   SELECT ra.*, pk.*, CASE WHEN reason IS NULL THEN greatest(future_high - close, 0.0) END AS mfe_points, CASE WHEN reason IS NULL THEN greatest(close - future_low, 0.0) END AS mae_points, CASE WHEN reason IS NULL THEN greatest(close - worst, 0.0) END AS adverse_before_peak_points,
-    (epoch(peak_t - ot) / 60 + 15)::INT AS time_to_peak_minutes, (epoch(trough_t - ot) / 60 + 15)::INT AS time_to_trough_minutes, coalesce(up_t = down_t, false) AS ambiguous
+    (epoch(peak_t - ot) / 60 + {step})::INT AS time_to_peak_minutes, (epoch(trough_t - ot) / 60 + {step})::INT AS time_to_trough_minutes, coalesce(up_t = down_t, false) AS ambiguous
   FROM ra LEFT JOIN pk ON pk.kot = ra.ot LEFT JOIN ad ON ad.aot = ra.ot), tt AS (
   SELECT *, mfe_points / atr AS mfe_atr, mae_points / atr AS mae_atr, adverse_before_peak_points / atr AS adverse_before_peak_atr, (mfe_points / atr >= 0.5)::INT AS target_peak_050_atr, (mfe_points / atr >= 0.75)::INT AS target_peak_075_atr, (mfe_points / atr >= 1.0)::INT AS target_peak_100_atr,
     reason IS NULL AND NOT ambiguous AS valid FROM tg)"""
 
 
+MINUTES = f"""{B1}, dm AS (
+  SELECT g.t, g.t - INTERVAL 5 HOUR AS lt, CASE WHEN b.t = g.t THEN b.open ELSE b.close END AS open, CASE WHEN b.t = g.t THEN b.high ELSE b.close END AS high,
+    CASE WHEN b.t = g.t THEN b.low ELSE b.close END AS low, b.close, CASE WHEN b.t = g.t THEN b.volume ELSE 0 END AS volume
+  FROM (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 MINUTE)) AS t FROM b1) g ASOF JOIN b1 b ON g.t >= b.t)"""
+FILLED = f"-- doubles: open, high, low, close\nWITH {MINUTES} SELECT t AS timestamp_utc, lt AS timestamp_cot, open, high, low, close, volume FROM dm"
 TARGETS_NY = f"{frames()}, {_targets(420, 180)}"
 TARGETS_DAY = f"{frames('true', 0, 1440)}, {_targets(0, 1440)}"
 TARGETS_LONDON = f"{frames(f'{LM} >= 120 AND {LM} < 300', 120, 180)}, {_targets(120, 180)}"
@@ -192,6 +197,11 @@ FROM (WITH {frames()} SELECT count(*) AS n FROM ff) a, (WITH {frames(f'{LM} >= 1
 EXCURSIONS = f"""-- doubles: future_high, future_low, mfe_points, mae_points, adverse_before_peak_points, mfe_atr, mae_atr, adverse_before_peak_atr
 WITH {TARGETS_NY} SELECT ot AS observation_time_utc, CASE WHEN reason IS NULL THEN future_high END AS future_high, CASE WHEN reason IS NULL THEN future_low END AS future_low, mfe_points, mae_points, adverse_before_peak_points,
   mfe_atr, mae_atr, adverse_before_peak_atr, time_to_peak_minutes, time_to_trough_minutes, peak_t AS peak_timestamp_utc, trough_t AS trough_timestamp_utc FROM tt"""
+M1_PATHS = f"""-- doubles: future_high, future_low, mfe_atr, mae_atr, adverse_before_peak_atr
+WITH {MINUTES}, {frames()}, {_targets(420, 180, 'dm', 1)} SELECT ot AS observation_time_utc, CASE WHEN reason IS NULL THEN future_high END AS future_high, CASE WHEN reason IS NULL THEN future_low END AS future_low,
+  mfe_atr, mae_atr, adverse_before_peak_atr, time_to_peak_minutes, time_to_trough_minutes, (epoch(least(up_t, down_t) - ot) / 60 + 1)::INT AS first_barrier_touch_minutes,
+  CASE WHEN reason IS NOT NULL OR ambiguous THEN NULL WHEN up_t IS NULL AND down_t IS NULL THEN 0 WHEN down_t IS NULL OR up_t < down_t THEN 1 ELSE -1 END::INT AS triple_barrier_label,
+  CASE WHEN reason IS NULL AND ambiguous THEN 'ambiguous_barrier' ELSE reason END AS target_exclusion_reason FROM tt"""
 THRESHOLDS = f"WITH {TARGETS_NY} SELECT ot AS observation_time_utc, target_peak_050_atr, target_peak_075_atr, target_peak_100_atr FROM tt WHERE valid"
 BARRIER = f"""WITH {TARGETS_NY} SELECT ot AS observation_time_utc, CASE WHEN reason IS NOT NULL OR ambiguous THEN NULL WHEN up_t IS NULL AND down_t IS NULL THEN 0 WHEN down_t IS NULL OR up_t < down_t THEN 1 ELSE -1 END::INT AS triple_barrier_label,
   (epoch(least(up_t, down_t) - ot) / 60 + 15)::INT AS first_barrier_touch_minutes, ambiguous AS target_ambiguous, valid AS target_valid FROM tt"""
