@@ -85,6 +85,7 @@ def test_context_and_audit(spark, market, tmp_path):
     h1 = market["h1"]
     lake.write_lake(h1.unionByName(h1), root, "h1", "SYN")
     found = lake.load_context(spark, root, "SYN", period, ("h1",))
+    assert found.removed == {"h1": 72}
     files = {"h1": lake.stored_files(spark, root, "h1", "SYN", period)}
     row = lake.summarise(found, files).first()
     paths = [p for d in (3, 4, 5) for p in (tmp_path / f"lake/h1/symbol=SYN/year=2026/month=8/day={d}").glob("*.parquet")]
@@ -275,3 +276,23 @@ def test_windows_in_blocks_equal_whole_series(spark):
     assert in_blocks(df.limit(0), step, 5).count() == 0
     with pytest.raises(ValueError):
         in_blocks(df, step, 6, block_rows=5)
+
+
+def test_bars_of_a_feature_frame_are_checked(spark, market):
+    day = cal.SESSIONS["full_day"]
+    whole = features.feature_frame(market["m15"], market["h1"], day)
+    assert whole.count() == features.feature_frame(market["m15"], market["h1"], day, check=False).count() > 0
+    for bad in (market["m15"].limit(0), market["m15"].unionByName(market["m15"].limit(2)), market["m15"].drop("spread"), market["m15"].withColumn("symbol", F.when(F.col("volume") > 100, F.col("symbol")))):
+        with pytest.raises(ValueError):
+            features.feature_frame(bad, market["h1"], day)
+        with pytest.raises(ValueError):
+            features.feature_frame(market["m15"], bad, day)
+
+
+def test_sessions_of_a_dataset_agree(spark, market):
+    new_york, london = cal.SESSIONS["new_york"], cal.SESSIONS["london"]
+    made = {s.code: targets.peak_targets(features.feature_frame(market["m15"], market["h1"], s), market["m1"], s) for s in (new_york, london)}
+    assert dataset.build_dataset(made["london"], session=london).data.count() == dataset.build_dataset(made["london"]).data.count() > 0
+    for rows, session in ((made["london"], new_york), (made["london"].unionByName(made["new_york"]), None), (made["london"].limit(0), london), (made["london"].limit(0), None)):
+        with pytest.raises(ValueError):
+            dataset.build_dataset(rows, session=session)

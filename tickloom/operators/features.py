@@ -8,6 +8,7 @@ from tickloom.contracts import ExperimentConfig
 from tickloom.functions.calendar import SessionWindow, add_time_features, filter_observations, minutes_after
 from tickloom.functions.windows import Source, asof_join, in_blocks, ratio, rolling, series
 from tickloom.operators.intraday import direction, typical_price
+from tickloom.operators.quality import checked_bars
 
 EPSILON = 1e-12
 RETURN_ROWS = 17  # 16 returns, each with the bar before
@@ -116,8 +117,13 @@ def add_session_vwap(df: DataFrame) -> DataFrame:
     return df.withColumns({"distance_session_vwap": away, "distance_session_vwap_atr": ratio(away, F.col("atr"), EPSILON), "session_vwap_slope": slope})
 
 
-def feature_frame(m15: DataFrame, h1: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig(), drop_incomplete: bool = True) -> DataFrame:
-    """All features of the bars of a session; rows with a null among MODEL_FEATURES go unless drop_incomplete is off."""
+def feature_frame(m15: DataFrame, h1: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig(), drop_incomplete: bool = True, check: bool = True) -> DataFrame:
+    """All features of the bars of a session; rows with a null among MODEL_FEATURES go unless drop_incomplete is off.
+
+    With check, both frames of bars are stored and tested on the way (`quality.checked_bars`), so each is evaluated once.
+    """
+    if check:
+        m15, h1 = checked_bars(m15, "the observation bars"), checked_bars(h1, "the context bars")
     df = add_geometry(add_availability(m15, config.observation_minutes))
     history = lambda d, w: _prior_extremes(_volume(_atr(_returns(d, w), w, config.atr_period), w), w)
     df = add_daily_vwap(in_blocks(df, history, max(HISTORY_ROWS, config.atr_period + 1)))

@@ -107,13 +107,13 @@ def peak_targets(observations: DataFrame, bars: DataFrame, session: SessionWindo
     """Adds the targets to observations of one session (features, with atr and close). Reasons are given in this order:
     horizon outside the session, unusable ATR, incomplete path, gap in the path, ambiguous barrier. With check, a ValueError
     tells of observations that are missing, repeated or of another session."""
-    if check:
-        check_observations(observations, session)
     if config.ambiguous_policy == "resolve_with_ticks":
         raise NotImplementedError("ambiguous barriers are not resolved with ticks")
+    observations = stored(observations)
+    if check:
+        check_observations(observations, session)
     step, n = config.path_minutes, config.horizon_minutes // config.path_minutes
     start, end = session.bounds_utc(F.col("session_date"))
-    observations = stored(observations)
     df = observations.withColumns({"target_horizon_end_utc": minutes_after("observation_time_utc", config.horizon_minutes), "session_start_utc": start, "session_end_utc": end, "reference_price": F.col("close")})
     df = match(df, stored(path_extremes(observations, bars, config)), KEY, "left")
     ref, atr = F.col("reference_price"), F.col("atr")

@@ -24,7 +24,7 @@ def monthly_report(m1: DataFrame, period: Period) -> dict[str, DataFrame]:
 
 def research_dataset(m15: DataFrame, h1: DataFrame, path: DataFrame, session: SessionWindow, config: ExperimentConfig = ExperimentConfig()) -> dataset.ResearchDataset:
     observed = features.feature_frame(m15, h1, session, config)
-    return dataset.build_dataset(targets.peak_targets(observed, path, session, config), config)
+    return dataset.build_dataset(targets.peak_targets(observed, path, session, config), config, session=session)
 
 
 @dataclass(frozen=True)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey
 from tickloom.functions import calendar as cal
+from tickloom.functions.stored import shared_folder, stored
 from tickloom.operators import baselines, dataset, evaluation, features, intraday, models, monthly, quality, targets, validation
-from tickloom.plans import sql as S
-from tickloom.sources import events as ev
+from tickloom.plans import products, sql as S
+from tickloom.sources import events as ev, lake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,6 +193,58 @@ def coverage(spark, d):
     return monthly.coverage(_bars(spark, d, 15), JANUARY).drop("symbol")
 
 
+def _sizes(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- products and the lake ----
+@query(S.DASHBOARD)
+def daily_dashboard(spark, d):
+    made = products.daily_dashboard(_bars(spark, d, 60), _bars(spark, d, 15), _bars(spark, d, 1), ev.ticks(ev.table(spark, d, "events")), NEW_YORK)
+    return _sizes(made)
+
+
+@query(S.MONTH_REPORT)
+def monthly_report(spark, d):
+    made = products.monthly_report(_bars(spark, d, 15), JANUARY)
+    return _sizes({k: df for k, df in made.items() if k != "sweeps"})
+
+
+@query(S.LAST_SWEEPS)
+def last_sweeps(spark, d):
+    return products.monthly_report(_bars(spark, d, 15), JANUARY)["sweeps"].drop("symbol")
+
+
+def _lake(spark, d) -> str:
+    """The hours of the events as a lake in a shared folder."""
+    root = shared_folder(spark)
+    lake.write_lake(_bars(spark, d, 60), root, "h1", ev.SYMBOL)
+    return root
+
+
+@query(S.LAKE_AUDIT)
+def lake_audit(spark, d):
+    return lake.audit_counters(spark, _lake(spark, d), "h1", ev.SYMBOL)
+
+
+@query(S.LAKE_CONTEXT)
+def lake_context(spark, d):
+    found = lake.load_context(spark, _lake(spark, d), ev.SYMBOL, JANUARY, ("h1",))
+    return lake.summarise(found).drop("memory_bytes")
+
+
+@query(S.LAKE_FILES)
+def lake_files(spark, d):
+    """Days, rows and range of a period, as file names and footers tell them."""
+    files = lake.stored_files(spark, _lake(spark, d), "h1", ev.SYMBOL, cal.Period(dt.date(2024, 1, 5), dt.date(2024, 1, 20)))
+    day = F.regexp_extract("file", r"day=(\d+)", 1).cast("int").alias("day")
+    return files.groupBy(day).agg(F.sum("rows").alias("rows"), F.min("first_utc").alias("first_utc"), F.max("last_utc").alias("last_utc"))
+
+
 # ---- features ----
 def _measured(spark, d):
     return features.add_atr(features.add_geometry(features.add_availability(_bars(spark, d, 15))), 14)
@@ -239,7 +292,7 @@ def session_vwap(spark, d):
     return features.add_session_vwap(cal.filter_observations(df, NEW_YORK)).select("timestamp_utc", "session_date", "session_vwap", "distance_session_vwap", "distance_session_vwap_atr", "session_vwap_slope")
 
 
-def _features(spark, d, session=NEW_YORK):
+def _features(spark, d, session=NEW_YORK):  # of the smallest tables no row may be left, so later steps do not ask for rows
     return features.feature_frame(_bars(spark, d, 15), _bars(spark, d, 60), session, CONFIG)
 
 
@@ -340,6 +393,11 @@ def baseline_by_regime(spark, d):
     return baselines.by_regime(_research(spark, d))
 
 
+@query(S.BASE_REPORT)
+def baseline_report(spark, d):
+    return _sizes(baselines.report(stored(_research(spark, d))))
+
+
 @query(S.CONSTANT)
 def constant_predictions_grouped(spark, d):
     obs = _observations(spark, d)
@@ -423,10 +481,24 @@ def model_vs_baseline(spark, d):
     return evaluation.evaluate(joined, check=False)["comparison"]
 
 
+#: A model given by its numbers: features, means, scales, weights, intercept.
+GIVEN = models.TrainedModel(("f_minute", "f_session", "f_month"), (80.0, 3.0, 6.5), (50.0, 1.4, 3.4), (0.35, -0.8, 0.05), -0.4, 1.0, (), ModelConfig())
+
+
+@query(S.GIVEN_MODEL)
+def logistic_probabilities(spark, d):
+    rows = _observations(spark, d).withColumns(_inputs())
+    return models.predict(GIVEN, rows).select("observation_id", "session_code", "model_probability", "model_target", "model_c", "actual_target")
+
+
+def _inputs() -> dict:
+    return {"f_minute": F.col("minute_of_session").cast("double"), "f_session": F.col("session_code").cast("double"), "f_month": F.month("session_date").cast("double")}
+
+
 @query()
 def logistic_predictions(spark, d):
     """The test rows of every walk-forward fold, each predicted by the model of its fold."""
-    obs = _observations(spark, d).withColumns({"f_minute": F.col("minute_of_session").cast("double"), "f_session": F.col("session_code").cast("double"), "f_month": F.month("session_date").cast("double")})
+    obs = _observations(spark, d).withColumns(_inputs())
     names, folds = ("f_minute", "f_session", "f_month"), _folds(spark, d)
     obs = obs.select("observation_id", "observation_time_utc", "session_code", "session_date", "target_horizon_end_utc", ModelConfig().target, *names)
     assigned = validation.assign_folds(obs, folds)

@@ -280,3 +280,21 @@ COMPARISON = f"""-- doubles: delta_brier, delta_log_loss, delta_average_precisio
 WITH {LONG}, {_ranking('source')}, m AS (SELECT source, avg(pow(p - y, 2)) AS brier, avg(-CASE WHEN y = 1 THEN ln(least(greatest(p, 2.2e-16), 1 - 2.2e-16)) ELSE ln(1 - least(greatest(p, 2.2e-16), 1 - 2.2e-16)) END) AS log_loss FROM lf GROUP BY 1), j AS (SELECT * FROM m JOIN rk USING (source))
 SELECT x.brier - z.brier AS delta_brier, x.log_loss - z.log_loss AS delta_log_loss, x.average_precision - z.average_precision AS delta_average_precision, x.roc_auc - z.roc_auc AS delta_roc_auc
 FROM (SELECT * FROM j WHERE source = 'model_probability') x, (SELECT * FROM j WHERE source = 'baseline_probability') z"""
+
+
+def _sizes(parts: dict[str, str]) -> str:
+    """(part, rows) of other queries."""
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS rows FROM (\n{sql.partition(chr(10))[2] if sql.startswith('-- doubles') else sql}\n)" for name, sql in parts.items())
+
+
+DASHBOARD = _sizes({"vwap": f"WITH {B1} SELECT * FROM b1", "cvd": f"WITH {B1} SELECT * FROM b1", "directions": f"WITH {B1} SELECT * FROM b1", "clusters": CLUSTERS, "opening_ranges": OPENING, "sweeps": SWEEPS})
+MONTH_REPORT = _sizes({"bars": ANCHORED, "profile": PROFILE, "days": DAILY, "levels": LEVELS, "coverage": COVERAGE})
+LAST_SWEEPS = f"-- doubles: price, close\nSELECT * FROM ({DAILY_SWEEPS.partition(chr(10))[2]}) ORDER BY date DESC LIMIT 10"
+LAKE_AUDIT = f"WITH {B60} SELECT count(*) AS rows, 0::BIGINT AS another_codec, 0::BIGINT AS without_statistics, 0::BIGINT AS another_type, 0::BIGINT AS absent FROM b60"
+LAKE_CONTEXT = f"""WITH {B60} SELECT 'h1' AS timeframe, count(*) AS rows, min(t) AS first_utc, max(t) AS last_utc FROM b60
+WHERE t >= TIMESTAMP '2024-01-01 05:00:00' AND t < TIMESTAMP '2024-02-01 05:00:00' AND isodow(lt) <= 5"""
+LAKE_FILES = f"WITH {B60} SELECT day(lt)::INT AS day, count(*) AS rows, min(t) AS first_utc, max(t) AS last_utc FROM b60 WHERE lt >= TIMESTAMP '2024-01-05' AND lt < TIMESTAMP '2024-01-20' GROUP BY 1"
+BASE_REPORT = _sizes({"global": BASE_GLOBAL, "session": BASE_SESSION, "session_minute": BASE_MINUTE.replace("HAVING count(*) >= 5", ""), "weekday": BASE_WEEKDAY, "regime": BASE_REGIME})
+GIVEN_MODEL = f"""-- doubles: model_probability, model_c
+WITH {OBS} SELECT observation_id, session_code, 1 / (1 + exp(-(-0.4 + 0.35 * (minute_of_session - 80.0) / 50.0 - 0.8 * (session_code::DOUBLE - 3.0) / 1.4 + 0.05 * (month(session_date) - 6.5) / 3.4))) AS model_probability,
+  'target_peak_075_atr' AS model_target, 1.0::DOUBLE AS model_c, y AS actual_target FROM ob"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.functions.calendar import LOCAL_ZONE, Period, between_utc, local_time, weekdays_only
-from tickloom.operators.quality import reconcile_duplicates, validate_bars
+from tickloom.operators.quality import reconcile, validate_bars
 
 BAR_SCHEMA = T.StructType([T.StructField("timestamp_utc", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")],
                            T.StructField("volume", T.LongType()), T.StructField("spread", T.IntegerType()), T.StructField("real_volume", T.LongType())])
@@ -167,19 +167,26 @@ def normalise_bars(df: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     return df.select("symbol", "timestamp_utc", local_time("timestamp_utc", zone).alias("timestamp_cot"), *rest)
 
 
-def load_context(spark: SparkSession, root: str, symbol: str, period: Period, kinds: tuple[str, ...] = ("m1", "m15", "h1")) -> dict[str, DataFrame]:
+class Context(dict):
+    """Bars by timeframe, and in `removed` how many repeated rows each load dropped."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.removed: dict[str, int] = {}
+
+
+def load_context(spark: SparkSession, root: str, symbol: str, period: Period, kinds: tuple[str, ...] = ("m1", "m15", "h1")) -> Context:
     """Bars of each timeframe, weekdays alone, one row for each time.
 
     A timeframe without rows is a FileNotFoundError; repeated times that differ and unsound bars are a ValueError.
     """
-
-    def load(kind: str) -> DataFrame:
+    out = Context()
+    for kind in kinds:
         stored = require_rows(normalise_bars(read_lake(spark, root, kind, symbol, period)), f"{symbol} {kind}")
-        bars = reconcile_duplicates(stored)
+        bars, out.removed[kind] = reconcile(stored)
         validate_bars(bars)
-        return require_rows(weekdays_only(bars), f"{symbol} {kind} on weekdays")
-
-    return {k: load(k) for k in kinds}
+        out[kind] = require_rows(weekdays_only(bars), f"{symbol} {kind} on weekdays")
+    return out
 
 
 def summarise(frames: dict[str, DataFrame], files: dict[str, DataFrame] | None = None) -> DataFrame:
