@@ -1,6 +1,7 @@
 """The registered queries, run over whole small tables with edge rows, against their contracts by brute force."""
 
 import hashlib
+import html
 import math
 import os
 import re
@@ -119,6 +120,11 @@ def test_pages(spark, tables):
     assert sorted(got.page_id) == sorted(pages.page_id) and dict(zip(got.page_id, got.url)) == dict(zip(pages.page_id, pages.url))
     assert all(n == len(t) and t == t.strip() and not re.search(r"</?(p|div|script|nav)\b", t) for t, n in zip(got.text, got.n_chars))
     assert all(not re.search(r"\s", block.replace(" ", "")) and block == block.strip() and "  " not in block for t in got.text for block in t.split("\n\n"))
+    for i, page in zip(pages.page_id, pages.html):  # the article by its own tags
+        article = re.search(r"<article>(.*?)</article>", page or "", re.S)
+        if article:
+            parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", p))).split()) for p in re.split(r"</?(?:p|h\d|ul|li|div|blockquote)>", article[1])]
+            assert got[got.page_id == i].text.item() == "\n\n".join(p for p in parts if p)
     assert got[got.page_id >= 900_000].text.tolist() == ["", ""] and (got.n_chars > 0).mean() > 0.9
 
 

@@ -1,67 +1,44 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over word counts and link densities.
 
-Block-level tags cut a page into a flat row of text blocks. A block has its word count and link density, those of the block
-before and after it, and the kind of element that the page gives it and its neighbours (KINDS): a paragraph, a heading, an
-item of a list or table, or other flow text. What HTML itself sets apart from the main flow (navigation, asides, footers,
-forms, a header before the article, articles after the first, as remarks are) has no kind of its own and counts as other text. A small labelled table
-trains a decision tree (Gini) that keeps or drops each block; there are no lists of class names or phrases.
+Block-level tags cut a page into a flat row of text blocks. A block has its word count and link density and those of the
+block before and after it; nothing else of the page counts, neither the kinds nor the names of its elements, but that
+scripts, styles, form controls and the like hold no text. Beyond the ends of a page lie, as it were, links. A decision tree (Gini) grown
+from a small labelled table, `html_blocks.csv`, keeps or drops each block. Most rows of the table are blocks of 30 pages,
+main text where their article element holds them; the rest are laid out for pages of other builds (no menu, no advert, no
+footer, links within or below the text). Remarks below an article that read like its paragraphs cannot be told from it.
 
 Edge cases: a null or empty page, or one without kept blocks, has an empty text; unclosed and misnested tags end with
 the part around them; an unclosed comment, script or style runs to the end of the page; a quote counts in a tag only
-straight after an equals sign; nothing is capped.
+straight after an equals sign; repeated pages give repeated rows; nothing is capped.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-KINDS = ("other", "item", "heading", "paragraph")
-FEATURES = ["words", "links", "kind", "words_before", "links_before", "kind_before", "words_after", "links_after", "kind_after"]
-#: Fixed labelled table: the FEATURES of blocks of pages and whether they belong to the main text.
-LABELLED = [
-    # words, links and kind of the block, of the one before, of the one after; whether it is main text
-    # menus, link lists, site heads
-    (1,1,1, 0,0,0, 1,1,1, 0),(2,1,1, 1,1,1, 2,1,1, 0),(3,1,0, 0,0,0, 1,1,1, 0),(1,1,1, 1,1,1, 9,0,2, 0),(2,1,0, 3,1,0, 2,1,0, 0),(4,0.5,0, 2,1,0, 3,1,0, 0),
-    (12,0.9,3, 60,0,3, 9,0,0, 0),(25,0.8,3, 40,0,3, 8,0.7,0, 0),(6,1,2, 3,1,1, 5,1,1, 0),
-    # adverts, notices, sidebars, forms, remarks and footers outside paragraphs
-    (8,0,0, 1,1,1, 10,0,2, 0),(5,0,0, 1,1,1, 9,0,2, 0),(12,0.1,0, 1,1,1, 4,0,2, 0),(10,0,0, 45,0,3, 0,0,0, 0),(6,0,0, 80,0,3, 0,0,0, 0),(14,0.2,0, 6,0,3, 0,0,0, 0),
-    (20,0,0, 70,0,3, 60,0,3, 0),(4,0,0, 30,0,3, 6,0,0, 0),(30,0,0, 40,0,3, 25,0,0, 0),(9,0,0, 20,0,0, 12,0,0, 0),(3,0,0, 0,0,0, 2,1,1, 0),(15,0,0, 9,0,0, 30,0,0, 0),
-    # paragraphs and headings, long and short
-    (9,0,2, 8,0,0, 14,0,3, 1),(3,0,2, 1,1,1, 12,0,3, 1),(12,0,2, 40,0,3, 30,0,3, 1),(6,0,2, 50,0,3, 20,0,1, 1),
-    (40,0,3, 12,0,3, 60,0,3, 1),(120,0.05,3, 40,0,3, 90,0,3, 1),(2,0,3, 60,0,3, 30,0,3, 1),(5,0,3, 20,0,3, 10,0,0, 1),(30,0.4,3, 60,0,3, 20,0,3, 1),(14,0,3, 9,0,2, 70,0,3, 1),
-    (1,0,3, 1,0,3, 9,0,0, 1),(60,0.2,3, 8,0,0, 40,0,3, 1),(200,0,3, 0,0,0, 0,0,0, 1),
-    # items of a list or table within the text
-    (6,0,1, 30,0,3, 7,0,1, 1),(12,0.1,1, 7,0,1, 9,0,1, 1),(9,0,1, 12,0,1, 40,0,3, 1),(20,0.3,1, 15,0,1, 18,0,1, 1),
-    # body text without paragraph tags
-    (90,0,0, 9,0,2, 80,0,0, 1),(70,0.05,0, 90,0,0, 60,0,0, 1),(150,0,0, 0,0,0, 0,0,0, 1),(60,0.1,0, 100,0,0, 8,0,0, 1),(120,0.02,0, 1,1,1, 9,0,0, 1),
-    # where the neighbours decide: items and headings of link lists or of the text, links within or outside the text, untagged text
-    (2,0,1, 1,1,1, 2,1,1, 0),(3,0,1, 2,1,1, 1,1,1, 0),(4,0,1, 3,1,1, 5,0.8,1, 0),(2,0,2, 3,1,1, 1,1,1, 0),(3,0,2, 12,0,0, 2,1,1, 0),(1,0,2, 40,0,3, 3,1,1, 0),(2,0,2, 30,0,3, 4,1,3, 0),(4,0,2, 9,0,3, 2,1,0, 0),
-    (9,0.7,3, 60,0,3, 45,0,3, 1),(6,0.6,3, 40,0,3, 30,0.1,3, 1),(1,1,3, 50,0,3, 40,0,3, 1),(8,0.6,1, 25,0,1, 30,0,3, 1),(5,1,1, 30,0,1, 28,0,1, 1),
-    (9,0.7,3, 3,1,1, 8,0.9,3, 0),(7,0.8,3, 40,0,3, 3,0,0, 0),(10,0.6,3, 2,1,0, 5,1,3, 0),
-    (22,0,0, 90,0,0, 70,0,0, 1),(28,0,0, 60,0,0, 85,0.1,0, 1),(48,0,0, 3,1,0, 5,1,0, 0),(52,0.1,0, 4,1,1, 2,1,1, 0),
-    # from a page
-    (83, 0, 3, 18, 0, 3, 5, 0, 3, 1),
-]
+NEAR = 1
+FEATURES = [f"{figure}{side}" for side in ("", *[f"_{k}_{way}" for way in ("before", "after") for k in range(1, NEAR + 1)]) for figure in ("words", "links")]
+TABLE = Path(__file__).with_name("html_blocks.csv")  # FEATURES, then whether the block is main text
 _BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-_HIDDEN = frozenset("script style noscript template textarea title head iframe svg canvas object select button".split())
+_HIDDEN = frozenset("script style noscript template textarea title head iframe svg canvas object form select button".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_APART = frozenset("nav aside footer form menu dialog".split())
-_KIND = {t: 1 for t in "li dd dt td th option".split()} | {f"h{k}": 2 for k in range(1, 7)} | {t: 3 for t in "p blockquote pre".split()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, kind) of each block that has text."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, then what holds around it: kind, apart, in an article, hidden
-    kind, apart, article, hidden, articles = 0, False, False, False, 0
+def blocks(page: str | None) -> list[tuple[str, int, int]]:
+    """(text, words, words in links) of each block that has text."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, bool]] = []  # tag, then whether text around it is hidden
+    hidden = False
     run: list[str] = []
     linked, depth = 0, 0
     at, page = 0, page or ""
@@ -70,7 +47,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
         nonlocal run, linked
         text = " ".join("".join(run).split())
         if text:
-            out.append((text, len(text.split(" ")), linked, 0 if apart else kind))
+            out.append((text, len(text.split(" ")), linked))
         run, linked = [], 0
 
     def add(raw: str) -> None:
@@ -92,16 +69,15 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
                 depth = 0
             if tag in _BLOCK_TAGS:
                 close()
-                kind = 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    kind, apart, article, hidden = stack[i][1:]
+                    hidden = stack[i][1]
                     del stack[i:]
                     break
             continue
         if tag in _BLOCK_TAGS:
             close()
-            depth, kind = 0, _KIND.get(tag, 0)
+            depth = 0
         elif tag == "br":
             add(" ")
         if tag == "a":
@@ -116,26 +92,24 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             if tag == "body":  # ends a head that was left open
                 hidden = False
             if tag not in ("p", "li"):  # which may end without an end tag
-                around = 0 if tag in _KIND and _KIND[tag] != 1 else kind
-                stack.append((tag, around, apart, article, hidden))
+                stack.append((tag, hidden))
             hidden = hidden or tag in _HIDDEN
-            articles += tag == "article"
-            apart = apart or tag in _APART or (tag == "header" and not article) or (tag == "article" and articles > 1)
-            article = article or tag == "article"
     add(page[at:])
     close()
     return out
 
 
-def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """A row of FEATURES for each block; zeros stand for a neighbour that is not there."""
+def features(found: list[tuple[str, int, int]]) -> np.ndarray:
+    """A row of FEATURES for each block; beyond the ends of the page lie blocks of links without words."""
     n = np.array([b[1] for b in found], float)
-    own = np.stack([n, np.array([b[2] for b in found], float) / np.maximum(n, 1), np.array([b[3] for b in found], float)], axis=1)
-    none = np.zeros((1, 3))
-    return np.concatenate([own, np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])], axis=1)
+    own = np.stack([n, np.array([b[2] for b in found], float) / np.maximum(n, 1)], axis=1)
+    edge = np.tile([0.0, 1.0], (NEAR, 1))
+    padded = np.concatenate([edge, own, edge])
+    shifts = [0, *[-k for k in range(1, NEAR + 1)], *range(1, NEAR + 1)]
+    return np.concatenate([padded[NEAR + k : NEAR + k + len(own)] for k in shifts], axis=1)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
     """Decision tree by Gini impurity: a share of positives, or (feature, cut, tree up to the cut, tree above it)."""
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
@@ -159,9 +133,15 @@ def keep(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, keep(below, x), keep(above, x))
 
 
-def labelled_tree(table=LABELLED):
-    t = np.array(table, float)
-    return grow(t[:, :-1], t[:, -1])
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: FEATURES of each row, and whether it is main text."""
+    rows = pd.read_csv(TABLE, comment="#")
+    return rows[FEATURES].to_numpy(float), rows["main"].to_numpy(float)
+
+
+@functools.cache
+def labelled_tree():
+    return grow(*labelled())
 
 
 def main_text(page: str | None, tree) -> str:
