@@ -363,16 +363,45 @@ def test_tool_calls(spark):
         [(1, "a", "add", 0, {"x": "1", "y": "2"}, ["c"]), (1, "b", "add", 1, {"x": "one"}, ["a"]), (1, "c", "add", 2, {"x": "1", "y": "2", "z": "3"}, None), (2, "p", "add", 0, {"x": "1", "y": "1"}, ["q"]), (2, "q", "add", 1, {"x": "1", "y": "1"}, ["p"]),
          (3, "d", "none", 0, None, ["gone"]), (3, "d", "none", 0, None, ["gone"]), (None, None, None, None, None, None)],
         "conv_id long, call_id string, name string, position long, arguments map<string,string>, after array<string>")
-    results = spark.createDataFrame([(1, "a", 'three "3"'), (1, "b", None), (2, "p", "1"), (2, "p", "2"), (9, "zz", "lost")], "conv_id long, call_id string, content string")
+    results = spark.createDataFrame([(1, "a", 'three "3"'), (1, "b", None), (2, "p", "1"), (2, "p", "2"), (2, "p", "2"), (2, "p", None), (9, "zz", "lost"), (9, "zz", "lost"), (None, "a", "x"), (1, None, None)], "conv_id long, call_id string, content string")
     schemas = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "integer", True)], "name string, parameter string, type string, required boolean")
-    rows = toolcalls.link(calls, results, schemas).collect()
+    every = toolcalls.link(calls, results, schemas).collect()
+    others = {(r.conv_id, r.call_id, r.errors, r.n_results, r.json) for r in every if r.errors in ("no call", "further result")}
+    assert others == {(2, "p", "further result", 2, '{"id":"p","result":"2"}'), (2, "p", "further result", 1, '{"id":"p"}'), (9, "zz", "no call", 2, '{"id":"zz","result":"lost"}'), (None, "a", "no call", 1, '{"id":"a","result":"x"}'), (1, None, "no call", 1, "{}")}
+    rows = [r for r in every if r.errors not in ("no call", "further result")]
+    assert len(rows) + len(others) == len(every)
     got = {(r.conv_id, r.call_id): r for r in rows}
     assert len(rows) == 8 and [got[1, k].seq for k in "cab"] == [0, 1, 2]
     assert got[1, "a"].errors == "" and got[1, "a"].json == '{"arguments":{"x":"1","y":"2"},"id":"a","name":"add","result":"three \\"3\\"","seq":1}'
     assert got[1, "b"].errors == "missing y; wrong type x" and got[1, "c"].errors == "unknown z; no result"
     assert "cycle" in got[2, "p"].errors and "several results" in got[2, "p"].errors
     assert got[3, "d"].errors == "duplicate id; no schema; no call gone; no result" and "no id" in got[None, None].errors
-    assert [r.call_id for r in toolcalls.orphan_results(calls, results).collect()] == ["zz"]
+    assert [r.call_id for r in toolcalls.orphan_results(calls.where("conv_id = 1 AND call_id = 'a'"), results.where("call_id IN ('a', 'zz') AND conv_id IS NOT NULL")).collect()] == ["zz", "zz"]
+
+
+def test_levels_by_longest_chains(spark, monkeypatch):
+    """Levels of random calls against the plain definition; a long chain of late dependencies takes few rounds."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for conv in range(12):
+        n = rng.randrange(2, 25)
+        needs = {i: sorted({rng.randrange(n) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} - ({i} if conv % 2 else set())) for i in range(n)}
+        if conv % 3:  # without cycles
+            needs = {i: [j for j in js if j > i] for i, js in needs.items()}
+        rows += [(conv, f"{i}", i, [f"{j}" for j in js]) for i, js in needs.items()]
+        if any(j >= i for i, js in needs.items() for j in js):
+            level = {}
+            for _ in range(n + 1):
+                level = {i: max((level[j] + 1 for j in js), default=0) for i, js in needs.items() if all(j in level for j in js)}
+            want |= {(conv, f"{i}"): level.get(i) for i in needs}
+    kind = "conv_id int, call_id string, position long, after array<string>"
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls._levels(spark.createDataFrame(rows, kind)).collect()} == want
+    calls = []
+    monkeypatch.setattr(toolcalls, "materialize", lambda df, own=toolcalls.materialize: calls.append(1) or own(df))
+    n = 1500
+    chain = spark.createDataFrame([(1, f"{i}", i, [f"{i + 1}"] if i + 1 < n else None) for i in range(n)], kind)
+    found = {int(r.call_id): r.level for r in toolcalls._levels(chain).collect()}
+    assert found == {i: n - 1 - i for i in range(n)} and len(calls) < 5 * 20
 
 
 def test_token_files_of_a_hot_id(spark):

@@ -174,6 +174,13 @@ SELECT conv_id, call_id, name, turn AS position, seq::BIGINT AS seq, n_results::
          || '"turn":"' || turn || '"},"id":"' || call_id || '","name":"' || name || '",'
          || coalesce('"result":' || to_json(content)::VARCHAR || ',', '') || '"seq":' || seq || '}' AS json
 FROM numbered
+UNION ALL
+SELECT e.conv_id, e.call_id, NULL, NULL, NULL, e.n, CASE WHEN t.turn IS NULL THEN 'no call' ELSE 'further result' END,
+       '{' || concat_ws(',', '"id":' || to_json(e.call_id)::VARCHAR, '"result":' || to_json(e.content)::VARCHAR) || '}'
+FROM (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL) e
+LEFT JOIN results r ON r.conv_id = e.conv_id AND r.call_id = e.call_id
+LEFT JOIN (SELECT DISTINCT conv_id, turn FROM calls) t ON t.conv_id = e.conv_id AND t.conv_id || ':' || t.turn = e.call_id
+WHERE t.turn IS NULL OR e.content IS DISTINCT FROM r.content
 """
 
 

@@ -5,13 +5,16 @@ checked against schemas, the calls of each conversation are put in an order in w
 on, and each linked call becomes one line of canonical JSON (sorted keys, no blanks, null values left out).
 
 Order: where every dependency has a smaller position than its call, the order by position is topological. Only the
-conversations with a dependency that stands later go through rounds that peel off calls without open dependencies, as many
-rounds as their longest chain of dependencies; calls that remain are on or behind a cycle, are marked, and come last by
-position.
+conversations with a dependency that stands later get levels (the longest chain of dependencies below a call). A round
+settles the calls whose dependencies are settled, and lets every dependency on a call that waits for one other call alone
+point to that other call, with the steps added up: chains halve, so that one of n calls takes about log2(n) rounds. Calls
+that remain are on or behind a cycle, are marked, and come last by position.
 
 Edge cases: repeated rows stay and are marked `duplicate id`; a call without id, name, position or conversation stays and
-is marked; null arguments count as none; results that no call has are dropped from the links and counted as orphans by
-`orphan_results`; empty tables give an empty table; further columns are never read.
+is marked; null arguments count as none. No result is lost: a call carries its smallest result, each further text for it
+is a row of its own marked `further result`, and each text for an identifier that no call has (or none at all) one marked
+`no call`; such rows have no name, position and seq, and count equal results in n_results. Empty tables give an empty
+table; further columns are never read.
 """
 
 from __future__ import annotations
@@ -33,21 +36,31 @@ def _levels(calls: DataFrame) -> DataFrame:
     edges = edges.join(at.select("conv_id", F.col("call_id").alias("needs"), "at"), ["conv_id", "needs"])
     edges = materialize(edges.select("conv_id", "call_id", "needs", (F.col("at") >= F.col("position")).alias("late")).distinct())
     odd = edges.where("late").select("conv_id").distinct()
-    open_edges = edges.join(odd, "conv_id").select("conv_id", "call_id", "needs")
-    left = calls.join(odd, "conv_id").select("conv_id", "call_id").distinct()
-    empty = left.limit(0).withColumn("level", F.lit(0))
+    keys = ["conv_id", "call_id"]
+    settled = calls.limit(0).select(*keys, F.lit(0).alias("level"))
     if small_enough(odd, 0):
-        return empty
-    left, done, level = materialize(left), empty, 0
-    while not small_enough(left, 0):
-        ready = materialize(left.join(open_edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"))
-        if small_enough(ready, 0):
+        return settled
+    waiting = materialize(calls.join(odd, "conv_id").select(*keys, F.lit(0).alias("base")).distinct())  # a call's level is at least `base`
+    links = materialize(edges.join(odd, "conv_id").select(*keys, "needs", F.lit(1).alias("steps")))  # and at least that of `needs` plus `steps`
+    while True:
+        ready = materialize(waiting.join(links.select(*keys).distinct(), keys, "left_anti"))
+        if small_enough(ready, 0):  # every call that waits leads to a cycle
             break
-        done = done.union(ready.withColumn("level", F.lit(level)))
-        left = materialize(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        open_edges = materialize(open_edges.join(ready.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti").select("conv_id", "call_id", "needs"))
-        level += 1
-    return materialize(done.union(left.withColumn("level", F.lit(None).cast("int"))))
+        settled = settled.union(ready.select(*keys, F.col("base").alias("level")))
+        done = ready.select("conv_id", F.col("call_id").alias("needs"), F.col("base").alias("level"))
+        met = materialize(links.join(done, ["conv_id", "needs"], "left").select(*keys, "needs", "steps", (F.col("level") + F.col("steps")).alias("bound")))
+        open_links = met.where("bound IS NULL").drop("bound")
+        alone = open_links.groupBy(*keys).agg(F.count("*").alias("n"), F.first("needs").alias("beyond"), F.first("steps").alias("more")).where("n = 1")
+        bounds = met.groupBy(*keys).agg(F.max("bound").alias("bound"))
+        waiting = materialize(waiting.join(ready, keys, "left_anti").join(bounds, keys, "left").select(*keys, F.greatest("base", F.coalesce("bound", "base")).alias("base")))
+        alone = alone.join(waiting, keys).select("conv_id", F.col("call_id").alias("needs"), "beyond", "more", F.col("base").alias("least"))
+        passed = open_links.join(alone, ["conv_id", "needs"], "left")
+        passed = passed.select(*keys, F.coalesce("beyond", "needs").alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("least") + F.col("steps")).alias("bound"))
+        links = materialize(passed.groupBy(*keys, "needs").agg(F.max("steps").alias("steps"), F.max("bound").alias("bound")))
+        bounds = links.groupBy(*keys).agg(F.max("bound").alias("bound"))
+        waiting = waiting.join(bounds, keys, "left").select(*keys, F.greatest("base", F.coalesce("bound", "base")).alias("base"))
+        waiting, links = materialize(waiting), links.drop("bound")
+    return materialize(settled.union(waiting.select(*keys, F.lit(None).cast("int"))))
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, call_id, name, position, seq, n_results, errors, json), one row for each call.
+    """(conv_id, call_id, name, position, seq, n_results, errors, json), one row for each call, then one for each text of a result that no row of a call carries.
 
     calls: conv_id, call_id, name, position, arguments (map of strings), after (ids that the call depends on).
     results: conv_id, call_id, content.
@@ -80,8 +93,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.col("name").cast("string").alias("name"),
                          F.col("position").cast("long").alias("position"), F.col("arguments").cast("map<string,string>").alias("arguments"),
                          F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    answers = (results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", F.col("call_id").cast("string").alias("call_id"))
-               .agg(F.count("*").alias("n_results"), F.min("content").alias("content")))
+    texts = results.groupBy("conv_id", F.col("call_id").cast("string").alias("call_id"), "content").agg(F.count("*").alias("n"))
+    answers = texts.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.sum("n").alias("n_results"), F.min("content").alias("content"))
     times = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("times"))
     known = calls.where("call_id IS NOT NULL").select("conv_id", F.col("call_id").alias("needs")).distinct()
     absent = (calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("needs")).where("needs IS NOT NULL")
@@ -112,7 +125,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     given = F.map_filter(F.coalesce("arguments", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
     sorted_arguments = F.map_from_entries(F.array_sort(F.map_entries(given)))
     line = F.to_json(F.struct(sorted_arguments.alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"), "seq"))
-    return out.select("conv_id", "call_id", "name", "position", "seq", "n_results", F.array_join("errors", "; ").alias("errors"), line.alias("json"))
+    linked = out.select("conv_id", "call_id", "name", "position", "seq", "n_results", F.array_join("errors", "; ").alias("errors"), line.alias("json"))
+    return linked.unionByName(_other_results(texts, answers, calls))
+
+
+def _other_results(texts: DataFrame, answers: DataFrame, calls: DataFrame) -> DataFrame:
+    """The texts of results (conv_id, call_id, content, n) that are not the one their call carries."""
+    keys = ["conv_id", "call_id"]
+    known = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(*keys, F.lit(True).alias("known")).distinct()
+    rest = texts.join(answers.select(*keys, F.col("content").alias("carried")), keys, "left").join(known, keys, "left")
+    rest = rest.where(F.col("known").isNull() | ~F.col("content").eqNullSafe(F.col("carried")))
+    none = lambda kind: F.lit(None).cast(kind)
+    line = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")))
+    return rest.select("conv_id", "call_id", none("string").alias("name"), none("long").alias("position"), none("long").alias("seq"), F.col("n").alias("n_results"),
+                       F.when(F.col("known"), "further result").otherwise("no call").alias("errors"), line.alias("json"))
 
 
 def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
