@@ -609,3 +609,16 @@ def test_tiff_of_separate_planes_by_hand(order):
     (page,) = tiff.pages(data)
     assert page[-1] is None and page[1:4] == (3, 3, 2)
     assert page[-2] == bytes(v for y in range(3) for x in range(3) for v in (first[y][x], second[y][x]))
+
+
+def test_batches_of_media_by_bytes(monkeypatch):
+    monkeypatch.setattr(tiff, "BATCH_BYTES", 10)
+    cut = lambda sizes: [list(range(len(sizes)))[s] for s in tiff._slices(sizes)]
+    assert cut([]) == [] and cut([3, 3, 3, 3]) == [[0, 1, 2], [3]] and cut([50, 1, 9, 0]) == [[0], [1, 2, 3]] and cut([0, 0]) == [[0, 1]]
+    page = np.full((3000, 3000, 1), 32, np.uint8)
+    for compression in (tiff.LZW, tiff.DEFLATE, tiff.PACKBITS, tiff.NONE):  # as small as they get
+        assert tiff.pages(tiff.encode([page], compression))[0][7] == page.tobytes()
+    claims = bytearray(tiff.encode([page[:4, :4]], tiff.NONE))
+    small = claims.find((4).to_bytes(4, "little"), claims.find((256).to_bytes(2, "little")))
+    claims[small : small + 4] = (2**30).to_bytes(4, "little")
+    assert tiff.pages(bytes(claims))[0][8] is not None

@@ -3,7 +3,7 @@
 Tokens are the lower-cased words of a text and one end. Exact token counts of the training texts give the base model and
 the alphabet: the SINGLES most frequent tokens are symbols of their own, all others fall into CLASSES classes by a hash of
 their last bytes. A state emits symbols; a token's share within its class follows the smoothed counts. Each round of
-Baum-Welch adds up the expected counts of all partitions, over whole texts: a text of more than LONG tokens is worked on
+Baum-Welch adds up the expected counts of all partitions, over whole texts, until a round gains little: a text of more than LONG tokens is worked on
 in segments, which get the forward and backward messages at their borders from the transfer matrices of all segments.
 Scoring joins segments of SEGMENT tokens by such matrices, which gives the likelihood of the whole sequence.
 
@@ -26,7 +26,8 @@ from tickloom.llm.common import materialize, words
 
 END = " "  # no word holds a blank
 SMOOTH = 0.1
-STATES, ROUNDS, SEED = 8, 4, 11
+STATES, SEED = 8, 11
+ROUNDS, MOST_ROUNDS, GAIN = 5, 30, 0.001  # training ends after ROUNDS once a round adds less than this share of the log-likelihood
 SINGLES, CLASSES = 8192, 1024
 DICTIONARY = 131_072  # frequent tokens whose counts are sent to all tasks; the others are joined
 SEGMENT = 256  # tokens that scoring runs through at a time
@@ -209,7 +210,7 @@ class Model:
 
 
 def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Model of the sequences in `encoded` (symbols: binary of unsigned 16-bit symbols), begun near the symbol shares."""
+    """Model of the sequences in `encoded` (symbols: binary of unsigned 16-bit symbols), begun near the symbol shares: `rounds` rounds at least."""
     rng = np.random.default_rng(SEED)
     size = len(share)
     emit = share * np.exp(rng.normal(0, 0.5, (states, size)))
@@ -217,8 +218,8 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, roun
     move = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     model = Model(np.full(states, 1 / states), move, emit)
-    spark = encoded.sparkSession
-    for _ in range(rounds):
+    spark, reached = encoded.sparkSession, None
+    for made in range(1, max(rounds, MOST_ROUNDS) + 1):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -242,23 +243,29 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = STATES, roun
             met = np.flatnonzero(total["emit"].sum(axis=0) > 0)
             rows = [(int(i), total["emit"][:, i]) for i in met]
             rows += [(-1, total["start"])] + [(-2 - i, own.move[i] * total["move"][i]) for i in range(states)]
+            rows.append((-2 - states, np.full(states, total["log"])))
             yield pd.DataFrame({"symbol": [r[0] for r in rows], "n": [r[1].tolist() for r in rows]})
 
         sums = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(states)]
         counted = encoded.select("symbols").mapInPandas(run, "symbol int, n array<double>").groupBy("symbol").agg(*sums)
-        emit, start, move = np.zeros((states, size)), np.zeros(states), np.zeros((states, states))
+        emit, start, move, log = np.zeros((states, size)), np.zeros(states), np.zeros((states, states)), 0.0
         for r in counted.collect():  # a row for each symbol and state
             n = np.array(r[1:], float)
             if r.symbol >= 0:
                 emit[:, r.symbol] = n
             elif r.symbol == -1:
                 start = n
+            elif r.symbol == -2 - states:
+                log = float(n[0])
             else:
                 move[-2 - r.symbol] = n
         emit += 0.5 * share  # keeps every symbol possible in every state
         start, move = start + 0.1, move + 0.1
         shared.unpersist()
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+        if made >= rounds and reached is not None and log - reached <= GAIN * abs(reached):  # log is that of the model before this round
+            break
+        reached = log
     return model
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
 #: Bytes of each field type.
 _TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-MAX_PIXELS = 1 << 28  # a page that claims more is damaged
+MOST_EXPANSION = 2048  # samples that a stored byte can stand for, more than any of the compressions reaches; a page that claims more is damaged
+BATCH_BYTES = 16_000_000  # of media or texts that a worker holds at a time, or one of them
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 PAGE_SCHEMA = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string, mean double, deviation double, entropy double"
 _PAGE_COLUMNS = ["page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error", "mean", "deviation", "entropy"]
@@ -212,7 +213,8 @@ def _page(data: bytes, f: dict[int, list[int]]) -> tuple:
     compression, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in f
     if set(f.get(BITS, [1])) != {8} or one(PLANAR, 1) not in (1, 2) or predictor not in (1, 2):
         raise ValueError("not 8-bit samples")
-    if not 0 < w * h * s <= MAX_PIXELS:
+    stored = sum(min(n, len(data)) for n in (f[TILE_BYTES] if tiled else f[STRIP_BYTES]))
+    if not 0 < w * h * s <= MOST_EXPANSION * stored:
         raise ValueError("size out of range")
     th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
     offsets, sizes = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_BYTES])
@@ -262,6 +264,18 @@ def pages(data: bytes | None) -> list[tuple]:
     return out
 
 
+def _slices(sizes: Iterable[int]) -> Iterator[slice]:
+    """Runs of rows of about BATCH_BYTES."""
+    first, held, at = 0, 0, -1
+    for at, size in enumerate(sizes):
+        if held and held + size > BATCH_BYTES:
+            yield slice(first, at)
+            first, held = at, 0
+        held += size
+    if at >= first:
+        yield slice(first, at + 1)
+
+
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row per page: the other columns of `files`, then those of PAGE_SCHEMA."""
     own = [c for c in files.columns if c != media and c not in _PAGE_COLUMNS]
@@ -270,8 +284,8 @@ def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
+            for rows in _slices(len(data) if data is not None else 0 for data in pdf[media]):
+                part = pdf.iloc[rows]
                 found = [(k, (*p, *_figures(p[7]))) for k, data in enumerate(part[media]) for p in pages(data)]
                 rest = part[own].iloc[[k for k, _ in found]].reset_index(drop=True)
                 made = pd.DataFrame([p for _, p in found], columns=_PAGE_COLUMNS)
@@ -296,8 +310,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part, rows = pdf.iloc[i : i + 512], []
+            for some in _slices(len(t) if t else 0 for t in pdf["text"]):
+                part, rows = pdf.iloc[some], []
                 for text in part["text"]:
                     raw = text.encode("utf-8", "surrogatepass") if text else b""
                     payload = raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW))
