@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey, SplitConfig
+from tickloom.contracts import ExperimentConfig, ModelConfig, MonthKey, SplitConfig, Thresholds
 from tickloom.functions import calendar as cal
 from tickloom.functions.windows import Source, asof_join, in_blocks, rolling, series
 from tickloom.operators import baselines, dataset, evaluation, features, models, quality, targets, validation
@@ -175,7 +175,7 @@ def test_folds_and_contracts():
     assert len(folds) == 3 and folds[0].validation == (MonthKey(2026, 7),) and len(validation.walk_forward_folds(months, expanding=False)[2].train) == 6
     with pytest.raises(ValueError):
         validation.walk_forward_folds(months[:5])
-    for bad in (lambda: SplitConfig(minimum_train_months=2), lambda: ExperimentConfig(peak_thresholds_atr=(1.0, 0.5)), lambda: ModelConfig(target="y"), lambda: ModelConfig(c_values=())):
+    for bad in (lambda: SplitConfig(minimum_train_months=2), lambda: Thresholds((1.0, 0.5)), lambda: Thresholds(()), lambda: Thresholds((0.0, 1.0)), lambda: Thresholds((0.5,), 1), lambda: ModelConfig(target="y"), lambda: ModelConfig(c_values=())):
         with pytest.raises(ValueError):
             bad()
 

@@ -156,7 +156,7 @@ def plain_targets(path, at, close, atr, minutes, step, config):
         return "m1_gap"
     high, low = max(p[1] for p in path), min(p[2] for p in path)
     peak, trough = next(k for k, p in enumerate(path) if p[1] == high), next(k for k, p in enumerate(path) if p[2] == low)
-    up = next((k for k, p in enumerate(path) if p[1] >= close + config.primary_threshold * atr), None)
+    up = next((k for k, p in enumerate(path) if p[1] >= close + config.thresholds.barrier * atr), None)
     down = next((k for k, p in enumerate(path) if p[2] <= close - config.adverse_barrier_atr * atr), None)
     touch = min((k for k in (up, down) if k is not None), default=None)
     worst = min(p[2] for p in path[: peak + 1])

@@ -131,8 +131,8 @@ def peak_targets(observations: DataFrame, bars: DataFrame, session: SessionWindo
     df = df.withColumns(per_atr | {
         "time_to_peak_minutes": when(since(F.col("_top.at"))), "time_to_trough_minutes": when(since(F.col("_bottom.at"))),
         "peak_timestamp_utc": when(F.col("_top.at")), "trough_timestamp_utc": when(F.col("_bottom.at"))})
-    df = df.withColumns({c: when((F.col("mfe_atr") >= t).cast("int")) for c, t in zip(config.threshold_columns, config.peak_thresholds_atr)})
-    df = df.withColumns({"_upper": when(ref + config.primary_threshold * atr), "_lower": when(ref - config.adverse_barrier_atr * atr)})
+    df = df.withColumns({c: when((F.col("mfe_atr") >= t).cast("int")) for c, t in zip(config.thresholds.columns, config.thresholds.heights)})
+    df = df.withColumns({"_upper": when(ref + config.thresholds.barrier * atr), "_lower": when(ref - config.adverse_barrier_atr * atr)})
     touched = df.where((F.col("future_high") >= F.col("_upper")) | (F.col("future_low") <= F.col("_lower")))
     return _barrier(match(df, barrier_times(touched, bars, config), KEY, "left"), config, ok, since, drop_invalid)
 
@@ -144,7 +144,7 @@ def _barrier(df: DataFrame, config: ExperimentConfig, ok: Column, since: Callabl
              .otherwise(F.lit(None if config.ambiguous_policy == "exclude" else -1).cast("int")))
     reason = F.when(tie & F.lit(config.ambiguous_policy == "exclude"), REASONS[4]).otherwise(F.col("_reason"))
     out = df.withColumns({
-        "triple_barrier_label": F.when(ok, label), "triple_barrier_threshold_atr": F.when(ok, F.lit(config.primary_threshold)), "adverse_barrier_threshold_atr": F.when(ok, F.lit(config.adverse_barrier_atr)),
+        "triple_barrier_label": F.when(ok, label), "triple_barrier_threshold_atr": F.when(ok, F.lit(config.thresholds.barrier)), "adverse_barrier_threshold_atr": F.when(ok, F.lit(config.adverse_barrier_atr)),
         "first_barrier_touch_minutes": since(F.least(up, down)), "target_ambiguous": tie, "target_exclusion_reason": reason,
         "target_horizon_inside_session": ~F.coalesce(F.col("_reason") == REASONS[0], F.lit(False)), "target_valid": reason.isNull()})
     out = out.drop("_n", "_even", "_top", "_bottom", "_adverse", "_reason", "_upper", "_lower", "_up", "_down")

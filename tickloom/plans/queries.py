@@ -321,7 +321,7 @@ def targets_excursions(spark, d):
 
 @query(S.THRESHOLDS)
 def targets_thresholds(spark, d):
-    return _targets(spark, d, drop=True).select("observation_time_utc", *CONFIG.threshold_columns)
+    return _targets(spark, d, drop=True).select("observation_time_utc", *CONFIG.thresholds.columns)
 
 
 @query(S.BARRIER)
